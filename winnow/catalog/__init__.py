@@ -1 +1,12 @@
 """The registered queries and their SQL twins."""
+
+from winnow.catalog import text_queries  # noqa: F401  (registers its queries)
+from winnow.catalog.registry import ORACLES, QUERIES
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(ORACLES)

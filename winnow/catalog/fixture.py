@@ -95,7 +95,8 @@ def _sections() -> str:
         2: _lines("'Certificates: Certified Scrum Master; Coursera machine learning'"),
     })
     block = "'large migration of billing data to a new warehouse with python and sql jobs for nightly loads'"
-    projects = _choose(f"{K} % 6", {
+    projects = _choose(f"(CASE WHEN {K} % 12 = 4 THEN 4 WHEN {K} % 12 = 10 THEN 10 ELSE {K} % 6 END)", {
+        4: _lines("'Projects'", "'- tiny one'", "'- small two'"),
         0: _lines("'Projects'", "'- Web shop built with react and node.js for sales'",
                   "'  with a full stack of html and css'", "'- Chat service in python and docker'", "'* tiny'"),
         1: _lines("'Personal Projects'", "'E-commerce Website'", "'built with django and sql'", "''",

@@ -85,7 +85,7 @@ INLINE_HEADINGS = {
 }
 SECTIONS = ["work", "education", "projects", "skills", "certificates", "summary", "other"]
 
-# Context patterns, searched anywhere, letter case ignored.
+# Context patterns, searched anywhere in lower-cased text.
 EDUCATION_CONTEXT = (
     r"b\.?tech|m\.?tech|b\.?sc|m\.?sc|b\.?e\b|m\.?e\b|b\.?a\b|m\.?a\b|b\.?com|m\.?com|"
     r"bachelor|master|ph\.?d|diploma|degree|university|college|institute|"

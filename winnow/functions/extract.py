@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed
 from winnow.functions import sections
-from winnow.functions.common import found, numbered, pattern, strip, text_lines
+from winnow.functions.common import found, let, numbered, pattern, strip, text_lines
 
 
 # --- contact -----------------------------------------------------------------------------------------------------
@@ -53,24 +53,32 @@ def capped(years: Column) -> Column:
 
 
 def dated_lines(lowered_lines: Column) -> Column:
-    """Lines holding a year range as structs ``(line, context)``. ``lowered_lines`` must be an input column."""
+    """Lines holding a year range as structs ``(line, excluded, works)``. ``lowered_lines`` must be an input column.
+
+    ``excluded`` marks education and project context; ``works`` work context or a company outside of those.
+    """
+
+    def judge(line: Column, context: Column) -> Column:
+        excluded = sections.is_education(context) | sections.is_project(context)
+        return let(excluded, lambda out: F.struct(
+            line.alias("line"), out.alias("excluded"),
+            (~out & (sections.is_work(context) | found(context, fixed.COMPANY_TOKEN))).alias("works")))
+
     dated = numbered(lowered_lines, lambda line: found(line, fixed.YEAR_RANGE))
-    return F.transform(dated, lambda d: F.struct(
-        d["item"].alias("line"), sections.context_window(lowered_lines, d["at"]).alias("context")))
+    return F.transform(dated, lambda d: let(
+        sections.context_window(lowered_lines, d["at"]), lambda context: judge(d["item"], context)))
 
 
 def range_years_in_context(dated: Column, as_of_year: int) -> Column:
     """Range years of the lines whose context is neither education nor a project, uncapped."""
-    kept = F.filter(dated, lambda d: ~sections.is_education(d["context"]) & ~sections.is_project(d["context"]))
+    kept = F.filter(dated, lambda d: ~d["excluded"])
     return F.aggregate(F.transform(kept, lambda d: range_years(d["line"], as_of_year)),
                        F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
 def works_in_context(dated: Column) -> Column:
     """Whether some dated line stands in work context and not in education or project context."""
-    return F.exists(dated, lambda d: (
-        ~sections.is_education(d["context"]) & ~sections.is_project(d["context"])
-        & (sections.is_work(d["context"]) | found(d["context"], fixed.COMPANY_TOKEN))))
+    return F.exists(dated, lambda d: d["works"])
 
 
 def experience_years(has_work_section: Column, work_text: Column, text: Column, dated: Column,

@@ -96,15 +96,15 @@ def section_text(segs: Column, section: str) -> Column:
 
 
 def is_education(text: Column) -> Column:
-    return found(text, fixed.EDUCATION_CONTEXT, ignore_case=True)
+    return found(F.lower(text), fixed.EDUCATION_CONTEXT)
 
 
 def is_project(text: Column) -> Column:
-    return found(text, fixed.PROJECT_CONTEXT, ignore_case=True)
+    return found(F.lower(text), fixed.PROJECT_CONTEXT)
 
 
 def is_work(text: Column) -> Column:
-    return found(text, fixed.WORK_CONTEXT, ignore_case=True)
+    return found(F.lower(text), fixed.WORK_CONTEXT)
 
 
 def context_window(lines: Column, at: Column, reach: int = 3) -> Column:

@@ -38,11 +38,17 @@ def norm(vector: Column) -> Column:
     return F.sqrt(F.aggregate(F.map_values(vector), F.lit(0.0), lambda a, v: a + v * v))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two MAP vectors; 0 if either is empty."""
-    shared = F.array_intersect(F.map_keys(b), F.map_keys(a))
+def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
+    """Cosine of two MAP vectors; 0 if either is empty. Give ``norm_b`` where ``b`` meets many vectors."""
+    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
     dot = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at(a, t) * F.element_at(b, t))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * norm(b))).otherwise(F.lit(0.0))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * (norm(b) if norm_b is None else norm_b))
+                  ).otherwise(F.lit(0.0))
+
+
+def text_cosine(text: Column, vector: Column, norm_vector: Column) -> Column:
+    """Cosine of a text with a MAP vector, the text's own vector being built once."""
+    return let(term_vector(text), lambda v: cosine(v, vector, norm_vector))
 
 
 def dense_cosine(a: Column, b: Column) -> Column:

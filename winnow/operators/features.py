@@ -5,6 +5,8 @@ Columns are added in steps so that Spark computes each shared piece (lines, head
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ from winnow.functions.common import is_blank, text_lines
 from winnow.operators.slices import SLICE, slice_of
 
 
+def boundary(df: DataFrame) -> DataFrame:
+    """Keep filters on computed columns above this point.
+
+    Spark pushes a filter below the projections it reads from by repeating their expressions in it, which for
+    staged array work means doing that work again per reference. Observing the rows (a running count) stops that;
+    unused columns are still pruned.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def with_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
     return df.withColumn("lines", text_lines(F.col(text)))
 
@@ -114,7 +126,7 @@ def features(resumes: DataFrame, settings: Settings) -> DataFrame:
     df = with_projects(df)
     df = with_education(df)
     df = with_skills(df, settings)
-    return df.select(
+    return boundary(df.select(
         "batch_id", "resume_id", "ordinal", "filename",
         slice_of(F.col("ordinal"), settings).alias(SLICE),
         extract.name_from_filename(F.col("filename")).alias("name"),
@@ -123,15 +135,16 @@ def features(resumes: DataFrame, settings: Settings) -> DataFrame:
         extract.has_contact(F.col("raw_text")).alias("has_contact"),
         "has_experience", "experience_years", "certificates", "projects", "degree_score", "education_words",
         vectors.term_vector(F.col("raw_text")).alias("term_vector"),
-    )
+    ))
 
 
 def job_facts(jobs: DataFrame, settings: Settings) -> DataFrame:
     """Everything a score needs from a job, once per batch. ``jobs`` has ``batch_id, job_description``."""
     job = F.col("job_description")
-    return jobs.select(
+    facts = jobs.select(
         "batch_id", "job_description",
         skills.job_skills(job, settings.vocabulary, settings.role_skills).alias("job_skills"),
         extract.field_words(F.coalesce(job, F.lit(""))).alias("job_words"),
         vectors.term_vector(vectors.similarity_job(job, settings.default_job)).alias("job_vector"),
     )
+    return facts.withColumn("job_norm", vectors.norm(F.col("job_vector")))

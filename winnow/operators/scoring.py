@@ -18,11 +18,13 @@ def with_job(features: DataFrame, jobs: DataFrame, settings: Settings) -> DataFr
     facts = job_facts(jobs, settings)
     joined = join_batch_facts(features, facts, settings, text="job_description")
     none = F.array().cast("array<string>")
+    default = vectors.term_vector(F.lit(settings.default_job))
     return joined.withColumns({
         "job_description": F.coalesce("job_description", F.lit("")),
         "job_skills": F.coalesce("job_skills", none),
         "job_words": F.coalesce("job_words", none),
-        "job_vector": F.coalesce("job_vector", vectors.term_vector(F.lit(settings.default_job))),
+        "job_vector": F.coalesce("job_vector", default),
+        "job_norm": F.coalesce("job_norm", vectors.norm(default)),
     })
 
 
@@ -38,11 +40,11 @@ def with_similarity(df: DataFrame, settings: Settings) -> DataFrame:
     """Adds the relevance scores and education quality to features joined with their job."""
 
     def against_job(texts: str):
-        return F.transform(F.col(texts), lambda t: vectors.cosine(vectors.term_vector(t), F.col("job_vector")))
+        return F.transform(F.col(texts), lambda t: vectors.text_cosine(t, F.col("job_vector"), F.col("job_norm")))
 
     staged = df.select(
         "*",
-        vectors.cosine(F.col("term_vector"), F.col("job_vector")).alias("_cosine"),
+        vectors.cosine(F.col("term_vector"), F.col("job_vector"), F.col("job_norm")).alias("_cosine"),
         against_job("certificates").alias("_certificates"),
         against_job("projects").alias("_projects"),
     )

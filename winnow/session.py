@@ -22,5 +22,6 @@ def local_session(cpus: int | str = "*", app: str = "winnow", memory: str = "8g"
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
