@@ -1,6 +1,6 @@
 """The registered queries and their SQL twins."""
 
-from winnow.catalog import text_queries  # noqa: F401  (registers its queries)
+from winnow.catalog import score_queries, store_queries, text_queries, train_queries  # noqa: F401  (register)
 from winnow.catalog.registry import ORACLES, QUERIES
 
 

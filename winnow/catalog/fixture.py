@@ -115,6 +115,10 @@ def _sections() -> str:
     return f"(CASE WHEN {K} % 17 = 5 THEN {plain} ELSE {headed} END)"
 
 
+def skill_list_sql() -> str:
+    return _skill_list()
+
+
 def raw_text_sql() -> str:
     return _sections().replace("skill_list", _skill_list())
 

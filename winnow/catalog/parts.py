@@ -336,8 +336,10 @@ SELECT resume_id, least(coalesce(sum(cosine) FILTER (cosine > {fixed.CERTIFICATE
 
 def project_score(cosine: str, limit: float = fixed.PROJECT_COSINE) -> str:
     kept = f"FILTER ({cosine} > {limit})"
-    return (f"coalesce(least(avg({cosine}) {kept} + least((count(*) {kept}) * CAST({fixed.PROJECT_BOOST} AS DOUBLE), "
-            f"CAST({fixed.PROJECT_BOOST_CAP} AS DOUBLE)), CAST(1 AS DOUBLE)), CAST(0 AS DOUBLE))")
+    boost = (f"least((count(*) {kept}) * CAST({fixed.PROJECT_BOOST} AS DOUBLE), "
+             f"CAST({fixed.PROJECT_BOOST_CAP} AS DOUBLE))")
+    return (f"(CASE WHEN (count(*) {kept}) > 0 THEN least(avg({cosine}) {kept} + {boost}, CAST(1 AS DOUBLE)) "
+            f"ELSE CAST(0 AS DOUBLE) END)")
 
 
 part("project_scores", f"""

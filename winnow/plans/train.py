@@ -17,8 +17,11 @@ def training_frame(sheet: DataFrame, stored: DataFrame) -> DataFrame:
 
     ``sheet`` has a ``row_id``; ``stored`` is flattened candidates with ``row_id`` and ``matched_skills``.
     """
+    rows = sheets.synthesize(sheet).withColumnsRenamed({"Skills": "sheet_skills", "Experience_Years": "sheet_years"})
     usable = training.store_rows(stored).withColumnRenamed("matched_skills", "stored_skills")
-    return training.combine(sheets.synthesize(sheet), usable)
+    return training.combine(
+        rows.select("row_id", "raw_text", "job_description", "sheet_skills", "sheet_years"),
+        usable.select("row_id", "raw_text", "job_description", "stored_skills"))
 
 
 def training_features(frame: DataFrame, settings: Settings) -> DataFrame:
@@ -32,9 +35,9 @@ def training_features(frame: DataFrame, settings: Settings) -> DataFrame:
     job = F.col("job_description")
     df = df.select(
         "*",
-        training.skills_count_by_source(F.col("from_sheet"), F.col("Skills"), F.col("stored_skills"),
+        training.skills_count_by_source(F.col("from_sheet"), F.col("sheet_skills"), F.col("stored_skills"),
                                         F.col("raw_text"), settings).alias("skills_count"),
-        training.years_by_source(F.col("from_sheet"), F.col("Experience_Years"), F.col("_extracted_years"))
+        training.years_by_source(F.col("from_sheet"), F.col("sheet_years"), F.col("_extracted_years"))
         .alias("experience_years"),
         extract.has_contact(F.col("raw_text")).alias("has_contact"),
         extract.field_words(F.coalesce(job, F.lit(""))).alias("job_words"),
