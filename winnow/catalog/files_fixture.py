@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from winnow.catalog.fixture import K, batch_sql, job_sql, raw_text_sql, resumes, skill_list_sql, table
 from winnow.functions.skills import matched_skills
+from winnow.operators.slices import spread
 
 _SPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
@@ -100,7 +101,7 @@ SHEET_SQL = "SELECT 2 * {k} AS row_id, ".replace("{k}", K) + ", ".join(
 
 
 def sheet(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(
+    return spread(table(spark, folder, "customer").select(K)).select(
         (2 * F.col(K)).alias("row_id"), *[F.expr(text).alias(name) for name, text in SHEET.items()])
 
 
@@ -118,7 +119,7 @@ FROM customer WHERE {K} % 4 = 0"""
 
 def stored(spark: SparkSession, folder: str, terms) -> DataFrame:
     """A quarter of the derived resumes as stored candidates with their matched skills."""
-    rows = table(spark, folder, "customer").filter(f"{K} % 4 = 0").select(
+    rows = spread(table(spark, folder, "customer").select(K)).filter(f"{K} % 4 = 0").select(
         (2 * F.col(K) + 1).alias("row_id"), F.expr(raw_text_sql()).alias("raw_text"),
         F.expr(job_sql(batch_sql())).alias("job_description"))
     return rows.withColumn("matched_skills", matched_skills(F.col("raw_text"), terms))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.operators.slices import spread
+
 K = "c_custkey"
 AS_OF_YEAR = 2026
 
@@ -145,14 +147,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Customer keys, spread over all cores: a key grows to a whole resume, so few bytes mean much work."""
-    return table(spark, folder, "customer").select(K).repartition(spark.sparkContext.defaultParallelism, K)
-
-
 def resumes(spark: SparkSession, folder: str) -> DataFrame:
     """``batch_id, resume_id, ordinal, filename, raw_text`` and the batch number."""
-    return _keys(spark, folder).select(
+    return spread(table(spark, folder, "customer").select(K)).select(
         F.expr(f"concat('b', CAST({batch_sql()} AS VARCHAR(20)))").alias("batch_id"),
         F.col(K).alias("resume_id"),
         F.col(K).alias("ordinal"),

@@ -118,7 +118,7 @@ w AS (SELECT resume_id, term, tf * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS weight
        + "SELECT resume_id, term, round(weight, 6) AS weight FROM w")
 def sim1_tfidf(spark, folder):
     docs = documents(spark, folder)
-    rows = weighted_rows(term_rows(docs, "raw_text", SETTINGS), docs.count())
+    rows = weighted_rows(materialize(term_rows(docs, "raw_text", SETTINGS)), docs.count())
     return rows.select(F.col("id").alias("resume_id"), "term", r6("weight").alias("weight"))
 
 
@@ -159,8 +159,7 @@ FROM resumes r LEFT JOIN dots USING (resume_id) LEFT JOIN rn USING (resume_id) L
 
 @query("sim2_tfidf", TFIDF.format(table="resumes") + _tfidf_jobs)
 def sim2_tfidf(spark, folder):
-    kept = materialize(resumes(spark, folder))
-    rows = tfidf_cosine(kept, jobs(spark, folder), SETTINGS)
+    rows = tfidf_cosine(resumes(spark, folder), jobs(spark, folder), SETTINGS)
     return rows.select("resume_id", r6("cosine").alias("cosine"))
 
 

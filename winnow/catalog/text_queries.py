@@ -14,6 +14,7 @@ from winnow.functions import extract, projects, sections
 from winnow.functions.common import found, is_blank, numbered, text_lines
 from winnow.operators import features as feats
 from winnow.operators.scoring import with_job
+from winnow.operators.slices import spread
 
 SETTINGS = scoring(AS_OF_YEAR)
 KEY = "resume_id"
@@ -34,7 +35,7 @@ def joined(col: Column | str, by: str = "|") -> Column:
 
 def documents(spark, folder: str) -> DataFrame:
     """Documents as resumes: the source is the batch."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("source", "doc_id", "text")).select(
         F.col("source").alias("batch_id"), F.col("doc_id").alias("resume_id"), F.col("doc_id").alias("ordinal"),
         F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".docx")).alias("filename"), F.col("text").alias("raw_text"))
 
@@ -169,7 +170,7 @@ def ext8(spark, folder):
 @query("ext9_certificates", "SELECT resume_id, coalesce(string_agg(mention, '|' ORDER BY n), '') AS certificates, "
        "count(*) AS n FROM certificate_rows GROUP BY resume_id")
 def ext9(spark, folder):
-    rows = feats.with_certificates(sectioned(spark, folder)).filter(F.size("certificates") > 0)
+    rows = feats.boundary(feats.with_certificates(sectioned(spark, folder))).filter(F.size("certificates") > 0)
     return rows.select(KEY, joined("certificates").alias("certificates"), big(F.size("certificates")).alias("n"))
 
 

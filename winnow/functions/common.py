@@ -20,6 +20,35 @@ def found(col: Column, text: str, ignore_case: bool = False) -> Column:
     return col.rlike(pattern(text, ignore_case))
 
 
+def nested(alternatives: list[str]) -> str:
+    """One group for alternatives whose order does not matter, nested by first letter.
+
+    At each place of a text only the alternatives sharing its letter are tried, instead of all of them.
+    """
+    by_first: dict[str, list[str]] = {}
+    for text in alternatives:
+        plain = text[:1].isalnum() and text[1:2] not in ("?", "*", "+", "{")
+        by_first.setdefault(text[0] if plain else "", []).append(text[1:] if plain else text)
+    return "(?:" + "|".join(first + "(?:" + "|".join(rest) + ")" for first, rest in by_first.items()) + ")"
+
+
+def alternatives(pattern_text: str) -> list[str]:
+    """The alternatives of a pattern, split at the bars outside of groups."""
+    parts, depth = [""], 0
+    for char in pattern_text:
+        depth += {"(": 1, ")": -1}.get(char, 0)
+        if char == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += char
+    return parts
+
+
+def found_any(col: Column, pattern_text: str) -> Column:
+    """Whether any alternative of a pattern occurs."""
+    return found(col, nested(alternatives(pattern_text)))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also inside another lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed
 from winnow.functions import sections
-from winnow.functions.common import found, let, numbered, pattern, strip, text_lines
+from winnow.functions.common import found, found_any, let, numbered, pattern, strip, text_lines
 
 
 # --- contact -----------------------------------------------------------------------------------------------------
@@ -62,7 +62,7 @@ def dated_lines(lowered_lines: Column) -> Column:
         excluded = sections.is_education(context) | sections.is_project(context)
         return let(excluded, lambda out: F.struct(
             line.alias("line"), out.alias("excluded"),
-            (~out & (sections.is_work(context) | found(context, fixed.COMPANY_TOKEN))).alias("works")))
+            (~out & (sections.is_work(context) | found_any(context, fixed.COMPANY_TOKEN))).alias("works")))
 
     dated = numbered(lowered_lines, lambda line: found(line, fixed.YEAR_RANGE))
     return F.transform(dated, lambda d: let(

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from winnow import fixed
-from winnow.functions.common import empty_texts, found, join_lines, numbered, strip
+from winnow.functions.common import empty_texts, found, found_any, join_lines, nested, numbered, strip
 
 
 def _any_of(phrases) -> str:
@@ -27,9 +27,11 @@ def inline_pattern(section: str) -> str:
 
 def heading_pattern() -> str:
     """Any heading at all: one test rules out almost every line."""
-    standalone = _any_of(p for phrases in fixed.STANDALONE_HEADINGS.values() for p in phrases)
-    inline = _any_of(p for phrases in fixed.INLINE_HEADINGS.values() for p in phrases)
-    return rf"^\s*(?:{standalone}\s*:?\s*$|{inline}\s*:\s*\S)"
+    def all_of(headings: dict[str, list[str]]) -> str:
+        return nested([p.replace(" ", r"\s*") for phrases in headings.values() for p in phrases])
+
+    return (rf"^\s*(?:{all_of(fixed.STANDALONE_HEADINGS)}\s*:?\s*$|"
+            rf"{all_of(fixed.INLINE_HEADINGS)}\s*:\s*\S)")
 
 
 def _first_match(line: Column, patterns: dict[str, str]) -> Column:
@@ -96,15 +98,15 @@ def section_text(segs: Column, section: str) -> Column:
 
 
 def is_education(text: Column) -> Column:
-    return found(F.lower(text), fixed.EDUCATION_CONTEXT)
+    return found_any(F.lower(text), fixed.EDUCATION_CONTEXT)
 
 
 def is_project(text: Column) -> Column:
-    return found(F.lower(text), fixed.PROJECT_CONTEXT)
+    return found_any(F.lower(text), fixed.PROJECT_CONTEXT)
 
 
 def is_work(text: Column) -> Column:
-    return found(F.lower(text), fixed.WORK_CONTEXT)
+    return found_any(F.lower(text), fixed.WORK_CONTEXT)
 
 
 def context_window(lines: Column, at: Column, reach: int = 3) -> Column:

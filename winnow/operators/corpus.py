@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow.config import Settings
 from winnow.functions import vectors
-from winnow.operators.slices import SLICE, slice_of
+from winnow.operators.slices import SLICE, materialize, slice_of
 
 
 def term_rows(docs: DataFrame, text: str, settings: Settings, id_: str = "resume_id", keep=()) -> DataFrame:
@@ -21,7 +21,8 @@ def weighted_rows(rows: DataFrame, documents: int) -> DataFrame:
     """Adds ``weight`` = tf * (ln((1 + N) / (1 + df)) + 1) to term rows.
 
     A common term is on most documents. Document counts are therefore taken per (term, slice), summed over the
-    slices, and joined back on the same key, whose groups are bounded by the slice.
+    slices, and joined back on the same key, whose groups are bounded by the slice. Pass materialized ``rows``:
+    they are read twice.
     """
     per_slice = rows.groupBy("term", SLICE).agg(F.count(F.lit(1)).alias("n"))
     counted = per_slice.select("term", SLICE, F.sum("n").over(Window.partitionBy("term")).alias("df"))
@@ -33,11 +34,11 @@ def tfidf_cosine(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> Dat
     """Cosine of each resume with its batch's job under corpus weights: ``resume_id, cosine``.
 
     The job side is repeated per slice of its batch, so the join key (batch, slice, term) has bounded groups.
-    Pass materialized ``resumes``: they are read three times.
+    Term rows are written once, as counts and products both need them.
     """
     documents = resumes.count()
     ids = resumes.select(F.col("resume_id").alias("id"), "batch_id")
-    rows = term_rows(resumes, "raw_text", settings, keep=["batch_id"])
+    rows = materialize(term_rows(resumes, "raw_text", settings, keep=["batch_id"]))
     weighted = weighted_rows(rows, documents)
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
 

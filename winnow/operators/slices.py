@@ -51,6 +51,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Give every core a share of rows that are read in fewer splits than there are cores.
+
+    A large table has many splits and passes unchanged, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def fits_broadcast(small: DataFrame, settings: Settings, text: str | None = None) -> bool:
     """Whether a table is within the broadcast bound, by rows and by characters of its text column."""
     chars = F.sum(F.length(text)) if text else F.lit(0)

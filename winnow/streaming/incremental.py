@@ -32,7 +32,7 @@ def _touched_scores(spark: SparkSession, scores_path: str, epoch: int, settings:
 
 
 def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Settings, model=None,
-                    keywords_only: bool = False):
+                    keywords_only: bool = False, progress: str = "progress"):
     """Process everything that has arrived, then stop. Returns the finished query."""
     scores_path, candidates_path = f"{out}/scores", f"{out}/candidates"
 
@@ -47,7 +47,7 @@ def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Se
 
     query = (
         arrivals.writeStream.foreachBatch(screen_epoch)
-        .option("checkpointLocation", f"{out}/progress").trigger(availableNow=True).start()
+        .option("checkpointLocation", f"{out}/{progress}").trigger(availableNow=True).start()
     )
     query.awaitTermination()
     return query

@@ -22,7 +22,7 @@ def load(spark: SparkSession, path: str, column: str | None = None) -> tuple[str
     A vocabulary is configuration compiled into the plan, so its lines come to the driver; the file is read as one
     record to keep its order.
     """
-    text = spark.read.option("wholetext", True).text(path).head()[0]
+    text = spark.read.text(path, wholetext=True).head()[0]
     rows = [line for line in text.splitlines() if line.strip()]
     if column is None:
         return tuple(row.strip().lower() for row in rows)
