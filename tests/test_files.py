@@ -61,6 +61,13 @@ def test_scan_parse_and_bundle(spark, tmp_path):
     again = {r["filename"]: r["raw_text"] for r in files.parse_files(found, texts).collect()}
     assert again["scan.pdf"] == "scanned" and again["broken.docx"] == ""
 
+    folder = {r["filename"]: (r["raw_text"], r["error"]) for r in files.parse_folder(spark, str(tmp_path), texts).collect()}
+    assert folder["one.DOCX"] == ("hello\nworld\nk | v", None) and folder["scan.pdf"] == ("scanned", None)
+    resumes = files.as_resumes(files.parse_folder(spark, str(tmp_path)), F.lit("upload"))
+    numbered = [r["filename"] for r in resumes.orderBy("ordinal").collect()]
+    assert numbered == ["broken.docx", "scan.pdf", "one.DOCX"] and resumes.columns == [
+        "batch_id", "resume_id", "ordinal", "filename", "raw_text"]
+
     bundle = io.BytesIO()
     with zipfile.ZipFile(bundle, "w") as z:
         z.writestr("a/cv.docx", make_docx("from zip", ["c"]))

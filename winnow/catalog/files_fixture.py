@@ -114,12 +114,12 @@ def sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 STORED_SQL = f"""
 SELECT 2 * {K} + 1 AS row_id, {raw_text_sql()} AS raw_text, {job_sql(batch_sql())} AS job_description
-FROM customer WHERE {K} % 4 = 0"""
+FROM customer"""
 
 
 def stored(spark: SparkSession, folder: str, terms) -> DataFrame:
-    """A quarter of the derived resumes as stored candidates with their matched skills."""
-    rows = spread(table(spark, folder, "customer").select(K)).filter(f"{K} % 4 = 0").select(
+    """The derived resumes as stored candidates with their matched skills."""
+    rows = spread(table(spark, folder, "customer").select(K)).select(
         (2 * F.col(K) + 1).alias("row_id"), F.expr(raw_text_sql()).alias("raw_text"),
         F.expr(job_sql(batch_sql())).alias("job_description"))
     return rows.withColumn("matched_skills", matched_skills(F.col("raw_text"), terms))

@@ -314,12 +314,13 @@ def dsh2(spark, folder):
     return dashboard.flagged(ranked_rows(spark, folder)).select("batch_id", KEY, "rank")
 
 
-@query("dsh3_top", "SELECT resume_id, rank, name, score FROM ranked WHERE batch_id = 'b0' "
-       "AND len(list_filter(string_split(matched_skills, '|'), lambda s: contains(s, 'python'))) > 0 "
-       "ORDER BY rank LIMIT 20")
+@query("dsh3_top", "SELECT batch_id, resume_id, rank, name, score FROM ranked "
+       "WHERE len(list_filter(string_split(matched_skills, '|'), lambda s: contains(s, 'python'))) > 0 "
+       "QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY rank) <= 20")
 def dsh3(spark, folder):
-    batch = ranked_rows(spark, folder).filter(F.col("batch_id") == "b0")
-    return dashboard.filtered(batch, "python", n=20).select(KEY, "rank", "name", "score")
+    """Search, then the top 20 of every batch."""
+    found = materialize(dashboard.search(ranked_rows(spark, folder), "python"))
+    return dashboard.top_per_batch(found, 20, SETTINGS).select("batch_id", KEY, "rank", "name", "score")
 
 
 @query("dsh4_summary", """
@@ -336,11 +337,11 @@ def dsh5(spark, folder):
     return dashboard.score_bands(plans.blended_scores(resumes(spark, folder), jobs(spark, folder), SETTINGS))
 
 
-@query("dsh6_chart", "SELECT rank, split_part(name, ' ', 1) AS name, score FROM ranked WHERE batch_id = 'b0' "
-       "AND rank <= 10")
+@query("dsh6_chart", "SELECT batch_id, rank, split_part(name, ' ', 1) AS name, score FROM ranked WHERE rank <= 10")
 def dsh6(spark, folder):
-    batch = ranked_rows(spark, folder).filter(F.col("batch_id") == "b0")
-    return dashboard.chart(batch)
+    """The chart of every batch: unfiltered ranks have no gaps, so the first ten are those up to rank 10."""
+    first = ranked_rows(spark, folder).filter(F.col("rank") <= 10)
+    return dashboard.chart_bars(first).select("batch_id", "rank", "name", "score")
 
 
 @query("dsh7_first_uploads", """

@@ -49,13 +49,14 @@ def src1(spark, folder):
 
 
 @query("src2_zip_members", f"""
-SELECT concat('/in/', CAST({K} AS VARCHAR), '.zip') AS bundle, m AS path, CAST(NULL AS VARCHAR) AS error
+SELECT concat('/in/', CAST({K} AS VARCHAR), '.zip') AS bundle, m AS path, '' AS error
 FROM (SELECT {K}, unnest([concat('cv/', CAST({K} AS VARCHAR), '.docx'), '__MACOSX/._x.docx', 'readme.txt']) AS m
       FROM customer WHERE NOT ({ff.BROKEN_ZIP}))
 UNION ALL
-SELECT concat('/in/', CAST({K} AS VARCHAR), '.zip'), NULL, 'BadZipFile' FROM customer WHERE {ff.BROKEN_ZIP}""")
+SELECT concat('/in/', CAST({K} AS VARCHAR), '.zip'), '', 'BadZipFile' FROM customer WHERE {ff.BROKEN_ZIP}""")
 def src2(spark, folder):
-    return files.expand_zips(ff.bundles(spark, folder)).select("bundle", "path", "error")
+    members = files.expand_zips(ff.bundles(spark, folder))
+    return members.select("bundle", *[F.coalesce(c, F.lit("")).alias(c) for c in ("path", "error")])
 
 
 @query("src3_docx_text", "SELECT path, (CASE WHEN broken THEN '' ELSE txt END) AS raw_text, "
@@ -75,9 +76,10 @@ def src4(spark, folder):
 
 # --- sheet ----------------------------------------------------------------------------------------------------------------
 
-@query("src5_sheet", "SELECT row_id, Skills, Certifications, Experience_Years, Email, Phone, Education, JobRole FROM sheet")
+@query("src5_sheet", "SELECT row_id, " + ", ".join(f"coalesce({c}, '(null)') AS {c}" for c in ff.SHEET) + " FROM sheet")
 def src5(spark, folder):
-    return sheet.parse_sheet_lines(ff.sheet_lines(spark, folder))
+    rows = sheet.parse_sheet_lines(ff.sheet_lines(spark, folder))
+    return rows.select("row_id", *[F.coalesce(c, F.lit("(null)")).alias(c) for c in ff.SHEET])
 
 
 part("synthesized", f"""
@@ -102,16 +104,17 @@ def stored(spark, folder: str) -> DataFrame:
 
 
 @query("src7_store_parse", """
-SELECT batch_id, candidate_count, CAST(NULL AS BOOLEAN) IS NOT NULL AS corrupt FROM conv_batches
+SELECT batch_id, candidate_count, FALSE AS corrupt FROM conv_batches
 WHERE CAST(batch_id[2:] AS BIGINT) % 7 <> 3
 UNION ALL
-SELECT NULL, NULL, TRUE FROM conv_batches WHERE CAST(batch_id[2:] AS BIGINT) % 7 = 3""")
+SELECT '', 0, TRUE FROM conv_batches WHERE CAST(batch_id[2:] AS BIGINT) % 7 = 3""")
 def src7(spark, folder):
     text = F.to_json(F.struct("batch_id", "uploaded_at", "job_description", "candidate_count", "candidates"))
     cut = F.substring("batch_id", 2, 20).cast("bigint") % 7 == 3
     lines = batches(spark, folder).select(F.when(cut, F.concat(F.lit("!"), text)).otherwise(text).alias("line"))
     return store.parse_batches(lines).select(
-        "batch_id", "candidate_count", F.col("_corrupt").isNotNull().alias("corrupt"))
+        F.coalesce("batch_id", F.lit("")).alias("batch_id"),
+        F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"), F.col("_corrupt").isNotNull().alias("corrupt"))
 
 
 @query("snk1_append", """
@@ -149,10 +152,10 @@ def snk3(spark, folder):
 
 @query("snk3_csv_written", """
 SELECT CAST(rank AS BIGINT) AS "Rank", name AS "Name", CAST(score AS DOUBLE) AS "Score", filename AS "Filename"
-FROM ranked WHERE batch_id = 'b0'""")
+FROM ranked""")
 def snk3_written(spark, folder):
     path = new_folder(spark)
-    store.write_csv(ranked_rows(spark, folder).filter(F.col("batch_id") == "b0"), path)
+    store.write_csv(ranked_rows(spark, folder), path)
     back = spark.read.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
     return back.select(big("Rank").alias("Rank"), "Name", F.col("Score").cast("double").alias("Score"), "Filename")
 
@@ -174,9 +177,12 @@ def sto2(spark, folder):
     return store.latest_batch(stored(spark, folder)).select("batch_id", "rank", "name", "score", "job_description")
 
 
-@query("sto3_batches", "SELECT batch_id, uploaded_at, job_description, candidate_count FROM conv_batches")
+@query("sto3_batches", "SELECT batch_id, uploaded_at, coalesce(job_description, '(null)') AS job_description, "
+       "candidate_count FROM conv_batches")
 def sto3(spark, folder):
-    return batches(spark, folder).select("batch_id", "uploaded_at", "job_description", "candidate_count")
+    return batches(spark, folder).select(
+        "batch_id", "uploaded_at", F.coalesce("job_description", F.lit("(null)")).alias("job_description"),
+        "candidate_count")
 
 
 # --- stream -----------------------------------------------------------------------------------------------------------------

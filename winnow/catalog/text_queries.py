@@ -121,14 +121,20 @@ def ext1_resumes(spark, folder):
     return resumes(spark, folder).select(KEY, big(extract.has_contact(F.col("raw_text"))).alias("has_contact"))
 
 
-@query("ext2_stated_in_work", "SELECT resume_id, stated_work AS years FROM experience")
+@query("ext2_stated_in_work", "SELECT resume_id, stated_work IS NOT NULL AS stated, coalesce(stated_work, 0) AS years "
+       "FROM experience")
 def ext2(spark, folder):
-    return sectioned(spark, folder).select(KEY, big(extract.stated_years_in_work(F.col("work_text"))).alias("years"))
+    years = extract.stated_years_in_work(F.col("work_text"))
+    return sectioned(spark, folder).select(
+        KEY, years.isNotNull().alias("stated"), big(F.coalesce(years, F.lit(0))).alias("years"))
 
 
-@query("ext3_stated_anywhere", "SELECT resume_id, stated_free AS years FROM experience")
+@query("ext3_stated_anywhere", "SELECT resume_id, stated_free IS NOT NULL AS stated, "
+       "coalesce(stated_free, 0) AS years FROM experience")
 def ext3(spark, folder):
-    return resumes(spark, folder).select(KEY, big(extract.stated_years_anywhere(F.col("raw_text"))).alias("years"))
+    years = extract.stated_years_anywhere(F.col("raw_text"))
+    return resumes(spark, folder).select(
+        KEY, years.isNotNull().alias("stated"), big(F.coalesce(years, F.lit(0))).alias("years"))
 
 
 @query("ext4_ranges_in_work", "SELECT resume_id, ranges_work AS years FROM experience")

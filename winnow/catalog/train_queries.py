@@ -92,10 +92,12 @@ def trn2(spark, folder):
     return t.first_by_filename(rows, ["uploaded_at", "batch_id", "rank"]).select("filename", "batch_id", "rank")
 
 
-@query("trn3_union", "SELECT row_id, from_sheet, job_description, Skills AS sheet_skills, "
-       "Experience_Years AS sheet_years FROM training_rows")
+@query("trn3_union", "SELECT row_id, from_sheet, job_description, coalesce(Skills, '(null)') AS sheet_skills, "
+       "coalesce(Experience_Years, '(null)') AS sheet_years FROM training_rows")
 def trn3(spark, folder):
-    return frame(spark, folder).select("row_id", "from_sheet", "job_description", "sheet_skills", "sheet_years")
+    return frame(spark, folder).select(
+        "row_id", "from_sheet", "job_description",
+        *[F.coalesce(c, F.lit("(null)")).alias(c) for c in ("sheet_skills", "sheet_years")])
 
 
 @query("trn4_skills_count", _FEATURES + "SELECT row_id, skills_count FROM own", _OWN)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from winnow.config import Settings
 from winnow.functions import scores
+from winnow.operators.slices import Part, ordered_rank
 
 
 def search(candidates: DataFrame, text: str) -> DataFrame:
@@ -25,6 +27,16 @@ def top(candidates: DataFrame, n: int | None = None) -> DataFrame:
     return ordered if n is None else ordered.limit(n)
 
 
+def top_per_batch(candidates: DataFrame, n: int, settings: Settings) -> DataFrame:
+    """The first ``n`` candidates of every batch in rank order, ranks having gaps after a filter.
+
+    Pass materialized ``candidates``: they are read twice.
+    """
+    part = Part(F.floor(F.col("rank") / settings.slice_rows))
+    return ordered_rank(candidates, ["batch_id"], [part], [F.col("rank")], "_place").filter(
+        F.col("_place") <= n).drop("_place")
+
+
 def filtered(candidates: DataFrame, text: str = "", flagged_only: bool = False, n: int | None = None) -> DataFrame:
     """Search, flag filter, then top-n, in that order."""
     rows = search(candidates, text) if text else candidates
@@ -45,9 +57,14 @@ def score_bands(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(scores.band(F.col("score")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def chart_bars(candidates: DataFrame) -> DataFrame:
+    """Candidates with their name cut to its first word."""
+    return candidates.withColumn("name", F.split("name", " ")[0])
+
+
 def chart(candidates: DataFrame, n: int = 10) -> DataFrame:
     """First word of the name and score of the first ``n`` candidates."""
-    return top(candidates, n).select("rank", F.split("name", " ")[0].alias("name"), "score")
+    return chart_bars(top(candidates, n)).select("rank", "name", "score")
 
 
 def first_uploads(files: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

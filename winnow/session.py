@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # File contents travel to the codecs in batches; keep a batch of large files small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "64",
 }
 
 

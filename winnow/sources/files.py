@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow import fixed
+from winnow.operators.slices import materialize
 
 SUPPORTED = [ext for group in fixed.FILE_TYPES.values() for ext in group]
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -70,19 +71,29 @@ def scan_folder(spark: SparkSession, folder: str, extensions=None) -> DataFrame:
 
 # --- ZIP bundles ---------------------------------------------------------------------------------------------------
 
+# Unpacked bytes that are sent on together.
+FLUSH_BYTES = 16_000_000
+
+
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["bundle", "path", "content", "error"]
+    rows, held = [], 0
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as bundle:
                     for item in bundle.infolist():
-                        if not item.is_dir():
-                            # One member at a time, so only one is unpacked in memory.
-                            yield pd.DataFrame({"bundle": [path], "path": [item.filename],
-                                                "content": [bundle.read(item)], "error": [None]})
+                        if item.is_dir():
+                            continue
+                        rows.append((path, item.filename, bundle.read(item), None))
+                        held += item.file_size
+                        if held > FLUSH_BYTES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, held = [], 0
             except (zipfile.BadZipFile, RuntimeError, EOFError, NotImplementedError) as failure:
-                yield pd.DataFrame({"bundle": [path], "path": [None], "content": [None],
-                                    "error": [type(failure).__name__]})
+                rows.append((path, None, None, type(failure).__name__))
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def expand_zips(bundles: DataFrame) -> DataFrame:
@@ -165,12 +176,35 @@ def parse_files(files: DataFrame, extracted: DataFrame | None = None) -> DataFra
     """
     typed = supported_files(files)
     documents = read_docx(typed.filter(F.col("file_type") == "docx"))
-    others = typed.filter(F.col("file_type") != "docx").select("path", "filename")
+    return documents.unionByName(_attach_texts(typed.filter(F.col("file_type") != "docx"), extracted))
+
+
+def parse_folder(spark: SparkSession, folder: str, extracted: DataFrame | None = None) -> DataFrame:
+    """``parse_files`` of a folder. Only DOCX content is read; of other files the path is enough."""
+    documents = supported_files(scan_folder(spark, folder, fixed.FILE_TYPES["docx"]))
+    rest = [ext for ext in SUPPORTED if ext not in fixed.FILE_TYPES["docx"]]
+    others = supported_files(scan_folder(spark, folder, rest).select("path"))
+    return read_docx(documents).unionByName(_attach_texts(others, extracted))
+
+
+def _attach_texts(typed: DataFrame, extracted: DataFrame | None) -> DataFrame:
+    others = typed.select("path", "filename")
     if extracted is not None:
         others = others.join(extracted.select("path", "raw_text"), "path", "left")
     else:
         others = others.withColumn("raw_text", F.lit(None).cast("string"))
-    others = others.select(
+    return others.select(
         "path", "filename", F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.when(F.col("raw_text").isNull(), F.lit("NoExtractor")).alias("error"))
-    return documents.unionByName(others)
+
+
+def as_resumes(parsed: DataFrame, batch_id: Column) -> DataFrame:
+    """Parsed files as resumes: numbered in path order and written once, so that numbers stay what they are.
+
+    Numbers grow along the sorted partitions without any task seeing all rows; ``batch_id`` is a column of
+    ``parsed``, for example the file's folder.
+    """
+    ordered = parsed.orderBy("path").select(
+        batch_id.alias("batch_id"), F.monotonically_increasing_id().alias("resume_id"), "filename", "raw_text")
+    return materialize(ordered.select(
+        "batch_id", "resume_id", F.col("resume_id").alias("ordinal"), "filename", "raw_text"))
