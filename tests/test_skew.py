@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from winnow import config
 from winnow.catalog import fixture
-from winnow.operators import scoring
+from winnow.operators import dashboard, scoring
 from winnow.operators.slices import Part, join_batch_facts, materialize, ordered_rank, slice_of
 from winnow.plans.screen import screen
 
@@ -87,3 +87,20 @@ def test_screening_does_not_depend_on_slices(spark, keywords_only):
         return sorted(tuple(str(v) for v in r) for r in out.collect())
 
     assert run(LARGE) == run(SMALL)
+
+
+def test_missing_batch_and_text_lose_no_rows(spark):
+    rows = spark.createDataFrame(
+        [(None, 1, 1, "a.docx", "python"), (None, 2, 2, "b.docx", None), ("x", 3, 1, None, "sql")],
+        "batch_id string, resume_id bigint, ordinal bigint, filename string, raw_text string")
+    jobs = spark.createDataFrame([("x", "sql")], "batch_id string, job_description string")
+    out = {r["resume_id"]: r for r in screen(rows, jobs, LARGE).collect()}
+    assert {k: r["rank"] for k, r in out.items()} == {1: 1, 2: 2, 3: 1}
+    assert out[2]["text_length"] == 0 and out[3]["jd_matched_skills"] == ["sql"]
+
+
+def test_first_uploads_treat_missing_names_as_one(spark):
+    rows = spark.createDataFrame([("b", None, 2), ("b", None, 1), ("b", "x", 3), (None, None, 4)],
+                                 "batch_id string, filename string, ordinal bigint")
+    kept = dashboard.first_uploads(rows, ["batch_id", "filename"], ["ordinal"])
+    assert sorted(r["ordinal"] for r in kept.collect()) == [1, 3, 4]

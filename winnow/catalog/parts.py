@@ -8,6 +8,7 @@ from winnow.catalog.registry import part, sql_list, sql_text
 from winnow.functions import sections as sec
 
 NL = "chr(10)"
+CERTIFICATE_SQL = sql_text("(?:" + "|".join(fixed.CERTIFICATE_KEYWORDS) + ")" + fixed.CERTIFICATE_REST)
 
 
 def strip(x: str) -> str:
@@ -159,7 +160,7 @@ FROM experience""")
 part("mentions", f"""
 SELECT resume_id, n, mention FROM (
   SELECT resume_id, unnest(range(len(m))) AS n, {strip('unnest(m)')} AS mention
-  FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), {sql_text(fixed.CERTIFICATE)}) AS m FROM resumes))
+  FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), {CERTIFICATE_SQL}) AS m FROM resumes))
 WHERE length(mention) > {fixed.MIN_CERTIFICATE_CHARS}""")
 part("certificate_rows", f"""
 SELECT resume_id, n, mention FROM mentions

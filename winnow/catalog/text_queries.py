@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from winnow import fixed
 from winnow.catalog import parts as P
 from winnow.catalog.fixture import AS_OF_YEAR, jobs, resumes, table
-from winnow.catalog.registry import query, sql_text
+from winnow.catalog.registry import query
 from winnow.config import scoring
 from winnow.functions import extract, projects, sections
 from winnow.functions.common import found, is_blank, numbered, text_lines
@@ -166,7 +166,7 @@ def ext7(spark, folder):
 @query("ext8_mentions", f"""
 SELECT resume_id, row_number() OVER (PARTITION BY resume_id ORDER BY n) - 1 AS n, mention FROM (
   SELECT resume_id, unnest(range(len(m))) AS n, {P.strip('unnest(m)')} AS mention
-  FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), {sql_text(fixed.CERTIFICATE)}) AS m FROM docs))
+  FROM (SELECT resume_id, regexp_extract_all(lower(raw_text), {P.CERTIFICATE_SQL}) AS m FROM docs))
 WHERE length(mention) > {fixed.MIN_CERTIFICATE_CHARS}""")
 def ext8(spark, folder):
     rows = documents(spark, folder).select(KEY, F.posexplode(extract.certificate_mentions(F.col("raw_text"))))

@@ -22,8 +22,8 @@ class Settings:
     # Rows of one batch that share a slice. Bounds every group that a task must hold, see winnow.plans.slices.
     slice_rows: int = 1_000_000
     # Largest side that may be broadcast, in rows and in characters of text. Beyond it the sliced join is used.
-    broadcast_rows: int = 200_000
-    broadcast_chars: int = 32_000_000
+    broadcast_rows: int = 100_000
+    broadcast_chars: int = 8_000_000
 
 
 def scoring(as_of_year: int, **changes) -> Settings:

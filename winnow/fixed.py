@@ -143,10 +143,12 @@ FIELD_STOP_WORDS = [
 ]
 
 # Certificate mentions run from a keyword to the next . , ; or line end.
-CERTIFICATE = (
-    r"(?:aws[\s\-]?certified|certified|certification|certificate|coursera|udemy|google[\s\-]?cloud|"
-    r"azure[\s\-]?certified|professional\s*certificate|nanodegree|specialization|licensed|registered)[^\n.,;]*"
-)
+CERTIFICATE_KEYWORDS = [
+    r"aws[\s\-]?certified", "certified", "certification", "certificate", "coursera", "udemy",
+    r"google[\s\-]?cloud", r"azure[\s\-]?certified", r"professional\s*certificate", "nanodegree",
+    "specialization", "licensed", "registered",
+]
+CERTIFICATE_REST = r"[^\n.,;]*"
 MIN_CERTIFICATE_CHARS = 5
 
 # What opens a project. Patterns apply to a stripped line, letter case ignored.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from winnow import fixed
 from winnow.functions import sections
-from winnow.functions.common import found, found_any, let, numbered, pattern, strip, text_lines
+from winnow.functions.common import found, found_any, let, nested, numbered, pattern, strip, text_lines
 
 
 # --- contact -----------------------------------------------------------------------------------------------------
@@ -124,9 +124,13 @@ def education_quality(degree: Column, bonus: Column) -> Column:
 
 # --- certificates ------------------------------------------------------------------------------------------------------
 
+# Which keyword starts a mention does not matter, so they may be tried in any order.
+CERTIFICATE = nested(fixed.CERTIFICATE_KEYWORDS) + fixed.CERTIFICATE_REST
+
+
 def certificate_mentions(text: Column) -> Column:
     """Keyword mentions anywhere in the text, lower-cased, in order, repetitions kept."""
-    raw = F.regexp_extract_all(F.lower(text), F.lit(pattern(fixed.CERTIFICATE)), 0)
+    raw = F.regexp_extract_all(F.lower(text), F.lit(pattern(CERTIFICATE)), 0)
     return F.filter(F.transform(raw, strip), lambda m: F.length(m) > fixed.MIN_CERTIFICATE_CHARS)
 
 

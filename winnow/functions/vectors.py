@@ -30,7 +30,7 @@ def term_vector(text: Column) -> Column:
             F.transform(s, lambda i: F.get(ordered, i)),
             F.transform(s, lambda i, j: (F.coalesce(F.get(s, j + 1), F.size(ordered)) - i).cast("double"))))
 
-    return let(F.array_sort(terms(text)), count_runs)
+    return let(F.sort_array(terms(text)), count_runs)
 
 
 def norm(vector: Column) -> Column:
@@ -40,8 +40,8 @@ def norm(vector: Column) -> Column:
 
 def cosine(a: Column, b: Column, norm_b: Column | None = None) -> Column:
     """Cosine of two MAP vectors; 0 if either is empty. Give ``norm_b`` where ``b`` meets many vectors."""
-    shared = F.array_intersect(F.map_keys(a), F.map_keys(b))
-    dot = F.aggregate(shared, F.lit(0.0), lambda acc, t: acc + F.element_at(a, t) * F.element_at(b, t))
+    products = F.map_values(F.map_zip_with(a, b, lambda term, x, y: F.coalesce(x * y, F.lit(0.0))))
+    dot = F.aggregate(products, F.lit(0.0), lambda acc, p: acc + p)
     return F.when((F.size(a) > 0) & (F.size(b) > 0), dot / (norm(a) * (norm(b) if norm_b is None else norm_b))
                   ).otherwise(F.lit(0.0))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,5 +77,6 @@ def first_uploads(files: DataFrame, keys: list[str], order: list[str]) -> DataFr
     on the map side; rows are then kept by their full key, whose groups hold one row.
     """
     first = files.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first")).select(
-        *keys, *[F.col("_first")[name].alias(name) for name in order])
-    return files.join(first, [*keys, *order], "left_semi")
+        *[F.col(k).alias(f"_{k}") for k in keys], *[F.col("_first")[k].alias(f"_{k}") for k in order])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in (*keys, *order)])
+    return files.join(first, same, "left_semi")

@@ -117,9 +117,12 @@ def with_skills(df: DataFrame, settings: Settings, text: str = "raw_text") -> Da
 def features(resumes: DataFrame, settings: Settings) -> DataFrame:
     """Everything a score needs from the resume alone. The text itself goes no further.
 
-    Columns a plan does not use are pruned with the work behind them. ``resumes`` has ``batch_id, resume_id, ordinal, filename, raw_text``.
+    Columns a plan does not use are pruned with the work behind them. ``resumes`` has ``batch_id, resume_id,
+    ordinal, filename, raw_text``; ordinals are unique within a batch. A missing text is an empty one, and rows
+    without a batch form one.
     """
-    df = with_segments(resumes)
+    whole = resumes.withColumns({c: F.coalesce(c, F.lit("")) for c in ("batch_id", "raw_text")})
+    df = with_segments(whole)
     df = section_texts(df, ["work", "education", "projects", "certificates"]).drop("headings", "segments")
     df = with_experience(df, settings)
     df = with_certificates(df)

@@ -62,9 +62,9 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def fits_broadcast(small: DataFrame, settings: Settings, text: str | None = None) -> bool:
     """Whether a table is within the broadcast bound, by rows and by characters of its text column."""
-    chars = F.sum(F.length(text)) if text else F.lit(0)
-    sample = small.limit(settings.broadcast_rows + 1).agg(F.count(F.lit(1)).alias("n"), chars.alias("chars"))
-    size = sample.head()
+    chars = F.length(text) if text else F.lit(0)
+    size = small.select(chars.alias("chars")).limit(settings.broadcast_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).head()
     return size["n"] <= settings.broadcast_rows and (size["chars"] or 0) <= settings.broadcast_chars
 
 
@@ -77,8 +77,8 @@ def join_batch_facts(rows: DataFrame, facts: DataFrame, settings: Settings, text
     """
     if fits_broadcast(facts, settings, text):
         return rows.join(F.broadcast(facts), "batch_id", how)
-    spread = rows.select("batch_id", SLICE).distinct().join(facts, "batch_id")
-    return rows.join(spread, ["batch_id", SLICE], how)
+    per_slice = rows.select("batch_id", SLICE).distinct().join(facts, "batch_id")
+    return rows.join(per_slice, ["batch_id", SLICE], how)
 
 
 @dataclass(frozen=True)
