@@ -56,6 +56,13 @@ def test_append_keeps_earlier_batches(spark, tmp_path):
         ("a", 3.0), ("b", 2.0)]
 
 
+def test_batch_ids_stay_text(spark, tmp_path):
+    path = str(tmp_path / "store")
+    ids = ["007", "7", "2024-01-01", "1e5"]
+    store.append(spark.createDataFrame([(b, "n") for b in ids], "batch_id string, name string"), path)
+    assert sorted(r["batch_id"] for r in store.read_store(spark, path).collect()) == sorted(ids)
+
+
 def test_latest_batch_of_an_empty_store(spark):
     empty = spark.createDataFrame([], "batch_id string, uploaded_at string, name string")
     assert store.latest_batch(empty).count() == 0
@@ -91,7 +98,9 @@ def at_once(spark):
     return sorted((r["batch_id"], r["rank"], r["filename"], r["score"], r["is_anomaly"]) for r in rows.collect())
 
 
-def test_stream_equals_batch_and_replays(spark, tmp_path, at_once):
+@pytest.mark.parametrize("pruned", [1000, 0], ids=["filter", "join"])
+def test_stream_equals_batch_and_replays(spark, tmp_path, at_once, monkeypatch, pruned):
+    monkeypatch.setattr(incremental, "PRUNED_BATCHES", pruned)
     arrived, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows, jobs = fixture.resumes(spark, FOLDER), fixture.jobs(spark, FOLDER)
 

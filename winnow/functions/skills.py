@@ -24,9 +24,13 @@ def matched_skills(text: Column, terms) -> Column:
                  for longer, shorter in implied]
         return F.concat(present, *extra) if extra else present
 
+    def in_order(present: Column) -> Column:
+        if len(set(terms)) == len(terms):
+            return F.array_intersect(ordered, present)
+        return F.filter(ordered, lambda term: F.array_contains(present, term))  # keeps repetitions
+
     def pick(present: Column) -> Column:
-        return F.when(F.size(present) == 0, empty_texts()).otherwise(let(
-            complete(present), lambda p: F.filter(ordered, lambda term: F.array_contains(p, term))))
+        return F.when(F.size(present) == 0, empty_texts()).otherwise(let(complete(present), in_order))
 
     return let(F.array_distinct(F.concat(*hits)), pick)
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from winnow.config import Settings
 from winnow.functions import scores
 from winnow.operators import scoring
-from winnow.operators.features import features
+from winnow.operators.features import boundary, features
 from winnow.operators.slices import materialize
 
 
 def compared(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:
     """Features of every resume compared with its batch's job."""
     df = scoring.with_job(features(resumes, settings), jobs, settings)
-    return scoring.with_similarity(scoring.with_overlap(df), settings)
+    return boundary(scoring.with_similarity(scoring.with_overlap(df), settings))
 
 
 def keyword_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 CANDIDATE = (
     "rank bigint, name string, score double, matched_skills array<string>, jd_matched_skills array<string>, "
@@ -50,7 +51,10 @@ def _colon(declaration: str) -> str:
 # --- reading --------------------------------------------------------------------------------------------------------
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """A table partitioned by batch. Batch ids are text even where they look like numbers or dates."""
+    found = spark.read.parquet(path).schema
+    typed = StructType([StructField(f.name, StringType()) if f.name == "batch_id" else f for f in found])
+    return spark.read.schema(typed).parquet(path)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Incremental screening: files of resumes arrive, their batches are scored, ranked, flagged and stored.
 
-Two tables are kept. ``scores`` gets the arriving resumes' scores, one partition per micro-batch, so a replay
-overwrites its own partition. ``candidates`` holds ranked batches; only batches touched by the micro-batch are
-ranked again, from all their scores, and replaced. Either write can be repeated without changing the result, and
-a batch may arrive over several micro-batches.
+Two tables are kept, both partitioned by batch. ``scores`` gets the arriving resumes' scores, one sub-partition per
+micro-batch, so a replay overwrites its own. ``candidates`` holds ranked batches; only batches touched by the
+micro-batch are read, ranked again from all their scores, and replaced. Either write can be repeated without changing
+the result, and a batch may arrive over several micro-batches.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from winnow.operators.slices import SLICE, join_batch_facts, materialize, slice_
 from winnow.plans.screen import blended_scores, keyword_scores
 from winnow.sources import store
 
+# Batches of one micro-batch that are named in a partition filter.
+PRUNED_BATCHES = 1000
 RESUME_SCHEMA = "batch_id string, resume_id bigint, ordinal bigint, filename string, raw_text string"
 
 
@@ -24,11 +26,19 @@ def read_arrivals(spark: SparkSession, folder: str, files_per_trigger: int = 100
     return (spark.readStream.schema(RESUME_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def _touched_scores(spark: SparkSession, scores_path: str, epoch: int, settings: Settings) -> DataFrame:
-    """All scores of the batches that the micro-batch added to."""
-    scored = spark.read.parquet(scores_path).withColumn(SLICE, slice_of(F.col("ordinal"), settings))
-    touched = scored.filter(F.col("epoch") == epoch).select("batch_id").distinct()
-    return join_batch_facts(scored, touched, settings, how="left_semi").drop("epoch", SLICE)
+def _touched_scores(rows: DataFrame, scores_path: str, settings: Settings) -> DataFrame:
+    """All scores of the batches that the micro-batch ``rows`` added to.
+
+    Few ids become a partition filter, so other batches are not read; many are joined.
+    """
+    batch = F.coalesce("batch_id", F.lit(""))
+    scored = store.read_store(rows.sparkSession, scores_path).drop("epoch").withColumn("batch_id", batch)
+    touched = rows.select(batch.alias("batch_id")).distinct()
+    ids = [r["batch_id"] for r in touched.limit(PRUNED_BATCHES + 1).collect()]
+    if len(ids) <= PRUNED_BATCHES:
+        return scored.filter(F.col("batch_id").isin(ids))
+    sliced = scored.withColumn(SLICE, slice_of(F.col("ordinal"), settings))
+    return join_batch_facts(sliced, touched, settings, how="left_semi").drop(SLICE)
 
 
 def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Settings, model=None,
@@ -37,12 +47,11 @@ def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Se
     scores_path, candidates_path = f"{out}/scores", f"{out}/candidates"
 
     def screen_epoch(rows: DataFrame, epoch: int) -> None:
-        spark = rows.sparkSession
         scored = (keyword_scores(rows, jobs, settings) if keywords_only
                   else blended_scores(rows, jobs, settings, model))
-        (scored.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(scores_path))
-        touched = materialize(_touched_scores(spark, scores_path, epoch, settings))
+        (scored.withColumn("epoch", F.lit(epoch)).hint("rebalance", "batch_id").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "epoch").parquet(scores_path))
+        touched = materialize(_touched_scores(rows, scores_path, settings))
         store.replace_batches(scoring.rank_and_flag(touched, settings), candidates_path)
 
     query = (
