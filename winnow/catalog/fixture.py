@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnow.catalog.registry import sql_text
 from winnow.operators.slices import spread
 
 K = "c_custkey"
@@ -39,6 +40,21 @@ def _choose(by: str, options: dict[int, str], otherwise: str = "''") -> str:
     return f"(CASE {by} {branches} ELSE {otherwise} END)"
 
 
+def _when(condition: str, text: str) -> str:
+    return f"(CASE WHEN {condition} THEN {text} ELSE '' END)"
+
+
+def _text(*parts: str) -> str:
+    """One line made of SQL expressions and, where they start with ``=``, literal text."""
+    items = [sql_text(p[1:]) if p.startswith("=") else p for p in parts]
+    return items[0] if len(items) == 1 else f"concat({', '.join(items)})"
+
+
+def _lines(*lines: str) -> str:
+    """Text lines, each ended by a line break; ``=`` marks literal text."""
+    return "concat(" + ", ".join(f"{_text(line)}, chr(10)" for line in lines) + ")"
+
+
 def _skill(j: int) -> str:
     names = ",".join(LISTED_SKILLS)
     return f"split_part('{names}', ',', CAST(({K} * 7 + {j * 11}) % 35 + 1 AS INT))"
@@ -48,72 +64,77 @@ def _skill_list() -> str:
     parts = [_skill(0)]
     for j in range(1, 10):
         text = f"concat(', ', {_skill(j)})"
-        parts.append(text if j <= 2 else f"(CASE WHEN {j - 2} <= {K} % 8 THEN {text} ELSE '' END)")
-    return "concat(" + ", ".join(parts) + ")"
+        parts.append(text if j <= 2 else _when(f"{j - 2} <= {K} % 8", text))
+    return f"concat({', '.join(parts)})"
+
+
+KEY = f"CAST({K} AS VARCHAR(20))"
+_START = f"CAST(2005 + {K} % 10 AS VARCHAR(4))"
+_END = f"(CASE WHEN {K} % 4 = 0 THEN 'Present' ELSE CAST(2008 + {K} % 10 AS VARCHAR(4)) END)"
+_CONTACT = _choose(f"{K} % 4", {
+    0: _text("=user", KEY, "=@mail.example"),
+    1: _text("=Phone +1 (555) 010-2345"),
+    2: _text("=linkedin.com/in/user", KEY),
+}, "'Somewhere'")
+_STATED = _choose(f"{K} % 7", {
+    0: _text(f"CAST({K} % 12 AS VARCHAR(4))", "=+ years of experience in delivery"),
+    1: _text("=40 years of work experience"),
+}, "'Builds data pipelines'")
+
+
+def _work() -> str:
+    heading = _choose(f"{K} % 4", {0: "'Work Experience'", 2: "'EMPLOYMENT HISTORY :'"}, "'Experience'")
+    job = _text("=Engineer - Tech Corp (", _START, "=-", _END, "=)")
+    second = _when(f"{K} % 2 = 0", _lines("=Analyst, Acme Ltd 2001 to 2003"))
+    warranty = _when(f"{K} % 11 = 0", _lines("=3 years warranty desk"))
+    return f"concat({_lines(heading, job)}, {second}, {warranty}, chr(10))"
+
+
+def _certificates() -> str:
+    return _choose(f"{K} % 4", {
+        1: _lines("=Certifications", "=AWS Certified Developer", "=Google Cloud Engineer, 2020",
+                  "=aws certified developer", "=PMP", "=Sql Expert Award", "=sql expert award"),
+        2: _lines("=Certificates: Certified Scrum Master; Coursera machine learning"),
+    })
 
 
-def _lines(*lines: str) -> str:
-    """Text lines, each ended by a line break. Arguments are SQL expressions."""
-    return "concat(" + ", ".join(f"{line}, chr(10)" for line in lines) + ")"
-
-
-def _key() -> str:
-    return f"CAST({K} AS VARCHAR(20))"
-
-
-def _sections() -> str:
-    key = _key()
-    year = f"CAST(2005 + {K} % 10 AS VARCHAR(4))"
-    end = f"(CASE WHEN {K} % 4 = 0 THEN 'Present' ELSE CAST(2008 + {K} % 10 AS VARCHAR(4)) END)"
-    contact = _choose(f"{K} % 4", {
-        0: f"concat('user', {key}, '@mail.example')",
-        1: "'Phone +1 (555) 010-2345'",
-        2: f"concat('linkedin.com/in/user', {key})",
-    }, "'Somewhere'")
-    stated = _choose(f"{K} % 7", {
-        0: f"concat(CAST({K} % 12 AS VARCHAR(4)), '+ years of experience in delivery')",
-        1: "'40 years of work experience'",
-    }, "'Builds data pipelines'")
-    skills = _choose(f"{K} % 3", {
-        0: _lines("'Skills'", "skill_list"),
-        1: _lines("concat('Technical Skills: ', skill_list)"),
-        2: _lines("'  CORE COMPETENCIES : '", "skill_list", "'c++11, javascript'"),
-    })
-    work_heading = _choose(f"{K} % 4", {
-        0: "'Work Experience'", 1: "'Experience'", 2: "'EMPLOYMENT HISTORY :'", 3: "'Experience'"})
-    warranty = f"(CASE WHEN {K} % 11 = 0 THEN {_lines(chr(39) + '3 years warranty desk' + chr(39))} ELSE '' END)"
-    second = (f"(CASE WHEN {K} % 2 = 0 THEN {_lines(chr(39) + 'Analyst, Acme Ltd 2001 to 2003' + chr(39))} "
-              f"ELSE '' END)")
-    work = f"concat({_lines(work_heading, f'''concat('Engineer - Tech Corp (', {year}, '-', {end}, ')')''')}, " \
-           f"{second}, {warranty}, {_lines(chr(39) * 2)})"
+def _education() -> str:
+    heading = _choose(f"{K} % 2", {0: "'Education'"}, "'Academic Background:'")
     degree = _choose(f"{K} % 5", {
         0: "'Ph.D in Physics'", 1: "'M.Sc in Computer Science'", 2: "'B.S. in Computer Science'",
         3: "'Diploma in Design'"}, "'Self taught'")
-    education = (f"(CASE WHEN {K} % 13 = 0 THEN '' ELSE "
-                 f"{_lines(_choose(f'{K} % 2', {0: chr(39) + 'Education' + chr(39)}, chr(39) + 'Academic Background:' + chr(39)), degree, chr(39) + '2010 - 2014 State University' + chr(39))} END)")
-    certificates = _choose(f"{K} % 4", {
-        1: _lines("'Certifications'", "'AWS Certified Developer'", "'Google Cloud Engineer, 2020'",
-                  "'aws certified developer'", "'PMP'", "'Sql Expert Award'", "'sql expert award'"),
-        2: _lines("'Certificates: Certified Scrum Master; Coursera machine learning'"),
+    return _when(f"{K} % 13 <> 0", _lines(heading, degree, "=2010 - 2014 State University"))
+
+
+def _projects() -> str:
+    block = "=large migration of billing data to a new warehouse with python and sql jobs for nightly loads"
+    kind = f"(CASE WHEN {K} % 12 = 10 THEN 10 ELSE {K} % 6 END)"
+    return _choose(kind, {
+        0: _lines("=Projects", "=- Web shop built with react and node.js for sales",
+                  "=  with a full stack of html and css", "=- Chat service in python and docker", "=* tiny"),
+        1: _lines("=Personal Projects", "=E-commerce Website", "=built with django and sql", "=",
+                  "=AI Chatbot System", "=uses tensorflow for machine learning", "=notes 2019-2020 developing"),
+        2: _lines("=Projects", block, block, block, "=", block, block),
+        3: _lines("=Project Title: Parser", "=uses python and sql", "=Project - Mobile app", "=in typescript"),
+        4: _lines("=Projects", "=- tiny one", "=- small two"),
+        5: _lines("=Projects: Data lake with sql and python on aws"),
     })
-    block = "'large migration of billing data to a new warehouse with python and sql jobs for nightly loads'"
-    projects = _choose(f"(CASE WHEN {K} % 12 = 4 THEN 4 WHEN {K} % 12 = 10 THEN 10 ELSE {K} % 6 END)", {
-        4: _lines("'Projects'", "'- tiny one'", "'- small two'"),
-        0: _lines("'Projects'", "'- Web shop built with react and node.js for sales'",
-                  "'  with a full stack of html and css'", "'- Chat service in python and docker'", "'* tiny'"),
-        1: _lines("'Personal Projects'", "'E-commerce Website'", "'built with django and sql'", "''",
-                  "'AI Chatbot System'", "'uses tensorflow for machine learning'", "'notes 2019-2020 developing'"),
-        2: _lines("'Projects'", block, block, block, "''", block, block),
-        3: _lines("'Project Title: Parser'", "'uses python and sql'", "'Project - Mobile app'", "'in typescript'"),
-        5: _lines("'Projects: Data lake with sql and python on aws'"),
+
+
+def _resume() -> str:
+    skills = _skill_list()
+    section = _choose(f"{K} % 3", {
+        0: _lines("=Skills", skills),
+        1: _lines(_text("=Technical Skills: ", skills)),
+        2: _lines("=  CORE COMPETENCIES : ", skills, "=c++11, javascript"),
     })
-    stuffing = f"(CASE WHEN {K} % 20 = 7 THEN repeat(concat(skill_list, ' '), 100) ELSE '' END)"
-    headed = (f"concat({_lines(f'''concat('Candidate ', {key})''', contact, chr(39) + 'Summary' + chr(39), stated)}, "
-              f"{skills}, {work}, {certificates}, {education}, {projects}, {stuffing})")
-    plain = _lines(f"concat('Candidate ', {key}, ' ', {contact})", "skill_list",
-                   f"concat('Worked at Acme Solutions ', {year}, ' - ', {end}, ' as developer')", "''",
-                   "'Likes hiking'", "'and chess'", "'and tea'", "'and books'", "concat('Master thesis 2011-2013')",
-                   stated)
+    stuffing = _when(f"{K} % 20 = 7", f"repeat(concat({skills}, ' '), 100)")
+    head = _lines(_text("=Candidate ", KEY), _CONTACT, "=Summary", _STATED)
+    headed = (f"concat({head}, {section}, {_work()}, {_certificates()}, {_education()}, {_projects()}, {stuffing})")
+    plain = _lines(
+        _text("=Candidate ", KEY, "= ", _CONTACT), skills,
+        _text("=Worked at Acme Solutions ", _START, "= - ", _END, "= as developer"), "=",
+        "=Likes hiking", "=and chess", "=and tea", "=and books", "=Master thesis 2011-2013", _STATED)
     return f"(CASE WHEN {K} % 17 = 5 THEN {plain} ELSE {headed} END)"
 
 
@@ -122,17 +143,17 @@ def skill_list_sql() -> str:
 
 
 def raw_text_sql() -> str:
-    return _sections().replace("skill_list", _skill_list())
+    return _resume()
 
 
 def filename_sql() -> str:
     return _choose(f"{K} % 8", {
-        0: "'resume.pdf'",
-        1: f"concat('jane-o''neil', {_key()}, '.cv.docx')",
-        2: f"concat('CV_Resume_', {_key()}, '.docx')",
-        3: f"concat('Cvetkov_', {_key()}, '_resume.doc')",
-        4: f"concat('mary_ann-smith_', {_key()}, '.docx')",
-    }, f"concat('candidate_', {_key()}, '_resume.docx')")
+        0: _text("=resume.pdf"),
+        1: _text("=jane-o'neil", KEY, "=.cv.docx"),
+        2: _text("=CV_Resume_", KEY, "=.docx"),
+        3: _text("=Cvetkov_", KEY, "=_resume.doc"),
+        4: _text("=mary_ann-smith_", KEY, "=.docx"),
+    }, _text("=candidate_", KEY, "=_resume.docx"))
 
 
 def batch_sql() -> str:

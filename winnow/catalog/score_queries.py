@@ -126,11 +126,11 @@ CENTRE = "(SELECT embedding AS centre FROM embeddings WHERE vec_id = (SELECT min
 
 
 def _embeddings(spark, folder) -> DataFrame:
-    """Vectors with their cosine to the first one."""
+    """Vectors with their cosine to the first one, which plays the job."""
     rows = table(spark, folder, "embeddings")
-    first = rows.agg(F.min_by("embedding", "vec_id").alias("centre")).withColumn("one", F.lit(1))
-    both = rows.withColumn("one", F.lit(1)).join(F.broadcast(first), "one")  # a single vector
-    return both.select("vec_id", "label", vectors.dense_cosine(F.col("embedding"), F.col("centre")).alias("cosine"))
+    centre = rows.agg(F.min_by("embedding", "vec_id")).head()[0]  # a single vector
+    cosine = vectors.dense_cosine(F.col("embedding"), F.array(*[F.lit(v) for v in centre]))
+    return rows.select("vec_id", "label", cosine.alias("cosine"))
 
 
 @query("sim2_dense", "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), "
