@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import io
+import os
+import subprocess
+import sys
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from winnow.catalog.files_fixture import make_docx
@@ -85,3 +89,12 @@ def test_extensions(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(files.extension(F.col("n"))).collect()] == [
         ".docx", ".gz", "", "", ".", "", ".jpeg"]
+
+
+def test_codecs_load_where_the_package_is_missing(tmp_path):
+    code = ("import pickle, sys; from pyspark import cloudpickle; codec = pickle.load(sys.stdin.buffer); "
+            "assert 'winnow' not in sys.modules; print(codec.__name__)")
+    for codec in (files._docx_texts, files._members):
+        done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(codec), cwd=tmp_path,
+                              capture_output=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        assert done.stdout.decode().strip() == codec.__name__, done.stderr.decode()

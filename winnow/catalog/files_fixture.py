@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from winnow.catalog.fixture import K, batch_sql, job_sql, raw_text_sql, resumes,
 from winnow.functions.skills import matched_skills
 from winnow.operators.slices import spread
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 

@@ -6,11 +6,13 @@ Only the two codecs (ZIP, DOCX) run in Python, each on the bytes of one file at
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from winnow import fixed
 from winnow.operators.slices import materialize
 
 SUPPORTED = [ext for group in fixed.FILE_TYPES.values() for ext in group]
+# Executors need not have this package: its codecs travel with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
