@@ -5,9 +5,8 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from winnow.llm import packing, separators, sharding, warc
+from winnow.llm import decontamination, language, packing, separators, sharding, topk, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -26,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages")).drop("archive")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -39,5 +42,56 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op5_packing, op6_separator_scan, op7_sharding)}
-ORACLES: dict[str, str] = {}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_decontamination, op5_packing, op6_separator_scan, op7_sharding,
+                                   op8_topk, op9_language)}
+ORACLES: dict[str, str] = {
+    "op2_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, strlen(coalesce(decode(b), ''))::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN 'revisit' ELSE 'response' END
+                   AS record_type,
+               CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+        FROM d LEFT JOIN f USING (payload_digest)""",
+    "op3_decontamination": r"""
+        WITH w AS (
+            SELECT doc_id, row_number() OVER () AS k, list_filter(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+        i AS (
+            SELECT item_id::VARCHAR AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+        s AS (SELECT item_id, words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS p0 FROM i WHERE len(words) > 0),
+        t AS (SELECT DISTINCT item_id, array_to_string(list_slice(words, p0, p0 + 12), ' ') AS phrase, len(list_slice(words, p0, p0 + 12)) AS n FROM s),
+        sizes AS (SELECT DISTINCT n FROM t),
+        p AS (SELECT k, words, unnest(range(1, len(words) + 1)) AS p0 FROM w),
+        h AS (SELECT k, p0, n, item_id FROM (
+                SELECT k, p0, sizes.n, array_to_string(list_slice(words, p0, p0 + sizes.n - 1), ' ') AS phrase
+                FROM p, sizes WHERE p0 + sizes.n - 1 <= len(words)) JOIN t USING (phrase, n)),
+        hit AS (SELECT k, count(DISTINCT p0 + o) AS n_hit FROM (SELECT k, p0, unnest(range(n)) AS o FROM h) GROUP BY k),
+        met AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+                FROM (SELECT DISTINCT k, item_id FROM h) GROUP BY k)
+        SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM w LEFT JOIN hit USING (k) LEFT JOIN met USING (k)""",
+    "op8_topk": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        WHERE rank <= 20""",
+}

@@ -40,8 +40,11 @@ def train_dictionary(payloads: DataFrame, column: str, rows: int = 400, row_byte
 
     It changes how small archives get, never what is in them. Without enough material there is none (empty bytes).
     """
-    picked = (payloads.select(F.substring(F.col(column).cast("binary"), 1, row_bytes).alias("p"))
-              .filter(F.octet_length("p") > 0).orderBy(F.xxhash64("p"), "p").limit(rows).collect())
+    piece = F.substring(F.col(column).cast("binary"), 1, row_bytes)
+    share = max(1, payloads.count() // (4 * rows))  # so that tasks send few rows, not ``rows`` each
+    picked = (payloads.select(piece.alias("p")).filter(F.octet_length("p") > 0)
+              .filter(F.pmod(F.xxhash64("p"), F.lit(share)) == 0).distinct()
+              .orderBy(F.xxhash64("p"), "p").limit(rows).collect())
     try:
         return zstandard.train_dictionary(size, [bytes(r["p"]) for r in picked]).as_bytes()
     except (zstandard.ZstdError, ValueError):
