@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from winnow.llm import decontamination, language, packing, separators, sharding, topk, warc
+from winnow.llm import decontamination, language, packing, separators, sharding, simhash, topk, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -50,8 +50,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3)
+
+
 QUERIES = {f.__name__: f for f in (op2_warc, op3_decontamination, op5_packing, op6_separator_scan, op7_sharding,
-                                   op8_topk, op9_language)}
+                                   op8_topk, op9_language, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
