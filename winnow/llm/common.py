@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from winnow.operators.slices import materialize as written
 from winnow.operators.slices import scratch_folder
 
-__all__ = ["file_system", "lower_ascii", "publish", "read_table", "shared_folder", "ship", "text_bytes", "written"]
+__all__ = ["file_system", "lower_ascii", "publish", "read_table", "release", "shared_folder", "ship", "text_bytes", "written"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,6 +60,13 @@ def publish(uri: str, write) -> None:
     system.move(part, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps whose results have been written down: its cleaner acts when the
+    driver's JVM finds that nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(text, F.lit("")).cast("binary")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winnow.llm import decontamination, language, packing, separators, sharding, simhash, topk, warc
+from winnow.llm import decontamination, language, packing, separators, sharding, simhash, suffixes, topk, toxicity, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -21,6 +22,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return f"{folder}/{name}" if folder else public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages")).drop("archive")
 
@@ -29,6 +35,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,7 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3)
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_decontamination, op5_packing, op6_separator_scan, op7_sharding,
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_suffixes, op5_packing, op6_separator_scan, op7_sharding,
                                    op8_topk, op9_language, op10_simhash)}
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
