@@ -103,7 +103,7 @@ def covered(hits: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
+    """Per document: ``doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated``; ``key`` as in ``keyed``."""
     texts = keyed(docs)
     named = written(test_windows(items))
     windows = written(named.select("phrase", "words").distinct().withColumn("window", F.monotonically_increasing_id()))
@@ -117,7 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     return texts.select("doc_id", "key", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words")).join(
         facts, "key", "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        "doc_id", "key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("n_words"))).alias("contaminated"))
 

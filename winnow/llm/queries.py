@@ -32,7 +32,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    docs, items = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontamination.contamination(docs, items).drop("key")
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3)
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3).drop("component_print")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_suffixes, op5_packing, op6_separator_scan, op7_sharding,

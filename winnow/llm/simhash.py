@@ -214,13 +214,15 @@ def links(prints: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry`` with ``fingerprint`` (hexadecimal) and ``component_id`` of every row."""
+    """The columns ``carry`` with ``fingerprint`` (hexadecimal), ``component_id`` and ``component_print`` (the same for
+    all rows of a component and for no other) of every row."""
     prints = written(fingerprints(docs, width, carry))
     entries = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
     roots = written(star_components(links(entries.select("print"), limit)))
     rooted = entries.join(roots, entries["print"] == roots["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root"))
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = written(rooted.join(least, "root").select("print", "component_id"))
+    named = written(rooted.join(least, "root").select("print", "component_id", F.col("root").alias("component_print")))
     return prints.join(named, "print").select(
-        *carry, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+        *carry, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id",
+        "component_print")

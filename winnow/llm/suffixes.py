@@ -397,21 +397,21 @@ def cut(texts: DataFrame, keep: bool) -> DataFrame:
                     end, last = max(end, stop), 0
                 kept.append(body[end:])
                 rest = b"".join(kept)
-                out.append((len(body) - len(rest), number, hashlib.sha256(rest).hexdigest(), rest if keep else None))
+                out.append((len(body) - len(rest), number, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep else None))
             columns = list(zip(*out)) if out else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, kinds))],
                 ["id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.select("id", "mark", "body", "spans").mapInArrow(
-        each, "id bigint, mark bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        each, "id bigint, mark bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep: bool = False,
                    crowd: int = CROWD) -> DataFrame:
-    """The columns ``carry`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (bytes;
-    null where nothing was removed)."""
+    """The columns ``carry`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the
+    text that is left, without the bytes of a character cut in two; null where nothing was removed)."""
     body = text_bytes(F.col("text"))
     rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
     facts = written(docs.select(
@@ -432,14 +432,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep:
         marked = spans(found.join(crowds, "part", "left_anti")).unionByName(
             crowded_spans(found.join(crowds, "part", "left_semi")))
     removed = written(marked).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    done = written(cut(long_texts.join(removed, ["id", "mark"]), keep).dropDuplicates(["id", "mark"]))
+    done = written(cut(long_texts.join(removed, ["id", "mark"]), keep).dropDuplicates(["id", "mark"])
+                   .withColumnsRenamed({"id": "_id", "mark": "_mark"}))
     copy = (F.col("_id") > F.col("_first")) & (F.col("n_bytes") >= MATCH)
     none = F.sha2(F.lit("").cast("binary"), 256)
-    joined = facts.join(firsts.drop("_mark"), "_sha").join(
-        done, (F.col("_id") == F.col("id")) & (F.col("_mark") == F.col("mark")), "left")
+    joined = facts.join(firsts.drop("_mark"), "_sha").join(done, ["_id", "_mark"], "left")
     return joined.select(
         *carry, "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(copy, none).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        *([F.when(copy, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept")] if keep else []))
+        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep else []))
