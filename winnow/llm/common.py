@@ -18,9 +18,17 @@ from winnow.operators.slices import scratch_folder
 __all__ = ["file_system", "lower_ascii", "publish", "read_table", "release", "shared_folder", "ship", "text_bytes", "written"]
 
 
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per session: their Python does not know the driver's import path."""
+    """Give executors this package, once per session: their Python does not know the driver's import path.
+
+    Also lets at most ``BATCH_ROWS`` rows travel to Python at once, as whole texts are among them.
+    """
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_llm_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -28,6 +28,7 @@ BITS, RUNS, FANOUT = 64, 4, 8
 NODE_ROWS = 2_048  # entries of a node before its remaining bits divide it
 DEPTH = 4  # 64, 48, 36, 27 bits left: nodes cannot grow with the corpus below that
 SEARCH_PAIRS = 4_000_000
+SEARCH_ROWS = 50_000
 SEED = 42
 
 
@@ -193,17 +194,20 @@ def links(prints: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> DataFram
                .sortWithinPartitions("mask", "pattern", gray_rank(F.col("print"))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, waiting = [], 0
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(3)])
-            rows = rows if held is None else np.hstack([held, rows])
+            held.append(np.stack([batch.column(k).to_numpy() for k in range(3)]))
+            waiting += batch.num_rows
+            if waiting < SEARCH_ROWS:
+                continue
+            rows = np.hstack(held)
             new = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
-            cut = new[-1] if len(new) else 0  # the last node may go on in the next batch
-            held = rows[:, cut:]
+            cut = int(new[-1]) if len(new) else 0  # the last node may go on in the next batch
+            held, waiting = [rows[:, cut:]], rows.shape[1] - cut if cut else 0
             if cut:
                 yield found(rows[:, :cut])
-        if held is not None and held.shape[1]:
-            yield found(held)
+        if held and sum(r.shape[1] for r in held):
+            yield found(np.hstack(held))
 
     def found(rows: np.ndarray) -> pa.RecordBatch:
         changed = np.concatenate([[False], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)])

@@ -30,6 +30,11 @@ MATCH, GRAM = 50, 24
 LEFT = MATCH - GRAM  # how far before its anchor a match may begin
 NEAR = LEFT + 1  # groups among which an anchor has the smallest hash
 CHUNK = 2 << 20  # bytes hashed at once
+SETTLE_BYTES = 12 << 20  # of texts whose anchors a task settles together
+SEARCH_ROWS = 40_000  # suffixes sorted together, whole anchors
+CHECK = 4  # bytes of a second hash that stand for a group's bytes where suffixes travel
+HIDDEN = GRAM - CHECK
+WIDTH = LEFT + CHECK + MATCH - GRAM
 HASH = (1 << 48) - 1  # of a group's hash, what travels
 CROWD = 100_000  # suffixes of one anchor that one task may sort
 LAST_ID = (1 << 63) - 1
@@ -104,46 +109,59 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, bytes] = {}
+        size = 0
         for batch in batches:
-            marks, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            which, _, h = text_anchors([batch.column(1)[i].as_py() for i in first.tolist()])
-            part = ((h >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int32)
-            h &= np.uint64(HASH)
-            order = np.lexsort((which, h, part))
-            part, h, which = part[order], h[order], which[order]
-            fresh = np.ones(len(h), bool)
-            same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
-            fresh[1:] = ~(same & (which[1:] == which[:-1]))  # an anchor counts once in a text
-            part, h, which = part[fresh], h[fresh], which[fresh]
-            lead = np.ones(len(h), bool)
-            lead[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            many = np.zeros(len(h), bool)
-            many[:-1] |= ~lead[1:]
-            many |= ~lead
-            rows = {"part": [], "settled": [], "marks": [], "which": [], "low": [], "high": []}
-
-            def add(where, number, settled):
-                used, index = np.unique(which[where], return_inverse=True)
-                rows["part"].append(number)
-                rows["settled"].append(settled)
-                rows["marks"].append(marks[used].astype("<i8").tobytes())
-                rows["which"].append(index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes())
-                rows["low"].append((h[where] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-                rows["high"].append((h[where] >> np.uint64(32)).astype("<u2").tobytes())
-
-            settled = np.flatnonzero(many)
-            if len(settled):  # of no use to others; spread by text
-                spread = (marks[which[settled]] % tasks).astype(np.int64)
-                for number in np.unique(spread).tolist():
-                    add(settled[spread == number], int(number), True)
-            leads = np.flatnonzero(lead)
-            cuts = np.searchsorted(part[leads], np.arange(tasks + 1))
-            for number in range(tasks):
-                if cuts[number] < cuts[number + 1]:
-                    add(leads[cuts[number]:cuts[number + 1]], number, False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["part"], pa.int32()), pa.array(rows["settled"], pa.bool_()),
-                 *(pa.array(rows[c], pa.binary()) for c in ("marks", "which", "low", "high"))], list(rows))
+            for mark, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if mark not in held:
+                    held[mark] = body.as_py()
+                    size += len(held[mark])
+                if size >= SETTLE_BYTES:
+                    yield settled_here(held)
+                    held, size = {}, 0
+        if held:
+            yield settled_here(held)
+
+    def settled_here(held: dict[int, bytes]) -> pa.RecordBatch:
+        marks = np.array(list(held), np.int64)
+        which, _, h = text_anchors(list(held.values()))
+        part = ((h >> np.uint64(48)) * np.uint64(tasks) >> np.uint64(16)).astype(np.int32)
+        h &= np.uint64(HASH)
+        order = np.lexsort((which, h, part))
+        part, h, which = part[order], h[order], which[order]
+        fresh = np.ones(len(h), bool)
+        same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
+        fresh[1:] = ~(same & (which[1:] == which[:-1]))  # an anchor counts once in a text
+        part, h, which = part[fresh], h[fresh], which[fresh]
+        lead = np.ones(len(h), bool)
+        lead[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+        many = np.zeros(len(h), bool)
+        many[:-1] |= ~lead[1:]
+        many |= ~lead
+        rows = {"part": [], "settled": [], "marks": [], "which": [], "low": [], "high": []}
+
+        def add(where, number, settled):
+            used, index = np.unique(which[where], return_inverse=True)
+            rows["part"].append(number)
+            rows["settled"].append(settled)
+            rows["marks"].append(marks[used].astype("<i8").tobytes())
+            rows["which"].append(index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes())
+            rows["low"].append((h[where] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
+            rows["high"].append((h[where] >> np.uint64(32)).astype("<u2").tobytes())
+
+        settled = np.flatnonzero(many)
+        if len(settled):  # of no use to others; spread by text
+            spread = (marks[which[settled]] % tasks).astype(np.int64)
+            for number in np.unique(spread).tolist():
+                add(settled[spread == number], int(number), True)
+        leads = np.flatnonzero(lead)
+        cuts = np.searchsorted(part[leads], np.arange(tasks + 1))
+        for number in range(tasks):
+            if cuts[number] < cuts[number + 1]:
+                add(leads[cuts[number]:cuts[number + 1]], number, False)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(rows["part"], pa.int32()), pa.array(rows["settled"], pa.bool_()),
+             *(pa.array(rows[c], pa.binary()) for c in ("marks", "which", "low", "high"))], list(rows))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sure, open_ = [], {}
@@ -224,16 +242,19 @@ def interval_tree(lcp: np.ndarray, least: int) -> np.ndarray:
 
 
 def repeat_groups(groups: np.ndarray, before: np.ndarray, before_len: np.ndarray, after: np.ndarray,
-                  after_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                  after_len: np.ndarray, shared: int = GRAM,
+                  hidden: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Maximal repeats among suffixes of equal ``groups``: ``repeat, member, left, length`` of every occurrence.
 
     ``after`` are the bytes from the anchor on, ``before`` those to its left, nearest first. A repeat reaches ``left``
     bytes before the anchor and is ``length`` long; within ``MATCH`` bytes it grows neither way without losing members.
+    An anchor shares at least ``shared`` bytes of ``after``, which leaves out ``hidden`` equal ones.
     """
     order = sort_bytes(groups, after)
     lcp = common(after[order], after_len[order])
     lcp[1:][groups[order][1:] != groups[order][:-1]] = 0
-    tree = interval_tree(lcp, GRAM)
+    tree = interval_tree(lcp, shared)
+    tree[:, 0] += hidden
     size = tree[:, 2] - tree[:, 1]
     node = np.repeat(np.arange(len(tree)), size)
     member = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - tree[:, 1], size)]
@@ -265,7 +286,7 @@ def repeat_groups(groups: np.ndarray, before: np.ndarray, before_len: np.ndarray
 
 # --- removal ---------------------------------------------------------------------------------------------------------
 
-SUFFIXES = "part bigint, id bigint, mark bigint, place bigint, before_len int, after_len int, around binary"
+SUFFIXES = "part bigint, id bigint, mark bigint, spot bigint, around binary"
 SPANS = "id bigint, mark bigint, start bigint, stop bigint"
 
 
@@ -290,20 +311,25 @@ def suffixes(texts: DataFrame) -> DataFrame:
         sizes = np.array([len(b) for b in bodies])
         begin = np.cumsum(sizes + MATCH + LEFT) - sizes - MATCH
         room = np.frombuffer(b"".join(bytes(LEFT) + b + bytes(MATCH) for b in bodies), np.uint8)
-        around = room[(begin[which] + place - LEFT)[:, None] + np.arange(LEFT + MATCH)] if len(which) else np.empty((0, LEFT + MATCH), np.uint8)
+        at = (begin[which] + place)[:, None]
+        inner = np.ascontiguousarray(room[at + np.arange(GRAM)]).view("<u8") * np.array(
+            [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
+        inner ^= inner >> np.uint64(31)
+        check = (inner.sum(axis=1, dtype=np.uint64) * np.uint64(0x589965CC75374CC3)) >> np.uint64(32)
+        around = np.hstack([room[at + np.arange(-LEFT, 0)], check.astype("<u4")[:, None].view(np.uint8),
+                            room[at + np.arange(GRAM, MATCH)]])
+        spot = place << 16 | np.minimum(place, LEFT) << 8 | np.minimum(sizes[which] - place, MATCH)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.astype(np.int64)), pa.array(ids[which]), pa.array(marks[which]), pa.array(place),
-             pa.array(np.minimum(place, LEFT).astype(np.int32)),
-             pa.array(np.minimum(sizes[which] - place, MATCH).astype(np.int32)),
-             pa.array([a.tobytes() for a in around], pa.binary())],
-            ["part", "id", "mark", "place", "before_len", "after_len", "around"])
+            [pa.array(h.astype(np.int64)), pa.array(ids[which]), pa.array(marks[which]), pa.array(spot.astype(np.int64)),
+             pa.array([a.tobytes() for a in around], pa.binary())], ["part", "id", "mark", "spot", "around"])
 
     return texts.select("id", "mark", "body", "hashes").mapInArrow(each, SUFFIXES)
 
 
 def _spans(rows: np.ndarray, groups: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
-    """Spans of the occurrences that are not a repeat's first; ``rows``: id, mark, place, before_len, after_len."""
-    ids, marks, place, before_len, after_len = rows
+    """Spans of the occurrences that are not a repeat's first; ``rows``: id, mark, spot."""
+    ids, marks, spot = rows
+    place, before_len, after_len = spot >> 16, spot >> 8 & 0xFF, spot & 0xFF
     # equal surroundings share all their matches: only the first document's compete, the others go whole
     key = sort_bytes(groups, around)
     same = np.concatenate([[False], (around[key][1:] == around[key][:-1]).all(axis=1)
@@ -315,7 +341,8 @@ def _spans(rows: np.ndarray, groups: np.ndarray, around: np.ndarray) -> pa.Recor
     whole[key] = (ids[key] > first) & ((before_len + after_len)[key] >= MATCH)
     lead = np.flatnonzero(~whole)
     repeat, member, left, length = repeat_groups(
-        groups[lead], around[lead][:, LEFT - 1::-1], before_len[lead], around[lead][:, LEFT:], after_len[lead])
+        groups[lead], around[lead][:, LEFT - 1::-1], before_len[lead], around[lead][:, LEFT:], after_len[lead] - HIDDEN,
+        CHECK, HIDDEN)
     member = lead[member]
     if len(repeat):
         begin = np.flatnonzero(np.concatenate([[True], repeat[1:] != repeat[:-1]]))
@@ -352,32 +379,50 @@ def spans(found: DataFrame) -> DataFrame:
     tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, waiting = [], 0
         for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(6)])
-            around = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(-1, LEFT + MATCH)
-            if held is not None:
-                rows, around = np.hstack([held[0], rows]), np.vstack([held[1], around])
+            held.append((np.stack([batch.column(k).to_numpy() for k in range(4)]),
+                         np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDTH)))
+            waiting += batch.num_rows
+            if waiting < SEARCH_ROWS:
+                continue
+            rows, around = np.hstack([r for r, _ in held]), np.vstack([a for _, a in held])
             new = np.flatnonzero(rows[0, 1:] != rows[0, :-1]) + 1
-            cut = int(new[-1]) if len(new) else 0
-            held = rows[:, cut:], around[cut:]
+            cut = int(new[-1]) if len(new) else 0  # the last anchor may go on in the next batch
+            held, waiting = [(rows[:, cut:], around[cut:])], rows.shape[1] - cut if cut else 0
             if cut:
                 yield _spans(rows[1:, :cut], rows[0, :cut], around[:cut])
-        if held is not None and len(held[1]):
-            yield _spans(held[0][1:], held[0][0], held[1])
+        if held and sum(r.shape[1] for r, _ in held):
+            rows, around = np.hstack([r for r, _ in held]), np.vstack([a for _, a in held])
+            yield _spans(rows[1:], rows[0], around)
 
     return found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(search, SPANS)
 
 
+def crowded_anchors(shared: DataFrame, crowd: int) -> DataFrame:
+    """``part``: anchors that more than ``crowd`` texts have, from the hashes that ``shared_anchors`` found."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["part", "n"])
+
+    return shared.select("hashes").mapInArrow(count, "part bigint, n bigint").groupBy("part").agg(
+        F.sum("n").alias("n")).filter(F.col("n") > crowd).select("part")
+
+
 def crowded_spans(found: DataFrame) -> DataFrame:
-    """The same for anchors with very many suffixes: matches are grouped by their bytes, over all tasks."""
-    at = F.explode(F.sequence(F.greatest(F.lit(MATCH) - F.col("after_len"), F.lit(0)), F.col("before_len")))
-    possible = found.filter(F.col("before_len") + F.col("after_len") >= MATCH)
-    matches = written(possible.select("id", "mark", "place", "around", at.alias("left")).select(
-        "id", "mark", (F.col("place") - F.col("left")).alias("start"),
-        F.substring("around", F.lit(LEFT + 1) - F.col("left"), F.lit(MATCH)).alias("bytes")))
-    least = written(matches.groupBy("bytes").agg(F.min("id").alias("least")))
-    return matches.join(least, "bytes").filter("id > least").select(
+    """The spans for anchors with very many suffixes: matches are grouped by their bytes, over all tasks."""
+    parts = found.select("*", F.shiftright("spot", 16).alias("place"),
+                         F.shiftright("spot", 8).bitwiseAND(F.lit(0xFF)).alias("before"),
+                         F.col("spot").bitwiseAND(F.lit(0xFF)).alias("after"))
+    at = F.explode(F.sequence(F.greatest(F.lit(MATCH) - F.col("after"), F.lit(0)), F.col("before")))
+    matches = written(parts.filter(F.col("before") + F.col("after") >= MATCH).select("*", at.alias("left")).select(
+        "part", "left", "id", "mark", (F.col("place") - F.col("left")).alias("start"),
+        F.substring("around", (F.lit(LEFT + 1) - F.col("left")).cast("int"), F.lit(CHECK + MATCH - GRAM)).alias("bytes")))
+    keys = ["part", "left", "bytes"]
+    least = written(matches.groupBy(keys).agg(F.min("id").alias("least")))
+    return matches.join(least, keys).filter("id > least").select(
         "id", "mark", "start", (F.col("start") + MATCH).alias("stop"))
 
 
@@ -423,15 +468,17 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep:
     release(docs.sparkSession)
     one_text = firsts.select(F.col("_mark").alias("mark"), F.col("_first").alias("id"))
     wanted = shared.groupBy("mark").agg(F.collect_list("hashes").alias("hashes")).join(one_text, "mark")
-    found = written(suffixes(long_texts.join(wanted, ["id", "mark"])))
-    release(docs.sparkSession)
-    crowds = written(found.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("part"))
+    crowds = written(crowded_anchors(shared, crowd))
+    found = suffixes(long_texts.join(wanted, ["id", "mark"]))
     if crowds.isEmpty():
         marked = spans(found)
     else:
+        found = written(found)
         marked = spans(found.join(crowds, "part", "left_anti")).unionByName(
             crowded_spans(found.join(crowds, "part", "left_semi")))
-    removed = written(marked).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    marked = written(marked)
+    release(docs.sparkSession)
+    removed = marked.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     done = written(cut(long_texts.join(removed, ["id", "mark"]), keep).dropDuplicates(["id", "mark"])
                    .withColumnsRenamed({"id": "_id", "mark": "_mark"}))
     copy = (F.col("_id") > F.col("_first")) & (F.col("n_bytes") >= MATCH)
