@@ -24,9 +24,11 @@ BATCH_ROWS = 1000
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per session: their Python does not know the driver's import path.
 
-    Also lets at most ``BATCH_ROWS`` rows travel to Python at once, as whole texts are among them.
+    Also lets at most ``BATCH_ROWS`` rows travel to Python at once, as whole texts are among them, and has the shuffle
+    files of a step removed when its result has been written down.
     """
     context = spark.sparkContext
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_llm_shipped", False):

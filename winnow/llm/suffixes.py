@@ -29,8 +29,8 @@ from winnow.llm.common import release, text_bytes, written
 MATCH, GRAM = 50, 24
 LEFT = MATCH - GRAM  # how far before its anchor a match may begin
 NEAR = LEFT + 1  # groups among which an anchor has the smallest hash
-CHUNK = 2 << 20  # bytes hashed at once
-SETTLE_BYTES = 12 << 20  # of texts whose anchors a task settles together
+CHUNK = 1 << 19  # bytes hashed at once
+SETTLE_BYTES = 4 << 20  # of texts whose anchors a task settles together
 SEARCH_ROWS = 40_000  # suffixes sorted together, whole anchors
 CHECK = 4  # bytes of a second hash that stand for a group's bytes where suffixes travel
 HIDDEN = GRAM - CHECK
