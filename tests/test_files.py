@@ -84,6 +84,28 @@ def test_scan_parse_and_bundle(spark, tmp_path):
     assert [r["raw_text"] for r in files.parse_files(members).collect()] == ["from zip\nc"]
 
 
+def test_bundles_with_equal_member_paths_keep_their_texts(spark, tmp_path):
+    for name in ("one.zip", "two.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("cv/1.pdf", b"")
+    members = files.expand_zips(files.scan_folder(spark, str(tmp_path), [".zip"]))
+    texts = members.select("bundle", "path", files.base_name(F.col("bundle")).alias("raw_text"))
+    rows = files.parse_files(members, texts).collect()
+    assert sorted((r["bundle"].rsplit("/", 1)[-1], r["raw_text"]) for r in rows) == [
+        ("one.zip", "one.zip"), ("two.zip", "two.zip")]
+
+
+def test_a_damaged_bundle_is_an_error_row(spark, tmp_path):
+    whole = io.BytesIO()
+    with zipfile.ZipFile(whole, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("cv.txt", b"some text " * 500)
+    data = bytearray(whole.getvalue())
+    data[40:60] = b"\xff" * 20
+    (tmp_path / "bad.zip").write_bytes(bytes(data))
+    rows = files.expand_zips(files.scan_folder(spark, str(tmp_path), [".zip"])).collect()
+    assert [(r["path"], r["error"] is not None) for r in rows] == [(None, True)]
+
+
 def test_extensions(spark):
     names = ["a.DOCX", "a.tar.gz", ".bashrc", "..x", "a.", "noext", "x.jpeg"]
     df = spark.createDataFrame([(n,) for n in names], "n string")

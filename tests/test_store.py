@@ -39,10 +39,15 @@ def test_nesting_is_chunked_and_loses_nothing(spark, monkeypatch):
     nested = store.nest(rows).cache()
     assert nested.agg(F.max("candidate_count"), F.sum("candidate_count")).head()[:] == (10, 55)
     assert sorted(int(r["name"]) for r in store.flatten(nested).collect()) == list(range(55))
+    assert sorted((r["batch_id"], r["candidate_count"]) for r in store.headers(nested).collect()) == [("b", 15), ("hot", 40)]
     head = store.totals(nested).head()
     assert (head["total_batches"], head["total_resumes"]) == (2, 55)
 
 
+def test_a_missing_store_is_empty(spark, tmp_path):
+    assert store.read_store(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_append_keeps_earlier_batches(spark, tmp_path):
     path = str(tmp_path / "store")
 

@@ -63,12 +63,35 @@ def test_report_without_one_class(spark):
 def test_sheet_columns_may_be_missing(spark, tmp_path):
     path = tmp_path / "sheet.csv"
     path.write_text('Skills,Experience_Years,JobRole\n"python, sql",5,analyst\n,,\n')
-    rows = sheet.read_sheet(spark, str(path), "Skills string, Experience_Years string, JobRole string")
+    rows = sheet.read_sheet(spark, str(path))
     out = sheet.synthesize(rows).collect()
     assert [(r["raw_text"], r["job_description"]) for r in out] == [
         ("python, sql  5 years experience  ", "analyst"), ("  nan years experience  ", "software engineer")]
 
 
+def test_sheet_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "sheet.csv"
+    path.write_text("Note,Email,JobRole,Experience_Years,Skills\nx,a@b.c,analyst,5,python\n")
+    row = sheet.read_sheet(spark, str(path)).head().asDict()
+    assert row == {"Skills": "python", "Experience_Years": "5", "Email": "a@b.c", "JobRole": "analyst"}
+
+
+def test_a_file_uploaded_again_counts_once(spark):
+    stored = spark.createDataFrame(
+        [(1, "b2", "2024-01-02", 0, "cv.pdf", "later"), (2, "b1", "2024-01-01", 0, "cv.pdf", "earlier"),
+         (3, "b1", "2024-01-01", 1, "other.pdf", "text"), (4, "b0", "2023-01-01", 0, "cv.pdf", " ")],
+        "row_id long, batch_id string, uploaded_at string, ordinal long, filename string, raw_text string"
+    ).selectExpr("*", "cast(null as string) AS job_description", "array('sql') AS matched_skills")
+    rows = spark.createDataFrame([], "row_id long, Skills string, Experience_Years string, JobRole string")
+    frame = plans.training_frame(rows, stored)
+    assert sorted(r["row_id"] for r in frame.collect()) == [2, 3]
+
+
+def test_quantile_of_nothing_is_an_error(spark):
+    with pytest.raises(ValueError, match="no rows"):
+        t.exact_quantile(spark.createDataFrame([], "v double"), "v", 0.5)
+
+
 def test_years_by_source(spark):
     rows = spark.createDataFrame([(True, "7.9"), (True, "40"), (True, "many"), (True, None), (False, "3")],
                                  "s boolean, y string")

@@ -124,7 +124,9 @@ def stored(spark: SparkSession, folder: str, terms) -> DataFrame:
     """The derived resumes as stored candidates with their matched skills."""
     rows = spread(table(spark, folder, "customer").select(K)).select(
         (2 * F.col(K) + 1).alias("row_id"), F.expr(raw_text_sql()).alias("raw_text"),
-        F.expr(job_sql(batch_sql())).alias("job_description"))
+        F.expr(job_sql(batch_sql())).alias("job_description"), F.expr(batch_sql()).alias("batch_id"),
+        F.col(K).alias("ordinal"), F.lit("2024-01-01T00:00:00").alias("uploaded_at"),
+        F.concat(F.lit("candidate_"), K, F.lit("_resume.docx")).alias("filename"))
     return rows.withColumn("matched_skills", matched_skills(F.col("raw_text"), terms))
 
 

@@ -76,6 +76,16 @@ def labelled(spark, folder: str) -> DataFrame:
 
 # --- rows ------------------------------------------------------------------------------------------------------------------
 
+@query("trn2_plan", f"""
+SELECT 2 * {ff.K} + 1 AS row_id FROM customer
+QUALIFY row_number() OVER (PARTITION BY {ff.K} % 97 ORDER BY {ff.batch_sql()}, {ff.K}) = 1""")
+def trn2_plan(spark, folder):
+    """The training frame of a store into which files were uploaded again under names it has."""
+    stored = ff.stored(spark, folder, SETTINGS.vocabulary).withColumn(
+        "filename", F.concat(F.col("ordinal") % 97, F.lit(".docx")))
+    return plans.training_frame(ff.sheet(spark, folder), stored).filter(~F.col("from_sheet")).select("row_id")
+
+
 @query("trn1_store_rows", f"""
 SELECT batch_id, rank, filename, coalesce(job_description, '{fixed.DEFAULT_TRAINING_JOB}') AS job_description
 FROM convs WHERE NOT {P.blank('raw_text')}""")

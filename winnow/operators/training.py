@@ -92,7 +92,10 @@ def kth_smallest(rows: DataFrame, name: str, k: int) -> float:
 
 def exact_quantile(rows: DataFrame, name: str, q: float) -> float:
     """Quantile with linear interpolation between neighbours."""
-    place = q * (rows.filter(F.col(name).isNotNull()).count() - 1)
+    known = rows.filter(F.col(name).isNotNull()).count()
+    if not known:
+        raise ValueError(f"no rows with {name}: a quantile needs at least one")
+    place = q * (known - 1)
     below, above = math.floor(place), math.ceil(place)
     low = kth_smallest(rows, name, below)
     high = low if above == below else kth_smallest(rows, name, above)

@@ -15,10 +15,12 @@ from winnow.sources import sheet as sheets
 def training_frame(sheet: DataFrame, stored: DataFrame) -> DataFrame:
     """Both sources as one frame: ``row_id``, text, job, and each source's own columns.
 
-    ``sheet`` has a ``row_id``; ``stored`` is flattened candidates with ``row_id`` and ``matched_skills``.
+    ``sheet`` has a ``row_id``; ``stored`` is flattened candidates with ``row_id``, ``matched_skills``, ``filename``,
+    ``uploaded_at``, ``batch_id`` and ``ordinal``. A file uploaded again counts once, as it was first.
     """
     rows = sheets.synthesize(sheet).withColumnsRenamed({"Skills": "sheet_skills", "Experience_Years": "sheet_years"})
-    usable = training.store_rows(stored).withColumnRenamed("matched_skills", "stored_skills")
+    first = training.first_by_filename(training.store_rows(stored), ["uploaded_at", "batch_id", "ordinal"])
+    usable = first.withColumnRenamed("matched_skills", "stored_skills")
     return training.combine(
         rows.select("row_id", "raw_text", "job_description", "sheet_skills", "sheet_years"),
         usable.select("row_id", "raw_text", "job_description", "stored_skills"))

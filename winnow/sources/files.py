@@ -45,11 +45,14 @@ def file_type(name: Column) -> Column:
 
 
 def supported_files(files: DataFrame) -> DataFrame:
-    """Rows whose ``path`` names a supported, not hidden file; adds ``filename`` and ``file_type``."""
+    """Rows whose ``path`` names a supported, not hidden file; adds ``filename``, ``file_type`` and, where
+    there is none, a null ``bundle``."""
     named = files.withColumn("filename", base_name(F.col("path")))
     hidden = F.lit(False)
     for prefix in fixed.HIDDEN_PREFIXES:
         hidden = hidden | F.col("filename").startswith(prefix)
+    if "bundle" not in named.columns:
+        named = named.withColumn("bundle", F.lit(None).cast("string"))
     typed = named.filter(~hidden).withColumn("file_type", file_type(F.col("filename")))
     return typed.filter(F.col("file_type").isNotNull())
 
@@ -94,7 +97,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if held > FLUSH_BYTES:
                             yield pd.DataFrame(rows, columns=columns)
                             rows, held = [], 0
-            except (zipfile.BadZipFile, RuntimeError, EOFError, NotImplementedError) as failure:
+            except Exception as failure:  # a damaged bundle costs no other; members read before it are kept
                 rows.append((path, None, None, type(failure).__name__))
     if rows:
         yield pd.DataFrame(rows, columns=columns)
@@ -165,18 +168,18 @@ def _docx_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_docx(files: DataFrame) -> DataFrame:
-    """``path, filename, raw_text, error`` of DOCX files given as ``path, filename, content``."""
-    return files.select("path", "filename", "content").mapInPandas(
-        _docx_texts, "path string, filename string, raw_text string, error string")
+    """``bundle, path, filename, raw_text, error`` of DOCX files given as ``bundle, path, filename, content``."""
+    return files.select("bundle", "path", "filename", "content").mapInPandas(
+        _docx_texts, "bundle string, path string, filename string, raw_text string, error string")
 
 
 # --- dispatch --------------------------------------------------------------------------------------------------------
 
 def parse_files(files: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
-    """Resume texts ``path, filename, raw_text, error`` of ``path, content`` rows.
+    """Resume texts ``bundle, path, filename, raw_text, error`` of ``path, content`` rows, which may have a ``bundle``.
 
     Unsupported files are dropped. DOCX is read here; PDF, DOC and image texts come from ``extracted``
-    (``path, raw_text``), where an extractor has put them. A file without text is kept with an empty one.
+    (``path, raw_text`` and, for members of bundles, ``bundle``), where an extractor has put them. A file without text is kept with an empty one.
     """
     typed = supported_files(files)
     documents = read_docx(typed.filter(F.col("file_type") == "docx"))
@@ -192,13 +195,19 @@ def parse_folder(spark: SparkSession, folder: str, extracted: DataFrame | None =
 
 
 def _attach_texts(typed: DataFrame, extracted: DataFrame | None) -> DataFrame:
-    others = typed.select("path", "filename")
+    others = typed.select("bundle", "path", "filename")
     if extracted is not None:
-        others = others.join(extracted.select("path", "raw_text"), "path", "left")
+        if "bundle" not in extracted.columns:
+            extracted = extracted.withColumn("bundle", F.lit(None).cast("string"))
+        # bundles may have members of the same path; of several texts for one file the last in order counts
+        texts = extracted.groupBy(F.col("bundle").alias("_bundle"), F.col("path").alias("_path")).agg(
+            F.max("raw_text").alias("raw_text"))
+        same = F.col("bundle").eqNullSafe(F.col("_bundle")) & (F.col("path") == F.col("_path"))
+        others = others.join(texts, same, "left")
     else:
         others = others.withColumn("raw_text", F.lit(None).cast("string"))
     return others.select(
-        "path", "filename", F.coalesce("raw_text", F.lit("")).alias("raw_text"),
+        "bundle", "path", "filename", F.coalesce("raw_text", F.lit("")).alias("raw_text"),
         F.when(F.col("raw_text").isNull(), F.lit("NoExtractor")).alias("error"))
 
 

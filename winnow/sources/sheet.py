@@ -13,8 +13,11 @@ SCHEMA = ("Skills string, Certifications string, Experience_Years string, Email
 MISSING = "nan"
 
 
-def read_sheet(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).option("header", "true").csv(path)
+def read_sheet(spark: SparkSession, path: str) -> DataFrame:
+    """The sheet's known columns that the file has, by name and in any order, all as text."""
+    known = [declared.split(" ")[0] for declared in SCHEMA.split(", ")]
+    found = spark.read.option("header", "true").csv(path)
+    return found.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in known if c in found.columns])
 
 
 def parse_sheet_lines(lines: DataFrame, line: str = "line", schema: str = SCHEMA) -> DataFrame:

@@ -6,6 +6,7 @@ The nested document form (batches holding candidates) is read and written in chu
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -51,8 +52,14 @@ def _colon(declaration: str) -> str:
 # --- reading --------------------------------------------------------------------------------------------------------
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """A table partitioned by batch. Batch ids are text even where they look like numbers or dates."""
-    found = spark.read.parquet(path).schema
+    """A table partitioned by batch, empty where there is none yet. Batch ids are text even where they look like
+    numbers or dates."""
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException as failure:
+        if failure.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return spark.createDataFrame([], f"{CANDIDATE}, batch_id string")
     typed = StructType([StructField(f.name, StringType()) if f.name == "batch_id" else f for f in found])
     return spark.read.schema(typed).parquet(path)
 
@@ -120,7 +127,8 @@ def replace_batches(candidates: DataFrame, path: str) -> None:
 def nest(candidates: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """Candidate rows as nested batches of at most ``CHUNK_ROWS`` candidates: a large batch has several chunks.
 
-    ``ordinal`` numbers the candidates of a batch. The row's ``candidate_count`` counts its own chunk.
+    ``ordinal`` numbers the candidates of a batch. The row's ``candidate_count`` counts its own ``chunk``; ``headers``
+    gives the batches' totals.
     """
     context = ["batch_id", "uploaded_at", "job_description"]
     chunk = F.floor(F.col(ordinal) / CHUNK_ROWS).alias("chunk")
@@ -128,12 +136,18 @@ def nest(candidates: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     entries = candidates.select(*context, chunk, F.struct(ordinal, *fields).alias("entry"))
     grouped = entries.groupBy(*context, "chunk").agg(F.array_sort(F.collect_list("entry")).alias("entries"))
     return grouped.select(
-        *context, F.size("entries").cast("bigint").alias("candidate_count"),
+        *context, "chunk", F.size("entries").cast("bigint").alias("candidate_count"),
         F.transform("entries", lambda e: F.struct(*[e[f].alias(f) for f in fields])).alias("candidates"))
 
 
 # --- store queries ---------------------------------------------------------------------------------------------------
 
+def headers(batches: DataFrame) -> DataFrame:
+    """One row per batch whatever its size: ``batch_id, uploaded_at, job_description, candidate_count``."""
+    return batches.groupBy("batch_id", "uploaded_at", "job_description").agg(
+        F.sum("candidate_count").alias("candidate_count"))
+
+
 def totals(batches: DataFrame) -> DataFrame:
     """Header of the store: last update, number of batches, number of resumes."""
     return batches.agg(
