@@ -32,7 +32,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer).of
+        words = word_ids(tokenizer)
+        ids_of = words.of
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -44,6 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.clear()  # the worker lives on; what it remembers would stand beside later steps
 
     return docs.select("doc_id", text_bytes(F.col("text")).alias("text")).mapInArrow(cut, PIECES)
 

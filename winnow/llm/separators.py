@@ -60,6 +60,7 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, width: int, folder:
             publish(path, fill)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([path]), pa.array([ids], pa.list_(pa.int64()))], ["path", "doc_ids"])
+        words.clear()
 
     return docs.select("doc_id", text_bytes(F.col("text")).alias("text")).mapInArrow(
         write, "path string, doc_ids array<bigint>")

@@ -16,7 +16,7 @@ END = b"\xff"
 LETTER = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])"
 PIECES = re.compile(LETTER + rb"+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
 PLAIN = re.compile(rb"(?:[a-z0-9!-&(-/:-@\[-`{-~]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 
 class WordIds(dict):
