@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.operators.slices import materialize as written
 from winnow.operators.slices import scratch_folder
 
-__all__ = ["file_system", "lower_ascii", "publish", "read_table", "release", "shared_folder", "ship", "text_bytes", "written"]
+__all__ = ["file_system", "lean", "lower_ascii", "publish", "read_table", "release", "shared_folder", "ship", "text_bytes", "written"]
 
 
 BATCH_ROWS = 1000
@@ -77,6 +80,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``step`` whose worker gives freed memory back when its task ends. Workers live on beside those of later steps,
+    and an allocator keeps what it has, so each would hold its largest task's memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from step(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library may have none
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null has none."""
     return F.coalesce(text, F.lit("")).cast("binary")

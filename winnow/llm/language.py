@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import text_bytes
+from winnow.llm.common import lean, text_bytes
 
 SYMBOLS = 128  # a gap, a to z, and hashed places for all other letters
 DIMENSIONS = 1024
@@ -101,9 +101,9 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.ndarray
 
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = (known.select("lang", text_bytes(F.col("text")).alias("text"))
-              .mapInArrow(count, "lang string, code int, n bigint")
+              .mapInArrow(lean(count), "lang string, code int, n bigint")
               .groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    rows = (counts.mapInArrow(bind, "lang string, dim int, v double")
+    rows = (counts.mapInArrow(lean(bind), "lang string, dim int, v double")
             .groupBy("lang", "dim").agg(F.sum("v").alias("v")).collect())
     found: dict[str, np.ndarray] = {}
     for r in rows:
@@ -137,7 +137,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dimensions: int
 
     picked = docs.select(*carry, text_bytes(F.col("text")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(each, f"{schema}, lang_pred string, score double")
+    return picked.mapInArrow(lean(each), f"{schema}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from winnow.llm.common import text_bytes, written
+from winnow.llm.common import lean, text_bytes, written
 from winnow.llm.tokens import word_ids
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
         words.clear()  # the worker lives on; what it remembers would stand beside later steps
 
-    return docs.select("doc_id", text_bytes(F.col("text")).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select("doc_id", text_bytes(F.col("text")).alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def fullest_with(first: int, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[int, int]:
@@ -141,7 +141,7 @@ def pack(pieces: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFra
                 [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PLACES)
+    return ranked.mapInArrow(lean(place), PLACES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import text_bytes, written
+from winnow.llm.common import lean, text_bytes, written
 from winnow.llm.components import star_components
 
 BITS, RUNS, FANOUT = 64, 4, 8
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, width: int, carry: tuple[str, ...] = ("doc_id"
 
     picked = docs.select(*carry, text_bytes(F.col("text")).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(each, f"{schema}, print bigint")
+    return picked.mapInArrow(lean(each), f"{schema}, print bigint")
 
 
 def signed(number: int) -> int:
@@ -214,7 +214,7 @@ def links(prints: DataFrame, limit: int, node_rows: int = NODE_ROWS) -> DataFram
         a, b = node_links(rows[2].astype(np.int64).view(np.uint64), np.cumsum(changed), limit)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
 
-    return ordered.mapInArrow(search, "u bigint, v bigint")
+    return ordered.mapInArrow(lean(search), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnow.llm.common import release, text_bytes, written
+from winnow.llm.common import lean, release, text_bytes, written
 
 MATCH, GRAM = 50, 24
 LEFT = MATCH - GRAM  # how far before its anchor a match may begin
@@ -194,8 +194,8 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
                 ["mark", "hashes"])
 
     sent = texts.select("mark", "body").mapInArrow(
-        send, "part int, settled boolean, marks binary, which binary, low binary, high binary")
-    return sent.repartitionById(tasks, F.col("part")).mapInArrow(settle, "mark bigint, hashes binary")
+        lean(send), "part int, settled boolean, marks binary, which binary, low binary, high binary")
+    return sent.repartitionById(tasks, F.col("part")).mapInArrow(lean(settle), "mark bigint, hashes binary")
 
 
 # --- enhanced suffix arrays ------------------------------------------------------------------------------------------
@@ -323,7 +323,7 @@ def suffixes(texts: DataFrame) -> DataFrame:
             [pa.array(h.astype(np.int64)), pa.array(ids[which]), pa.array(marks[which]), pa.array(spot.astype(np.int64)),
              pa.array([a.tobytes() for a in around], pa.binary())], ["part", "id", "mark", "spot", "around"])
 
-    return texts.select("id", "mark", "body", "hashes").mapInArrow(each, SUFFIXES)
+    return texts.select("id", "mark", "body", "hashes").mapInArrow(lean(each), SUFFIXES)
 
 
 def _spans(rows: np.ndarray, groups: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
@@ -396,7 +396,7 @@ def spans(found: DataFrame) -> DataFrame:
             rows, around = np.hstack([r for r, _ in held]), np.vstack([a for _, a in held])
             yield _spans(rows[1:], rows[0], around)
 
-    return found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(search, SPANS)
+    return found.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lean(search), SPANS)
 
 
 def crowded_anchors(shared: DataFrame, crowd: int) -> DataFrame:
@@ -407,7 +407,7 @@ def crowded_anchors(shared: DataFrame, crowd: int) -> DataFrame:
             h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8"), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["part", "n"])
 
-    return shared.select("hashes").mapInArrow(count, "part bigint, n bigint").groupBy("part").agg(
+    return shared.select("hashes").mapInArrow(lean(count), "part bigint, n bigint").groupBy("part").agg(
         F.sum("n").alias("n")).filter(F.col("n") > crowd).select("part")
 
 
@@ -450,7 +450,7 @@ def cut(texts: DataFrame, keep: bool) -> DataFrame:
                 ["id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return texts.select("id", "mark", "body", "spans").mapInArrow(
-        each, "id bigint, mark bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+        lean(each), "id bigint, mark bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep: bool = False,
