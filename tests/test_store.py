@@ -103,16 +103,14 @@ def at_once(spark):
     return sorted((r["batch_id"], r["rank"], r["filename"], r["score"], r["is_anomaly"]) for r in rows.collect())
 
 
-@pytest.mark.parametrize("pruned", [1000, 0], ids=["filter", "join"])
-def test_stream_equals_batch_and_replays(spark, tmp_path, at_once, monkeypatch, pruned):
-    monkeypatch.setattr(incremental, "PRUNED_BATCHES", pruned)
+def test_stream_equals_batch_and_replays(spark, tmp_path, at_once):
     arrived, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows, jobs = fixture.resumes(spark, FOLDER), fixture.jobs(spark, FOLDER)
 
     def run(progress: str):
         arrivals = incremental.read_arrivals(spark, arrived, files_per_trigger=1)
         incremental.screen_arrivals(arrivals, jobs, out, SETTINGS, progress=progress)
-        stored = store.read_store(spark, f"{out}/candidates")
+        stored = incremental.candidates(spark, out, SETTINGS)
         return sorted((r["batch_id"], r["rank"], r["filename"], r["score"], r["is_anomaly"]) for r in stored.collect())
 
     rows.filter("resume_id % 2 = 0").coalesce(1).write.parquet(arrived)
@@ -120,3 +118,9 @@ def test_stream_equals_batch_and_replays(spark, tmp_path, at_once, monkeypatch,
     rows.filter("resume_id % 2 = 1").coalesce(1).write.mode("append").parquet(arrived)
     assert run("p1") == at_once
     assert run("p1") == at_once  # nothing new
+    few = incremental.candidates(spark, out, SETTINGS, ["b0"])
+    assert sorted((r["rank"], r["filename"]) for r in few.collect()) == [(r[1], r[2]) for r in at_once if r[0] == "b0"]
+
+
+def test_stream_before_anything_arrived(spark, tmp_path):
+    assert incremental.candidates(spark, str(tmp_path / "none"), SETTINGS).collect() == []

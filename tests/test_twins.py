@@ -9,8 +9,9 @@ from check import compare, database
 
 FOLDER = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-# The forest queries fit hundreds of trees; test_training covers them with few.
-TWINS = {k: f for k, f in entry.queries().items() if k in ORACLES}
+# These fit hundreds of trees, some several times; test_training covers them with few.
+FORESTS = {"trn11_forest", "trn12_probability", "trn15_cross_validation", "trn16_importances", "trn17_saved_model"}
+TWINS = {k: f for k, f in entry.queries().items() if k in ORACLES and k not in FORESTS}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def con():
 @pytest.mark.parametrize("key", list(TWINS))
 def test_twin(spark, con, key):
     ok, note = compare(spark, con, FOLDER, key, TWINS[key], ORACLES[key])
-    assert ok or note.startswith("0 rows"), note
+    assert ok, note
 
 
 def test_entry(spark):

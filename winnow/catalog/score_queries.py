@@ -118,7 +118,7 @@ w AS (SELECT resume_id, term, tf * (ln((n + 1.0) / (df + 1.0)) + 1.0) AS weight
        + "SELECT resume_id, term, round(weight, 6) AS weight FROM w")
 def sim1_tfidf(spark, folder):
     docs = documents(spark, folder)
-    rows = weighted_rows(materialize(term_rows(docs, "raw_text", SETTINGS)), docs.count())
+    rows = weighted_rows(materialize(term_rows(docs, "raw_text")), docs.count())
     return rows.select(F.col("id").alias("resume_id"), "term", r6("weight").alias("weight"))
 
 
@@ -195,12 +195,9 @@ FROM (SELECT CAST(label AS BIGINT) AS label,
       FROM embeddings, {CENTRE}) GROUP BY label""")
 def sim5_embeddings(spark, folder):
     """Vectors of a label as the projects of one resume, aggregated as rows."""
-    kept = F.when(F.col("cosine") > fixed.PROJECT_COSINE, F.col("cosine"))
-    groups = _embeddings(spark, folder).groupBy(big("label").alias("label")).agg(
-        F.avg(kept).alias("mean"), F.count(kept).alias("relevant"))
-    boost = F.least(F.col("relevant") * fixed.PROJECT_BOOST, F.lit(fixed.PROJECT_BOOST_CAP))
-    score = F.when(F.col("relevant") > 0, F.least(F.col("mean") + boost, F.lit(1.0))).otherwise(F.lit(0.0))
-    return groups.select("label", r6(score).alias("project_relevance"), "relevant")
+    scored = score_ops.project_scores(_embeddings(spark, folder), "label")
+    return scored.select(big("label").alias("label"), r6("project_relevance").alias("project_relevance"),
+                         F.col("relevant_projects_count").alias("relevant"))
 
 
 @query("sim6_job_default", f"""
@@ -319,7 +316,7 @@ def dsh2(spark, folder):
        "QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY rank) <= 20")
 def dsh3(spark, folder):
     """Search, then the top 20 of every batch."""
-    found = materialize(dashboard.search(ranked_rows(spark, folder), "python"))
+    found = dashboard.search(ranked_rows(spark, folder), "python")
     return dashboard.top_per_batch(found, 20, SETTINGS).select("batch_id", KEY, "rank", "name", "score")
 
 

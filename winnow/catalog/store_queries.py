@@ -180,11 +180,24 @@ def sto2(spark, folder):
 @query("sto3_batches", "SELECT batch_id, uploaded_at, coalesce(job_description, '(null)') AS job_description, "
        "candidate_count FROM conv_batches")
 def sto3(spark, folder):
-    return batches(spark, folder).select(
+    return store.headers(batches(spark, folder)).select(
         "batch_id", "uploaded_at", F.coalesce("job_description", F.lit("(null)")).alias("job_description"),
         "candidate_count")
 
 
+@query("sto3_large_batch", f"""
+SELECT 'all' AS batch_id, CAST(count(*) AS BIGINT) AS candidate_count, CAST(1 AS BIGINT) AS total_batches,
+       CAST(count(*) AS BIGINT) AS total_resumes FROM customer""")
+def sto3_large(spark, folder):
+    """All candidates in one batch, which has several chunks beyond ``CHUNK_ROWS``: still one batch of full size."""
+    rows = resumes(spark, folder).select(
+        F.lit("all").alias("batch_id"), F.lit("2024-01-01T00:00:00").alias("uploaded_at"),
+        F.lit("sql").alias("job_description"), "ordinal", "filename")
+    nested = store.nest(rows)
+    totals = store.totals(nested).select("total_batches", "total_resumes")
+    return store.headers(nested).select("batch_id", "candidate_count").join(F.broadcast(totals))  # one row
+
+
 # --- stream -----------------------------------------------------------------------------------------------------------------
 
 @query("str1_incremental", "SELECT batch_id, rank, name, score, is_anomaly, filename FROM ranked")
@@ -194,5 +207,5 @@ def str1(spark, folder):
     resumes(spark, folder).repartition(3, KEY).write.parquet(arrived)
     arrivals = incremental.read_arrivals(spark, arrived, files_per_trigger=1)
     incremental.screen_arrivals(arrivals, jobs(spark, folder), out, SETTINGS, keywords_only=True)
-    return store.read_store(spark, f"{out}/candidates").select(
+    return incremental.candidates(spark, out, SETTINGS).select(
         "batch_id", "rank", "name", "score", "is_anomaly", "filename")

@@ -9,7 +9,7 @@ from winnow import fixed
 from winnow.catalog import files_fixture as ff
 from winnow.catalog import parts as P
 from winnow.catalog.fixture import AS_OF_YEAR, table
-from winnow.catalog.registry import PARTS, part, query
+from winnow.catalog.registry import PARTS, part, query, sql_list
 from winnow.catalog.store_queries import batches, new_folder
 from winnow.catalog.text_queries import big, r6
 from winnow.config import training as training_settings
@@ -227,38 +227,65 @@ def trn14(spark, folder):
     return cells.select(*[big(c).alias(c) for c in ("actual", "predicted", "n")])
 
 
-# --- forest (no SQL twin: the fit is iterative) ------------------------------------------------------------------------------
+# --- forest: what any good fit determines ----------------------------------------------------------------------------------
 
-@query("trn11_forest")
+_LABELLED = _FEATURES + f"""
+, c AS (SELECT count(*) FILTER (quality_score >= {fixed.STRONG_THRESHOLD}) AS strong, count(*) AS n FROM q),
+th AS (SELECT (CASE WHEN least(strong, n - strong) >= 5 THEN CAST({fixed.STRONG_THRESHOLD} AS DOUBLE)
+               ELSE (SELECT quantile_cont(quality_score, 0.75) FROM q) END) AS threshold FROM c),
+l AS (SELECT row_id, CAST(quality_score >= threshold AS BIGINT) AS shortlisted FROM q, th),
+placed AS (SELECT *, row_number() OVER (PARTITION BY shortlisted ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS place,
+                  count(*) OVER (PARTITION BY shortlisted) AS size FROM l)"""
+ACCURACY = 0.9
+
+
+@query("trn11_forest", _LABELLED + """,
+held AS (SELECT shortlisted FROM placed WHERE place <= ceil(size * 0.2))
+SELECT class, support, TRUE AS accurate FROM (
+  SELECT 'Weak' AS class, count(*) FILTER (shortlisted = 0) AS support FROM held
+  UNION ALL SELECT 'Strong', count(*) FILTER (shortlisted = 1) FROM held
+  UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), (SELECT count(*) FROM held))""", _OWN)
 def trn11(spark, folder):
-    """Fit on the training part, report on the held-out part."""
+    """Fit on the training part, report on the held-out part: rows per class, and whether the accuracy is high."""
     _, report, _ = plans.train(materialize(model_rows(spark, folder)))
-    return report
+    accurate = (F.col("class") != "accuracy") | (F.col("f1") >= ACCURACY)
+    return report.select("class", big("support").alias("support"), accurate.alias("accurate"))
 
 
-@query("trn12_probability")
+@query("trn12_probability", _LABELLED + "SELECT row_id, shortlisted, TRUE AS consistent FROM l", _OWN)
 def trn12(spark, folder):
+    """Every row with a probability from 0 to 1 that agrees with the predicted class."""
     rows = labelled(spark, folder)
-    model = t.fit_forest(rows)
-    return t.predict(model, rows).select("row_id", "shortlisted", "probability_strong", "predicted")
+    p = F.col("probability_strong")
+    agrees = p.between(0, 1) & F.when(p > 0.5, F.col("predicted") == 1).when(p < 0.5, F.col("predicted") == 0).otherwise(F.lit(True))
+    return t.predict(t.fit_forest(rows), rows).select(
+        "row_id", big("shortlisted").alias("shortlisted"), agrees.alias("consistent"))
 
 
-@query("trn15_cross_validation")
+@query("trn15_cross_validation", _LABELLED + """
+SELECT CAST((place - 1) % 5 AS BIGINT) AS fold, count(*) AS n, TRUE AS accurate FROM placed GROUP BY 1""", _OWN)
 def trn15_cv(spark, folder):
-    return t.cross_validate(labelled(spark, folder), "shortlisted", "row_id")
+    """Rows of each fold, and whether the model of the other folds is accurate on it."""
+    folds = t.cross_validate(labelled(spark, folder), "shortlisted", "row_id")
+    return folds.select(big("fold").alias("fold"), "n", (F.col("accuracy") >= ACCURACY).alias("accurate"))
 
 
-@query("trn16_importances")
+@query("trn16_importances", f"""
+SELECT unnest({sql_list(fixed.MODEL_FEATURES).replace("(", "[").replace(")", "]")}) AS feature, TRUE AS a_share, CAST(1 AS DOUBLE) AS total""")
 def trn16(spark, folder):
-    return t.importances(t.fit_forest(labelled(spark, folder)), spark)
+    """Every feature with a share from 0 to 1; the shares sum to 1."""
+    shares = t.importances(t.fit_forest(labelled(spark, folder)), spark)
+    total = shares.agg(r6(F.sum("importance")).alias("total"))
+    return shares.join(F.broadcast(total)).select(  # one row
+        "feature", F.col("importance").between(0, 1).alias("a_share"), "total")
 
 
-@query("trn17_saved_model")
+@query("trn17_saved_model", _LABELLED + "SELECT row_id, TRUE AS same FROM l", _OWN)
 def trn17(spark, folder):
-    """Rows scored by a saved and reloaded model, next to the score of the model before saving."""
+    """Rows that score the same under a model and under that model saved and reloaded."""
     rows = labelled(spark, folder)
     model, path = t.fit_forest(rows), new_folder(spark)
     t.save_model(model, path)
     before = t.predict(model, rows).select("row_id", F.col("probability_strong").alias("before"))
     after = t.predict(t.load_model(spark, path), rows).select("row_id", F.col("probability_strong").alias("after"))
-    return before.join(after, "row_id")
+    return before.join(after, "row_id").select("row_id", (F.col("before") == F.col("after")).alias("same"))

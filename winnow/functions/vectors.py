@@ -85,8 +85,12 @@ def project_relevance(cosines: Column, threshold: float = fixed.PROJECT_COSINE)
     """Mean of the cosines above the threshold plus a boost for their number, at most 1; 0 if there are none."""
 
     def score(kept: Column) -> Column:
-        total = F.aggregate(kept, F.lit(0.0), lambda a, c: a + c)
-        boost = F.least(F.size(kept) * F.lit(fixed.PROJECT_BOOST), F.lit(fixed.PROJECT_BOOST_CAP))
-        return F.when(F.size(kept) > 0, F.least(total / F.size(kept) + boost, F.lit(1.0))).otherwise(F.lit(0.0))
+        return boosted_mean(F.aggregate(kept, F.lit(0.0), lambda a, c: a + c), F.size(kept))
 
     return let(F.filter(cosines, lambda c: c > threshold), score)
+
+
+def boosted_mean(total: Column, n: Column) -> Column:
+    """Mean of ``n`` cosines of sum ``total`` plus a boost for their number, at most 1; 0 if there are none."""
+    boost = F.least(n * F.lit(fixed.PROJECT_BOOST), F.lit(fixed.PROJECT_BOOST_CAP))
+    return F.when(n > 0, F.least(total / n + boost, F.lit(1.0))).otherwise(F.lit(0.0))

@@ -2,60 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.config import Settings
 from winnow.functions import vectors
-from winnow.operators.slices import SLICE, materialize, slice_of
+from winnow.operators.slices import SLICE, materialize
 
+# Hash slices of a term or a batch: the rows of one go to this many groups.
+TERM_SLICES = 1024
 
-def term_rows(docs: DataFrame, text: str, settings: Settings, id_: str = "resume_id", keep=()) -> DataFrame:
+
+def hash_slice(id_: Column) -> Column:
+    """The slice of a row by its id's hash: even whatever the ids look like, at most ``TERM_SLICES`` of them."""
+    return F.pmod(F.xxhash64(id_), F.lit(TERM_SLICES))
+
+
+def term_rows(docs: DataFrame, text: str, id_: str = "resume_id", keep=()) -> DataFrame:
     """``id, slice, term, tf``. Terms are counted inside the row, so each leaves it once."""
     return docs.select(
-        *keep, F.col(id_).alias("id"), slice_of(F.col(id_), settings).alias(SLICE),
+        *keep, F.col(id_).alias("id"), hash_slice(F.col(id_)).alias(SLICE),
         F.explode(vectors.term_vector(F.col(text))).alias("term", "tf"))
 
 
+def _idf(documents: int, df: Column) -> Column:
+    return F.log((F.lit(documents) + 1.0) / (df + 1.0)) + 1.0
+
+
 def weighted_rows(rows: DataFrame, documents: int) -> DataFrame:
     """Adds ``weight`` = tf * (ln((1 + N) / (1 + df)) + 1) to term rows.
 
-    A common term is on most documents. Document counts are therefore taken per (term, slice), summed over the
-    slices, and joined back on the same key, whose groups are bounded by the slice. Pass materialized ``rows``:
-    they are read twice.
+    A common term is on most documents. Document counts are therefore taken per (term, slice), combined on the map
+    side, summed over the at most ``TERM_SLICES`` slices of a term, and joined back on the same key. Pass materialized
+    ``rows``: they are read twice.
     """
     per_slice = rows.groupBy("term", SLICE).agg(F.count(F.lit(1)).alias("n"))
     counted = per_slice.select("term", SLICE, F.sum("n").over(Window.partitionBy("term")).alias("df"))
-    idf = F.log((F.lit(documents) + 1.0) / (F.col("df") + 1.0)) + 1.0
-    return rows.join(counted, ["term", SLICE]).withColumn("weight", F.col("tf") * idf)
+    return rows.join(counted, ["term", SLICE]).withColumn(
+        "weight", F.col("tf") * _idf(documents, F.col("df"))).drop("df")
 
 
 def tfidf_cosine(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:
     """Cosine of each resume with its batch's job under corpus weights: ``resume_id, cosine``.
 
-    The job side is repeated per slice of its batch, so the join key (batch, slice, term) has bounded groups.
-    Term rows are written once, as counts and products both need them.
+    Every text is read once, into term rows that are written down. They are weighted once, meet the job's terms in one
+    left join, and one aggregation per resume gives length and product. The job side is repeated per existing slice of
+    its batch, so the join key (batch, slice, term) has small groups.
     """
-    documents = resumes.count()
     ids = resumes.select(F.col("resume_id").alias("id"), "batch_id")
-    rows = materialize(term_rows(resumes, "raw_text", settings, keep=["batch_id"]))
-    weighted = weighted_rows(rows, documents)
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-
-    spread = resumes.select("batch_id", slice_of(F.col("resume_id"), settings).alias(SLICE)).distinct()
+    rows = materialize(term_rows(resumes, "raw_text", keep=["batch_id"]))
+    documents = ids.count()
     job_terms = jobs.select("batch_id", F.explode(vectors.term_vector(
         vectors.similarity_job(F.col("job_description"), settings.default_job))).alias("term", "job_tf"))
     df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log((F.lit(documents) + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0
     job_weighted = job_terms.join(df, "term", "left").select(
-        "batch_id", "term", (F.col("job_tf") * idf).alias("job_weight"))
+        "batch_id", "term", (F.col("job_tf") * _idf(documents, F.coalesce("df", F.lit(0)))).alias("job_weight"))
     job_norms = job_weighted.groupBy("batch_id").agg(
         F.sqrt(F.sum(F.col("job_weight") * F.col("job_weight"))).alias("job_norm"))
+    spread = ids.select("batch_id", hash_slice(F.col("id")).alias(SLICE)).distinct()
     job_side = job_weighted.join(job_norms, "batch_id").join(spread, "batch_id")
 
-    matches = weighted.join(job_side, ["batch_id", SLICE, "term"])
-    dots = matches.groupBy("id").agg(
-        F.sum(F.col("weight") * F.col("job_weight")).alias("dot"), F.max("job_norm").alias("job_norm"))
-    return ids.join(norms, "id", "left").join(dots, "id", "left").select(
+    weight, job_weight = F.col("weight"), F.col("job_weight")
+    sums = weighted_rows(rows, documents).join(job_side, ["batch_id", SLICE, "term"], "left").groupBy("id").agg(
+        F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum(weight * job_weight).alias("dot"),
+        F.max("job_norm").alias("job_norm"))
+    return ids.join(sums, "id", "left").select(
         F.col("id").alias("resume_id"),
         F.coalesce(F.col("dot") / (F.col("norm") * F.col("job_norm")), F.lit(0.0)).alias("cosine"))

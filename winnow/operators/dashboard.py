@@ -5,12 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from winnow.config import Settings
 from winnow.functions import scores
-from winnow.operators.slices import Part, ordered_rank
 
 
 def search(candidates: DataFrame, text: str) -> DataFrame:
@@ -33,11 +32,13 @@ def top(candidates: DataFrame, n: int | None = None) -> DataFrame:
 def top_per_batch(candidates: DataFrame, n: int, settings: Settings) -> DataFrame:
     """The first ``n`` candidates of every batch in rank order, ranks having gaps after a filter.
 
-    Pass materialized ``candidates``: they are read twice.
+    The first ``n`` of each slice are found before those of the batch, so a hot batch sends on only ``n`` per slice.
     """
-    part = Part(F.floor(F.col("rank") / settings.slice_rows))
-    return ordered_rank(candidates, ["batch_id"], [part], [F.col("rank")], "_place").filter(
-        F.col("_place") <= n).drop("_place")
+    part = F.floor(F.col("rank") / settings.slice_rows)
+    in_slice = Window.partitionBy("batch_id", part).orderBy("rank")
+    in_batch = Window.partitionBy("batch_id").orderBy("rank")
+    first = candidates.withColumn("_place", F.row_number().over(in_slice)).filter(F.col("_place") <= n)
+    return first.withColumn("_place", F.row_number().over(in_batch)).filter(F.col("_place") <= n).drop("_place")
 
 
 def filtered(candidates: DataFrame, text: str = "", flagged_only: bool = False, n: int | None = None) -> DataFrame:

@@ -83,6 +83,17 @@ def project_scored(df: DataFrame) -> DataFrame:
     )
 
 
+def project_scores(projects: DataFrame, *keys: str, threshold: float = fixed.PROJECT_COSINE) -> DataFrame:
+    """Per ``keys``: ``project_relevance`` and ``relevant_projects_count`` of projects that are rows with a ``cosine``.
+
+    For vectors that come with the data, one row per project; sums combine on the map side.
+    """
+    kept = F.when(F.col("cosine") > threshold, F.col("cosine"))
+    sums = projects.groupBy(*keys).agg(F.sum(kept).alias("_total"), F.count(kept).alias("relevant_projects_count"))
+    score = vectors.boosted_mean(F.col("_total"), F.col("relevant_projects_count"))
+    return sums.select(*keys, score.alias("project_relevance"), "relevant_projects_count")
+
+
 def rank(scored: DataFrame, settings: Settings) -> DataFrame:
     """Rank 1..n per batch by score, ties in input order. ``scored`` is read twice, pass it materialized.
 

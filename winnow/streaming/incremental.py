@@ -1,9 +1,9 @@
-"""Incremental screening: files of resumes arrive, their batches are scored, ranked, flagged and stored.
+"""Incremental screening: files of resumes arrive, their scores are appended, and batches are ranked when read.
 
-Two tables are kept, both partitioned by batch. ``scores`` gets the arriving resumes' scores, one sub-partition per
-micro-batch, so a replay overwrites its own. ``candidates`` holds ranked batches; only batches touched by the
-micro-batch are read, ranked again from all their scores, and replaced. Either write can be repeated without changing
-the result, and a batch may arrive over several micro-batches.
+A score depends on its own resume and job alone, so a micro-batch costs what it brings: it is scored and written as one
+folder of narrow rows, which a replay of the same micro-batch overwrites. Ranks and length limits depend on the whole
+batch; ``candidates`` takes them from all scores so far, for all batches or a few. A batch may arrive over several
+micro-batches.
 """
 
 from __future__ import annotations
@@ -13,12 +13,9 @@ from pyspark.sql import functions as F
 
 from winnow.config import Settings
 from winnow.operators import scoring
-from winnow.operators.slices import SLICE, join_batch_facts, materialize, slice_of
 from winnow.plans.screen import blended_scores, keyword_scores
 from winnow.sources import store
 
-# Batches of one micro-batch that are named in a partition filter.
-PRUNED_BATCHES = 1000
 RESUME_SCHEMA = "batch_id string, resume_id bigint, ordinal bigint, filename string, raw_text string"
 
 
@@ -26,33 +23,17 @@ def read_arrivals(spark: SparkSession, folder: str, files_per_trigger: int = 100
     return (spark.readStream.schema(RESUME_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
 
 
-def _touched_scores(rows: DataFrame, scores_path: str, settings: Settings) -> DataFrame:
-    """All scores of the batches that the micro-batch ``rows`` added to.
-
-    Few ids become a partition filter, so other batches are not read; many are joined.
-    """
-    batch = F.coalesce("batch_id", F.lit(""))
-    scored = store.read_store(rows.sparkSession, scores_path).drop("epoch").withColumn("batch_id", batch)
-    touched = rows.select(batch.alias("batch_id")).distinct()
-    ids = [r["batch_id"] for r in touched.limit(PRUNED_BATCHES + 1).collect()]
-    if len(ids) <= PRUNED_BATCHES:
-        return scored.filter(F.col("batch_id").isin(ids))
-    sliced = scored.withColumn(SLICE, slice_of(F.col("ordinal"), settings))
-    return join_batch_facts(sliced, touched, settings, how="left_semi").drop(SLICE)
-
-
 def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Settings, model=None,
                     keywords_only: bool = False, progress: str = "progress"):
-    """Process everything that has arrived, then stop. Returns the finished query."""
-    scores_path, candidates_path = f"{out}/scores", f"{out}/candidates"
+    """Score everything that has arrived, then stop. Returns the finished query.
 
+    Rows are sorted by batch within their files, so a read of a few batches skips most row groups.
+    """
     def screen_epoch(rows: DataFrame, epoch: int) -> None:
         scored = (keyword_scores(rows, jobs, settings) if keywords_only
                   else blended_scores(rows, jobs, settings, model))
-        (scored.withColumn("epoch", F.lit(epoch)).hint("rebalance", "batch_id").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "epoch").parquet(scores_path))
-        touched = materialize(_touched_scores(rows, scores_path, settings))
-        store.replace_batches(scoring.rank_and_flag(touched, settings), candidates_path)
+        named = scored.withColumn("batch_id", F.coalesce("batch_id", F.lit("")))
+        named.sortWithinPartitions("batch_id").write.mode("overwrite").parquet(f"{out}/scores/epoch={epoch}")
 
     query = (
         arrivals.writeStream.foreachBatch(screen_epoch)
@@ -60,3 +41,16 @@ def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Se
     )
     query.awaitTermination()
     return query
+
+
+def candidates(spark: SparkSession, out: str, settings: Settings, batches: list[str] | None = None) -> DataFrame:
+    """Ranked and flagged candidates of the given batches (default: all) from all scores so far.
+
+    Before anything has arrived this is an empty store.
+    """
+    scored = store.read_store(spark, f"{out}/scores")
+    if "epoch" not in scored.columns:
+        return scored
+    if batches is not None:
+        scored = scored.filter(F.col("batch_id").isin(batches))
+    return store.with_defaults(scoring.rank_and_flag(scored.drop("epoch"), settings))
