@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests_llm_rows import ROWS
 from winnow.llm import suffixes
@@ -57,6 +58,21 @@ def test_removal_equals_brute_force(llm, seed, crowd):
     assert result(suffixes.remove_repeats(table, crowd=crowd)) == brute(docs)
 
 
+def test_runs_inside_a_text_count_as_suffixes(llm):
+    docs = [(1, "head " + "-" * 6000 + " mid " + "=." * 900), (2, "a line " + "-" * 70), (3, "=." * 40 + "z" + "-" * 3000),
+            (4, "alone " + "#" * 9000)]
+    table = llm.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    texts = table.selectExpr("doc_id as id", "xxhash64(text) as mark", "cast(text as binary) as body")
+    shared = suffixes.shared_anchors(texts)
+    dashes, h = suffixes.anchors(np.frombuffer(b"-" * 60, np.uint8))
+    crowds = {r.part for r in suffixes.crowded_anchors(shared, 5000).collect()}
+    assert crowds == {int(h[0]) & suffixes.HASH}  # three texts, some 9,000 suffixes; what one text has is no crowd
+    hashes = shared.filter("times is null").groupBy("mark").agg(F.collect_list("hashes").alias("hashes"))
+    assert suffixes.suffixes(texts.join(hashes, "mark")).count() < 600  # equal surroundings in a run are one row
+    for crowd in (5000, 3, 100_000):
+        assert result(suffixes.remove_repeats(table, crowd=crowd)) == brute(docs)
+
+
 def test_odd_documents(llm, odd_docs, no_docs):
     assert result(suffixes.remove_repeats(odd_docs)) == brute(ROWS)
     assert suffixes.remove_repeats(no_docs).collect() == []

@@ -36,7 +36,8 @@ CHECK = 4  # bytes of a second hash that stand for a group's bytes where suffixe
 HIDDEN = GRAM - CHECK
 WIDTH = LEFT + CHECK + MATCH - GRAM
 HASH = (1 << 48) - 1  # of a group's hash, what travels
-CROWD = 100_000  # suffixes of one anchor that one task may sort
+ROWS = 1 << 16  # suffixes whose surroundings are taken at once
+CROWD = 100_000  # suffixes of one anchor that one task may sort, those within a text included
 LAST_ID = (1 << 63) - 1
 
 
@@ -101,7 +102,8 @@ def text_anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
-    """``mark, hashes``: anchors (little-endian, eight bytes each) that another text has too, per text ``mark``.
+    """``mark, hashes, times``: anchors (little-endian, eight bytes each) that another text has too, per text ``mark``.
+    Rows with ``times`` have no mark: they tell how often anchors, shared or not, come again within texts.
 
     A task settles what repeats among its own texts and sends one text on for each anchor, so an anchor that a third
     of all texts have arrives once per batch.
@@ -132,15 +134,16 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
         fresh = np.ones(len(h), bool)
         same = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
         fresh[1:] = ~(same & (which[1:] == which[:-1]))  # an anchor counts once in a text
+        times = np.diff(np.append(np.flatnonzero(fresh), len(h)))
         part, h, which = part[fresh], h[fresh], which[fresh]
         lead = np.ones(len(h), bool)
         lead[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
         many = np.zeros(len(h), bool)
         many[:-1] |= ~lead[1:]
         many |= ~lead
-        rows = {"part": [], "settled": [], "marks": [], "which": [], "low": [], "high": []}
+        rows = {"part": [], "settled": [], "marks": [], "which": [], "low": [], "high": [], "times": []}
 
-        def add(where, number, settled):
+        def add(where, number, settled, again=False):
             used, index = np.unique(which[where], return_inverse=True)
             rows["part"].append(number)
             rows["settled"].append(settled)
@@ -148,6 +151,7 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             rows["which"].append(index.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes())
             rows["low"].append((h[where] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
             rows["high"].append((h[where] >> np.uint64(32)).astype("<u2").tobytes())
+            rows["times"].append((times[where] - 1).astype("<u4").tobytes() if again else None)
 
         settled = np.flatnonzero(many)
         if len(settled):  # of no use to others; spread by text
@@ -159,18 +163,33 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
         for number in range(tasks):
             if cuts[number] < cuts[number + 1]:
                 add(leads[cuts[number]:cuts[number + 1]], number, False)
+        repeated = np.flatnonzero(times > 1)
+        for number in np.unique(part[repeated]).tolist():
+            add(repeated[part[repeated] == number], number, False, True)
         return pa.RecordBatch.from_arrays(
             [pa.array(rows["part"], pa.int32()), pa.array(rows["settled"], pa.bool_()),
-             *(pa.array(rows[c], pa.binary()) for c in ("marks", "which", "low", "high"))], list(rows))
+             *(pa.array(rows[c], pa.binary()) for c in ("marks", "which", "low", "high", "times"))], list(rows))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sure, open_ = [], {}
+        sure, open_, again = [], {}, []
         for batch in batches:
-            for part, settled, marks, which, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, settled, marks, which, low, high, times in zip(*(c.to_pylist() for c in batch.columns)):
                 marks = np.frombuffer(marks, "<i8")
                 index = np.frombuffer(which, "<u2" if len(marks) <= 1 << 16 else "<u4")
                 h = np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
+                if times is not None:
+                    again.append((marks[index], h, np.frombuffer(times, "<u4")))
+                    continue
                 (sure if settled else open_.setdefault(part, [])).append((marks[index], h))
+        if again:
+            mark, h, times = (np.concatenate(x) for x in zip(*again))
+            order = np.lexsort((mark, h))
+            mark, h, times = mark[order], h[order], times[order].astype("<i8")
+            times[1:][(mark[1:] == mark[:-1]) & (h[1:] == h[:-1])] = 0  # copies of a text are searched once
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([None], pa.int64()), pa.array([h[begin].astype("<u8").tobytes()], pa.binary()),
+                 pa.array([np.add.reduceat(times, begin).tobytes()], pa.binary())], ["mark", "hashes", "times"])
         for parts in open_.values():
             mark, h = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((mark, h))
@@ -190,12 +209,13 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             some = begin[at:at + 5000]
             ends = np.append(begin[at + 1:at + 5001], len(mark))[:len(some)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(mark[some]), pa.array([h[a:z].tobytes() for a, z in zip(some, ends)], pa.binary())],
-                ["mark", "hashes"])
+                [pa.array(mark[some]), pa.array([h[a:z].tobytes() for a, z in zip(some, ends)], pa.binary()),
+                 pa.nulls(len(some), pa.binary())], ["mark", "hashes", "times"])
 
     sent = texts.select("mark", "body").mapInArrow(
-        lean(send), "part int, settled boolean, marks binary, which binary, low binary, high binary")
-    return sent.repartitionById(tasks, F.col("part")).mapInArrow(lean(settle), "mark bigint, hashes binary")
+        lean(send), "part int, settled boolean, marks binary, which binary, low binary, high binary, "
+        "times binary")
+    return sent.repartitionById(tasks, F.col("part")).mapInArrow(lean(settle), "mark bigint, hashes binary, times binary")
 
 
 # --- enhanced suffix arrays ------------------------------------------------------------------------------------------
@@ -286,19 +306,23 @@ def repeat_groups(groups: np.ndarray, before: np.ndarray, before_len: np.ndarray
 
 # --- removal ---------------------------------------------------------------------------------------------------------
 
-SUFFIXES = "part bigint, id bigint, mark bigint, spot bigint, around binary"
+SUFFIXES = "part bigint, id bigint, mark bigint, spot bigint, reach bigint, around binary"
 SPANS = "id bigint, mark bigint, start bigint, stop bigint"
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
-    """The suffixes at the shared anchors of ``id, mark, body, hashes`` (an array of packed hashes)."""
+    """The suffixes at the shared anchors of ``id, mark, body, hashes`` (an array of packed hashes).
+
+    Suffixes of a text with equal surroundings, each at most ``MATCH`` bytes after the one before, share their matches,
+    and these leave no gap. They are one row, whose last place is ``reach`` bytes after the first.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield some(batch.slice(at, 256))
+                yield from some(batch.slice(at, 256))
 
-    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def some(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         bodies, wanted = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         which, place, h = text_anchors(bodies)
@@ -308,9 +332,16 @@ def suffixes(texts: DataFrame) -> DataFrame:
         for k, packed in enumerate(wanted):
             kept[cut[k]:cut[k + 1]] = np.isin(h[cut[k]:cut[k + 1]], np.frombuffer(b"".join(packed), "<u8"))
         which, place, h = which[kept], place[kept], h[kept]
+        order = np.lexsort((place, h, which))
+        which, place, h = which[order], place[order], h[order]
         sizes = np.array([len(b) for b in bodies])
         begin = np.cumsum(sizes + MATCH + LEFT) - sizes - MATCH
         room = np.frombuffer(b"".join(bytes(LEFT) + b + bytes(MATCH) for b in bodies), np.uint8)
+        for a in range(0, len(h), ROWS):
+            z = a + ROWS
+            yield surrounded(ids, marks, which[a:z], place[a:z], h[a:z], sizes, begin, room)
+
+    def surrounded(ids, marks, which, place, h, sizes, begin, room) -> pa.RecordBatch:
         at = (begin[which] + place)[:, None]
         inner = np.ascontiguousarray(room[at + np.arange(GRAM)]).view("<u8") * np.array(
             [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -318,17 +349,27 @@ def suffixes(texts: DataFrame) -> DataFrame:
         check = (inner.sum(axis=1, dtype=np.uint64) * np.uint64(0x589965CC75374CC3)) >> np.uint64(32)
         around = np.hstack([room[at + np.arange(-LEFT, 0)], check.astype("<u4")[:, None].view(np.uint8),
                             room[at + np.arange(GRAM, MATCH)]])
-        spot = place << 16 | np.minimum(place, LEFT) << 8 | np.minimum(sizes[which] - place, MATCH)
+        ends = np.minimum(place, LEFT) << 8 | np.minimum(sizes[which] - place, MATCH)
+        goes_on = np.zeros(len(h), bool)
+        goes_on[1:] = ((which[1:] == which[:-1]) & (h[1:] == h[:-1]) & (ends[1:] == ends[:-1])
+                       & (place[1:] - place[:-1] <= MATCH))
+        near = np.flatnonzero(goes_on)
+        goes_on[near] = (around[near] == around[near - 1]).all(axis=1)
+        lead = np.flatnonzero(~goes_on)
+        reach = place[np.append(lead[1:], len(h)) - 1] - place[lead]
+        which, spot = which[lead], (place << 16 | ends)[lead]
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.astype(np.int64)), pa.array(ids[which]), pa.array(marks[which]), pa.array(spot.astype(np.int64)),
-             pa.array([a.tobytes() for a in around], pa.binary())], ["part", "id", "mark", "spot", "around"])
+            [pa.array(h[lead].astype(np.int64)), pa.array(ids[which]), pa.array(marks[which]),
+             pa.array(spot.astype(np.int64)), pa.array(reach.astype(np.int64)),
+             pa.array([a.tobytes() for a in around[lead]], pa.binary())],
+            ["part", "id", "mark", "spot", "reach", "around"])
 
     return texts.select("id", "mark", "body", "hashes").mapInArrow(lean(each), SUFFIXES)
 
 
 def _spans(rows: np.ndarray, groups: np.ndarray, around: np.ndarray) -> pa.RecordBatch:
-    """Spans of the occurrences that are not a repeat's first; ``rows``: id, mark, spot."""
-    ids, marks, spot = rows
+    """Spans of the occurrences that are not a repeat's first; ``rows``: id, mark, spot, reach."""
+    ids, marks, spot, reach = rows
     place, before_len, after_len = spot >> 16, spot >> 8 & 0xFF, spot & 0xFF
     # equal surroundings share all their matches: only the first document's compete, the others go whole
     key = sort_bytes(groups, around)
@@ -349,13 +390,13 @@ def _spans(rows: np.ndarray, groups: np.ndarray, around: np.ndarray) -> pa.Recor
         least = np.repeat(np.minimum.reduceat(ids[member], begin), np.diff(np.append(begin, len(member))))
         later = ids[member] > least
         member, start = member[later], (place[member] - left)[later]
-        stop = start + length[later]
+        stop = start + length[later] + reach[member]
     else:
         start = stop = np.empty(0, np.int64)
     gone = np.flatnonzero(whole)
     of = np.concatenate([member, gone]).astype(np.int64)
     start = np.concatenate([start, (place - before_len)[gone]])
-    stop = np.concatenate([stop, (place + after_len)[gone]])
+    stop = np.concatenate([stop, (place + after_len + reach)[gone]])
     order = np.lexsort((start, marks[of], ids[of]))
     return _merged(ids[of][order], marks[of][order], start[order], stop[order])
 
@@ -381,8 +422,8 @@ def spans(found: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
         for batch in batches:
-            held.append((np.stack([batch.column(k).to_numpy() for k in range(4)]),
-                         np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, WIDTH)))
+            held.append((np.stack([batch.column(k).to_numpy() for k in range(5)]),
+                         np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, WIDTH)))
             waiting += batch.num_rows
             if waiting < SEARCH_ROWS:
                 continue
@@ -400,15 +441,25 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def crowded_anchors(shared: DataFrame, crowd: int) -> DataFrame:
-    """``part``: anchors that more than ``crowd`` texts have, from the hashes that ``shared_anchors`` found."""
+    """``part``: anchors with more than ``crowd`` places in all texts, from what ``shared_anchors`` found."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u8"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], ["part", "n"])
+            kinds = [[], []]
+            for hashes, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kinds[times is not None].append((hashes, times))
+            h, n = np.unique(np.frombuffer(b"".join(x for x, _ in kinds[0]), "<u8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h.astype(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["part", "n", "again"])
+            for hashes, times in kinds[1]:
+                h, again = np.frombuffer(hashes, "<u8").astype(np.int64), np.frombuffer(times, "<i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(np.zeros(len(h), np.int64)), pa.array(again)], ["part", "n", "again"])
 
-    return shared.select("hashes").mapInArrow(lean(count), "part bigint, n bigint").groupBy("part").agg(
-        F.sum("n").alias("n")).filter(F.col("n") > crowd).select("part")
+    return shared.select("hashes", "times").mapInArrow(
+        lean(count), "part bigint, n bigint, again bigint").groupBy("part").agg(
+        F.sum("n").alias("n"), F.sum("again").alias("again")).filter(
+        (F.col("n") > 0) & (F.col("n") + F.col("again") > crowd)).select("part")
 
 
 def crowded_spans(found: DataFrame) -> DataFrame:
@@ -418,12 +469,33 @@ def crowded_spans(found: DataFrame) -> DataFrame:
                          F.col("spot").bitwiseAND(F.lit(0xFF)).alias("after"))
     at = F.explode(F.sequence(F.greatest(F.lit(MATCH) - F.col("after"), F.lit(0)), F.col("before")))
     matches = written(parts.filter(F.col("before") + F.col("after") >= MATCH).select("*", at.alias("left")).select(
-        "part", "left", "id", "mark", (F.col("place") - F.col("left")).alias("start"),
+        "part", "left", "id", "mark", "reach", (F.col("place") - F.col("left")).alias("start"),
         F.substring("around", (F.lit(LEFT + 1) - F.col("left")).cast("int"), F.lit(CHECK + MATCH - GRAM)).alias("bytes")))
     keys = ["part", "left", "bytes"]
     least = written(matches.groupBy(keys).agg(F.min("id").alias("least")))
-    return matches.join(least, keys).filter("id > least").select(
-        "id", "mark", "start", (F.col("start") + MATCH).alias("stop"))
+    return joined_spans(matches.join(least, keys).filter("id > least").select(
+        "id", "mark", "start", (F.col("start") + F.col("reach") + MATCH).alias("stop")))
+
+
+def joined_spans(spans: DataFrame) -> DataFrame:
+    """Overlapping and touching ``spans`` of a text as one, so that a text's list is no longer than its passages."""
+    tasks = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy() for c in batch.columns]
+            if last is not None:
+                columns = [np.concatenate(x) for x in zip(last, columns)]
+            merged = _merged(*columns)
+            yield merged.slice(0, merged.num_rows - 1)
+            last = [c.to_numpy() for c in merged.slice(merged.num_rows - 1).columns]  # the next batch may go on with it
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ["id", "mark", "start", "stop"])
+
+    return spans.repartition(tasks, "id", "mark").sortWithinPartitions("id", "mark", "start").mapInArrow(lean(join), SPANS)
 
 
 def cut(texts: DataFrame, keep: bool) -> DataFrame:
@@ -467,7 +539,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep:
     shared = written(shared_anchors(long_texts))
     release(docs.sparkSession)
     one_text = firsts.select(F.col("_mark").alias("mark"), F.col("_first").alias("id"))
-    wanted = shared.groupBy("mark").agg(F.collect_list("hashes").alias("hashes")).join(one_text, "mark")
+    wanted = shared.filter("times is null").groupBy("mark").agg(F.collect_list("hashes").alias("hashes")).join(one_text, "mark")
     crowds = written(crowded_anchors(shared, crowd))
     found = suffixes(long_texts.join(wanted, ["id", "mark"]))
     if crowds.isEmpty():
