@@ -7,7 +7,7 @@ import pytest
 from winnow import config
 from winnow.operators.features import features, section_texts, with_segments
 from winnow.operators import scoring
-from winnow.plans.screen import compared
+from winnow.plans.screen import compared, keyword_scores
 
 YEAR = 2026
 SETTINGS = config.scoring(YEAR)
@@ -211,3 +211,17 @@ def test_similarity_of_identical_texts(spark):
     assert r["skills_match_score"] == 1.0
     missing = compared(df, jobs.filter("batch_id = 'other'"), SETTINGS).head()
     assert missing["jd_overlap"] == 0.0 and missing["skills_match_score"] > 0  # the default job names a developer
+
+
+def test_default_vocabulary_is_whole(spark):
+    terms = SETTINGS.vocabulary
+    assert len(terms) == 302 and len(set(terms)) == 300
+    assert [t for t in dict.fromkeys(terms) if terms.count(t) == 2] == ["onboarding", "logistics"]
+    assert (terms[0], terms[51], terms[52], terms[301]) == ("python", "jira", "seo", "fleet management")
+    df = spark.createDataFrame([("pay", 1, 1, "a.docx", "Payroll, Excel and GAAP; logistics"), ("any", 2, 1, "b.docx", "Excel")],
+                               "batch_id string, resume_id bigint, ordinal bigint, filename string, raw_text string")
+    jobs = spark.createDataFrame([("pay", "Payroll accountant, excel, gaap"), ("any", "Pastry chef")],
+                                 "batch_id string, job_description string")
+    pay, other = keyword_scores(df, jobs, SETTINGS).orderBy("resume_id").select("matched_skills", "score").collect()
+    assert pay["matched_skills"] == ["excel", "payroll", "gaap", "logistics", "logistics"] and pay["score"] == 100.0
+    assert other["score"] == 0.3  # 1 of 302

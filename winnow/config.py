@@ -12,7 +12,7 @@ class Settings:
     """Every value a run may change. ``as_of_year`` closes open date ranges and has no clock default."""
 
     as_of_year: int
-    vocabulary: tuple[str, ...] = tuple(fixed.SOFTWARE_SKILLS)
+    vocabulary: tuple[str, ...] = tuple(fixed.SKILLS)
     role_skills: dict[str, list[str]] = field(default_factory=lambda: dict(fixed.ROLE_SKILLS))
     weights: dict[str, float] = field(default_factory=lambda: dict(fixed.WEIGHTS))
     default_job: str = fixed.DEFAULT_JOB

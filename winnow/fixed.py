@@ -22,8 +22,7 @@ EXPERIENCE_NORM_CAP = 15.0
 EXPERIENCE_FLOOR = 0.1
 MAX_YEARS = 25
 
-# Skill terms of the software field, the starter vocabulary.
-# A cross-industry vocabulary is a parameter, see winnow.vocabulary.
+# Skill terms of the software field, the first part of the default vocabulary. The SQL twins read it.
 SOFTWARE_SKILLS = [
     "python", "java", "javascript", "sql", "react", "machine learning", "data analysis", "aws", "docker",
     "kubernetes", "git", "html", "css", "node.js", "flask", "tensorflow", "pandas", "mongodb", "rest api",
@@ -33,6 +32,59 @@ SOFTWARE_SKILLS = [
     "computer vision", "cybersecurity", "penetration testing", "scrum", "jira",
 ]
 
+# The default vocabulary, 302 entries in order; "onboarding" and "logistics" stand twice and count twice.
+SKILLS = [
+    *SOFTWARE_SKILLS,
+    # Marketing and sales
+    "seo", "sem", "content marketing", "social media management", "b2b sales", "crm", "google analytics",
+    "email marketing", "market research", "brand management", "digital marketing", "ppc", "google ads",
+    "facebook ads", "copywriting", "public relations", "salesforce", "hubspot", "lead generation",
+    "conversion rate optimization", "a/b testing", "affiliate marketing", "influencer marketing", "event planning",
+    "product marketing", "marketing automation", "customer success", "account management", "cold calling",
+    "negotiation", "sales presentations", "business development", "market analysis", "competitive intelligence",
+    "growth hacking", "e-commerce", "shopify", "wordpress", "adobe creative suite", "graphic design", "video editing",
+    "data visualization", "tableau", "communication skills", "b2c sales", "sales strategy", "key account management",
+    "churn reduction", "onboarding", "retention strategies",
+    # Finance and accounting
+    "accounting", "financial modeling", "budgeting", "forecasting", "excel", "quickbooks", "tax preparation",
+    "auditing", "risk management", "payroll", "financial analysis", "cash flow management", "general ledger",
+    "accounts payable", "accounts receivable", "reconciliation", "gaap", "ifrs", "corporate finance",
+    "investment banking", "portfolio management", "wealth management", "credit analysis", "quantitative analysis",
+    "mergers and acquisitions", "due diligence", "private equity", "venture capital", "asset management",
+    "financial reporting", "compliance", "sec reporting", "sarbanes-oxley", "erisa", "treasury", "capital budgeting",
+    "variance analysis", "cost accounting", "bookkeeping", "xero", "sap", "oracle e-business suite", "power bi",
+    "vba", "sql for finance", "data mining", "fraud detection", "anti-money laundering", "kyc", "macroeconomics",
+    # Pharma and healthcare
+    "clinical trials", "fda regulations", "gmp", "glp", "quality assurance", "pharmacovigilance", "sop development",
+    "biostatistics", "drug development", "patient care", "medical billing", "healthcare administration", "emr", "ehr",
+    "epic", "cerner", "hipaa compliance", "medical terminology", "nursing", "triage", "phlebotomy", "vital signs",
+    "cpr", "bls", "acls", "infection control", "medication administration", "pharmacology", "toxicology",
+    "biochemistry", "molecular biology", "cell culture", "pcr", "elisa", "chromatography", "hplc",
+    "mass spectrometry", "medical coding", "icd-10", "cpt coding", "clinical research", "regulatory affairs",
+    "medical writing", "data management", "health informatics", "public health", "epidemiology",
+    "healthcare consulting", "telehealth", "patient scheduling",
+    # Mechanical and other engineering
+    "autocad", "solidworks", "cad/cam", "thermodynamics", "hvac", "robotics", "six sigma", "lean manufacturing",
+    "fluid mechanics", "project management", "mechanical design", "fea", "ansys", "matlab", "creo", "catia",
+    "mechatronics", "plc programming", "automation", "manufacturing engineering", "qa/qc", "root cause analysis",
+    "fmea", "dfm", "gd&t", "material science", "metallurgy", "machining", "cnc programming", "welding", "pneumatics",
+    "hydraulics", "supply chain management", "inventory control", "logistics", "aerospace engineering",
+    "automotive engineering", "civil engineering", "structural analysis", "electrical engineering", "circuit design",
+    "pcb design", "microcontrollers", "iot", "systems engineering", "agile hardware", "scada", "hmi",
+    "industrial engineering", "ergonomics",
+    # HR and operations
+    "talent acquisition", "onboarding", "employee relations", "performance management", "supply chain", "logistics",
+    "inventory management", "procurement", "recruiting", "sourcing", "applicant tracking systems", "workday",
+    "bamboo hr", "adp", "benefits administration", "compensation", "payroll processing", "hris",
+    "organizational development", "training and development", "employee engagement", "diversity and inclusion",
+    "conflict resolution", "labor law", "osha compliance", "fmla", "workforce planning", "succession planning",
+    "change management", "operations management", "business process improvement", "six sigma green belt",
+    "lean methodologies", "kaizen", "facility management", "vendor management", "contract negotiation",
+    "strategic planning", "key performance indicators", "okrs", "project coordination", "event management",
+    "timeline management", "resource allocation", "budget tracking", "quality control", "customer service",
+    "client relations", "dispatching", "fleet management",
+]
+
 # Role phrases in a job description and the skills they imply.
 ROLE_SKILLS = {
     "web development": ["html", "css", "javascript", "react", "angular", "vue.js", "node.js", "django", "flask"],

@@ -30,7 +30,7 @@ def load(spark: SparkSession, path: str, column: str | None = None) -> tuple[str
     return tuple(row.split(",")[position].strip().lower() for row in rows[1:])
 
 
-def as_table(spark: SparkSession, terms=tuple(fixed.SOFTWARE_SKILLS)) -> DataFrame:
+def as_table(spark: SparkSession, terms=tuple(fixed.SKILLS)) -> DataFrame:
     """The vocabulary as rows ``(ord, skill)``, ``ord`` counting from 1."""
     return spark.createDataFrame([(i, term) for i, term in enumerate(terms, 1)], "ord int, skill string")
 
