@@ -84,6 +84,20 @@ def test_scan_parse_and_bundle(spark, tmp_path):
     assert [r["raw_text"] for r in files.parse_files(members).collect()] == ["from zip\nc"]
 
 
+def test_names_that_spark_passes_over(spark, tmp_path):
+    (tmp_path / "_deep" / ".er").mkdir(parents=True)
+    for name in ("_jane.docx", "_a=b.docx", "plain.docx", "_deep/in.docx", "_deep/.er/_two.DOCX", "__skip.docx", ".skip.docx"):
+        (tmp_path / name).write_bytes(make_docx(name, []))
+    for name in ("_scan.pdf", "_metadata.pdf", "_deep/__skip.pdf", "_notes.txt"):
+        (tmp_path / name).write_bytes(b"%PDF")
+    rows = files.parse_folder(spark, str(tmp_path)).collect()
+    assert sorted((r["filename"], r["raw_text"], r["error"]) for r in rows) == sorted(
+        [(n.rsplit("/", 1)[-1], n, None) for n in ("_jane.docx", "_a=b.docx", "plain.docx", "_deep/in.docx", "_deep/.er/_two.DOCX")]
+        + [(n, "", "NoExtractor") for n in ("_scan.pdf", "_metadata.pdf")])
+    assert {r["path"] for r in rows} == {f"file:{tmp_path / n}" for n in (
+        "_jane.docx", "_a=b.docx", "plain.docx", "_deep/in.docx", "_deep/.er/_two.DOCX", "_scan.pdf", "_metadata.pdf")}
+
+
 def test_bundles_with_equal_member_paths_keep_their_texts(spark, tmp_path):
     for name in ("one.zip", "two.zip"):
         with zipfile.ZipFile(tmp_path / name, "w") as z:

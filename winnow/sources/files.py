@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 import sys
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow import fixed
-from winnow.operators.slices import materialize
+from winnow.operators.slices import materialize, scratch_folder
 
 SUPPORTED = [ext for group in fixed.FILE_TYPES.values() for ext in group]
 # Executors need not have this package: its codecs travel with the plan.
@@ -65,17 +66,65 @@ def _glob(extensions) -> str:
     return "{" + ",".join("*" + any_case(ext) for ext in extensions) + "}"
 
 
-def scan_folder(spark: SparkSession, folder: str, extensions=None) -> DataFrame:
-    """``path, content`` of the files below ``folder`` with the given extensions (default: all supported)."""
+def scan_folder(spark: SparkSession, folder: str, extensions=None, content: bool = True) -> DataFrame:
+    """``path, content`` of the files below ``folder`` with the given extensions (default: all supported).
+
+    Spark's scan passes over names and folders that start with ``_`` or ``.``. Those that are not to be skipped are
+    listed apart and, if their ``content`` is asked for, copied to the shared folder under names that Spark reads.
+    """
+    seen = _scan(spark, folder, extensions or SUPPORTED)
+    passed_over = _passed_over(spark, folder, extensions or SUPPORTED)
+    if not content:
+        seen = seen.select("path")
+        return seen.unionByName(spark.createDataFrame([(p,) for p in passed_over], "path string")) if passed_over else seen
+    if not passed_over:
+        return seen
+    target = f"{scratch_folder(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
+    conf, util = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
+    names = []
+    for number, path in enumerate(passed_over):
+        names.append((f"{number}.{path.rsplit('.', 1)[1]}", path))
+        source, copy = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{target}/{names[-1][0]}"))
+        util.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+    copies = _scan(spark, target, extensions or SUPPORTED).withColumn("_name", base_name(F.col("path"))).drop("path")
+    return seen.unionByName(copies.join(spark.createDataFrame(names, "_name string, path string"), "_name")
+                            .select("path", "content"))
+
+
+def _scan(spark: SparkSession, folder: str, extensions) -> DataFrame:
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(extensions or SUPPORTED))
+        .option("pathGlobFilter", _glob(extensions))
         .load(folder)
         .select("path", "content")
     )
 
 
+def _passed_over(spark: SparkSession, folder: str, extensions) -> list[str]:
+    """Paths of wanted files below ``folder`` that Spark's scan does not see."""
+    conf, root = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system, hides = root.getFileSystem(conf), spark._jvm.org.apache.spark.util.HadoopFSUtils.shouldFilterOutPathName
+    known: dict[str, bool] = {}
+
+    def unseen(name: str) -> bool:
+        if name not in known:
+            known[name] = hides(name)
+        return known[name]
+
+    found = []
+    for top in system.globStatus(root) or []:
+        start, listed = top.getPath().toString(), system.listFiles(top.getPath(), True)
+        while listed.hasNext():
+            path = listed.next().getPath().toString()
+            *folders, name = path[len(start):].strip("/").split("/")
+            if not name.lower().endswith(tuple(extensions)) or name.startswith(tuple(fixed.HIDDEN_PREFIXES)):
+                continue
+            if any(map(unseen, folders)) or (name.startswith("_") and "=" not in name):
+                found.append(path)
+    return found
+
+
 # --- ZIP bundles ---------------------------------------------------------------------------------------------------
 
 # Unpacked bytes that are sent on together.
@@ -190,7 +239,7 @@ def parse_folder(spark: SparkSession, folder: str, extracted: DataFrame | None =
     """``parse_files`` of a folder. Only DOCX content is read; of other files the path is enough."""
     documents = supported_files(scan_folder(spark, folder, fixed.FILE_TYPES["docx"]))
     rest = [ext for ext in SUPPORTED if ext not in fixed.FILE_TYPES["docx"]]
-    others = supported_files(scan_folder(spark, folder, rest).select("path"))
+    others = supported_files(scan_folder(spark, folder, rest, content=False))
     return read_docx(documents).unionByName(_attach_texts(others, extracted))
 
 
