@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from winnow.llm import sharding, warc
 
@@ -126,5 +127,13 @@ def test_archives_roll_and_records_stand_alone(llm, tmp_path):
         list(warc.frames(io.BytesIO(data[:-3])))
 
 
+def test_many_copies_and_empty_pages_leave_a_dictionary(llm, caplog):
+    page = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda k: F.hex(F.xxhash64(k, F.col("id") % 30) % 5000)))
+    pages = llm.range(30_000).select(F.when(F.col("id") % 3 > 0, page).when(F.col("id") % 2 == 0, "").alias("html"))
+    assert len(warc.train_dictionary(pages, "html", rows=20, size=4096)) > 0
+    assert warc.train_dictionary(pages.filter("html = ''"), "html") == b""
+    assert "without a dictionary" in caplog.text
+
+
 def test_small_corpus_has_no_dictionary(llm):
     assert warc.train_dictionary(llm.createDataFrame([("a",)], "html string"), "html") == b""

@@ -12,6 +12,7 @@ table gives no archives and no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import logging
 import struct
 import uuid
 from collections.abc import Iterator
@@ -38,16 +39,18 @@ def train_dictionary(payloads: DataFrame, column: str, rows: int = 400, row_byte
                      size: int = 64 << 10) -> bytes:
     """A dictionary from at most ``rows`` payloads, of which the first ``row_bytes`` count; chosen by hash.
 
-    It changes how small archives get, never what is in them. Without enough material there is none (empty bytes).
+    It changes how small archives get, never what is in them. Without enough material there is none (empty bytes, and
+    a warning).
     """
-    piece = F.substring(F.col(column).cast("binary"), 1, row_bytes)
-    share = max(1, payloads.count() // (4 * rows))  # so that tasks send few rows, not ``rows`` each
-    picked = (payloads.select(piece.alias("p")).filter(F.octet_length("p") > 0)
-              .filter(F.pmod(F.xxhash64("p"), F.lit(share)) == 0).distinct()
+    pieces = payloads.select(F.substring(F.col(column).cast("binary"), 1, row_bytes).alias("p")).filter(F.octet_length("p") > 0)
+    different = pieces.agg(F.approx_count_distinct(F.xxhash64("p"))).head()[0]
+    share = max(1, different // (4 * rows))  # so that tasks send few rows, not ``rows`` each
+    picked = (pieces.filter(F.pmod(F.xxhash64("p"), F.lit(share)) == 0).distinct()
               .orderBy(F.xxhash64("p"), "p").limit(rows).collect())
     try:
         return zstandard.train_dictionary(size, [bytes(r["p"]) for r in picked]).as_bytes()
-    except (zstandard.ZstdError, ValueError):
+    except (zstandard.ZstdError, ValueError) as failure:
+        logging.getLogger(__name__).warning("archives without a dictionary: %d sampled payloads, %s", len(picked), failure)
         return b""
 
 
