@@ -98,6 +98,17 @@ def test_equal_lengths_are_split_into_parts(llm, odd_docs):
     assert len(rows) == pieces.count() == len({(r.sequence_id, r.offset) for r in rows})
 
 
+def test_repeated_rows_are_split_into_parts(llm):
+    docs = llm.range(600).selectExpr("cast(null as bigint) as doc_id", "'the same text' as text")
+    pieces = packing.numbered(packing.token_pieces(docs, PATH, 64))
+    length = pieces.head()["length"]
+    sizes = [r["count"] for r in packing.in_parts(pieces, {length: 6}).groupBy("part").count().collect()]
+    assert len(sizes) == 6 and sum(sizes) == 600 and max(sizes) < 200
+    rows = packing.pack(pieces, 64, slice_rows=100).collect()
+    assert len(rows) == len({(r.sequence_id, r.offset) for r in rows}) == 600
+    assert len({r.sequence_id for r in rows}) == -(-600 // (64 // length))
+
+
 def test_packing_of_no_documents(no_docs):
     assert packing.pack_documents(no_docs, PATH).collect() == []
 

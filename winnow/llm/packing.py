@@ -105,8 +105,22 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return runs
 
 
+def in_parts(pieces: DataFrame, parts: dict[int, int]) -> DataFrame:
+    """Numbered ``pieces`` with ``part``, below ``parts`` of their length. Equal rows go to different parts too."""
+    per_length = pieces.sparkSession.createDataFrame(list(parts.items()), "length bigint, parts int")
+    split = F.pmod(F.xxhash64("_row"), F.col("parts")).cast("int")
+    return pieces.join(F.broadcast(per_length), "length").withColumn("part", split)
+
+
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Written ``pieces`` with a number ``_row`` of each row that stays the same when they are read again."""
+    return written(pieces.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def pack(pieces: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``. Pass written pieces; they are read more than once."""
+    """``pieces`` with ``sequence_id`` and ``offset``. Pass ``numbered`` pieces, others are numbered here."""
+    if "_row" not in pieces.columns:
+        pieces = numbered(pieces)
     sized = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     histogram = {r["length"]: r["n"] for r in sized}
     runs: dict[int, list] = {}
@@ -116,13 +130,11 @@ def pack(pieces: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFra
 
     # Equal lengths may be a third of all rows: a rank is the rows of earlier parts plus the place in the part.
     parts = {k: -(-n // slice_rows) for k, n in histogram.items()}
-    per_length = pieces.sparkSession.createDataFrame([(k, n) for k, n in parts.items()], "length bigint, parts int")
-    split = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("parts")).cast("int")
-    keyed = pieces.join(F.broadcast(per_length), "length").withColumn("part", split)
+    keyed = in_parts(pieces, parts)
     sizes = keyed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(sizes.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "part").orderBy("_row")
     ranked = (keyed.withColumn("place", F.row_number().over(order)).join(bases, ["length", "part"])
               .select("doc_id", "piece", "start", "length", "ids_crc32",
                       (F.col("base") + F.col("place") - 1).alias("rank")))
@@ -146,4 +158,4 @@ def pack(pieces: DataFrame, capacity: int, slice_rows: int = 200_000) -> DataFra
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most ``capacity`` tokens."""
-    return pack(written(token_pieces(docs, tokenizer, capacity, end_id)), capacity)
+    return pack(numbered(token_pieces(docs, tokenizer, capacity, end_id)), capacity)
