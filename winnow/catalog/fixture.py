@@ -32,8 +32,22 @@ JOBS = [
     "",
     "Data engineer for machine learning, physics background welcome",
     "DevOps backend engineer, Java, spring boot, C++11 and CI/CD",
+    "Marketing lead: SEO, content marketing, Google Ads and A/B testing; onboarding of partners",
+    "Accountant with excel, general ledger, GAAP and SAP",
+    "Clinical research nurse, patient care, ICD-10 and GMP",
+    "Mechanical engineer: AutoCAD, FEA, GD&T, six sigma and logistics",
+    "HR operations partner, talent acquisition, onboarding, logistics and OKRs",
 ]
 
+# Terms of the other fields that the derived resumes list.
+FIELD_TERMS = {
+    0: "SEO, SEM, Content Marketing, A/B Testing, Onboarding",
+    1: "Excel, General Ledger, GAAP, SAP, Financial Modeling",
+    2: "Clinical Trials, GMP, ICD-10, Patient Care, Nursing",
+    3: "AutoCAD, FEA, GD&T, Six Sigma, Logistics, HVAC",
+    4: "Talent Acquisition, Onboarding, Logistics, OKRs, Six Sigma Green Belt",
+}
+
 
 def _choose(by: str, options: dict[int, str], otherwise: str = "''") -> str:
     branches = " ".join(f"WHEN {value} THEN {text}" for value, text in options.items())
@@ -123,9 +137,10 @@ def _projects() -> str:
 
 def _resume() -> str:
     skills = _skill_list()
+    fields = _choose(f"{K} % 7", {n: sql_text(terms) for n, terms in FIELD_TERMS.items()})
     section = _choose(f"{K} % 3", {
-        0: _lines("=Skills", skills),
-        1: _lines(_text("=Technical Skills: ", skills)),
+        0: _lines("=Skills", skills, fields),
+        1: _lines(_text("=Technical Skills: ", skills), fields),
         2: _lines("=  CORE COMPETENCIES : ", skills, "=c++11, javascript"),
     })
     stuffing = _when(f"{K} % 20 = 7", f"repeat(concat({skills}, ' '), 100)")

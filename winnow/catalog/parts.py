@@ -48,8 +48,8 @@ def range_years(text: str) -> str:
 
 def stated(text: str, pattern: str) -> str:
     digits = f"regexp_extract({text}, {sql_text(pattern)}, 1)"
-    return (f"(CASE WHEN {digits} <> '' THEN least(coalesce(TRY_CAST({digits} AS BIGINT), {fixed.MAX_YEARS}), "
-            f"{fixed.MAX_YEARS}) END)")
+    return (f"(CASE WHEN {digits} <> '' THEN least(coalesce(TRY_CAST({digits} AS BIGINT), 25), "
+            f"25) END)")
 
 
 def degree(text: str) -> str:
@@ -82,7 +82,7 @@ def python_round(x: str, digits: int) -> str:
 part("resumes", RESUMES_SQL)
 part("jobs", JOBS_SQL)
 part("vocab", "SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, {sql_text(t)})" for i, t in enumerate(fixed.SOFTWARE_SKILLS, 1)) + ") AS v(ord, skill)")
+    f"({i}, {sql_text(t)})" for i, t in enumerate(fixed.SKILLS, 1)) + ") AS v(ord, skill)")
 part("roles", "SELECT * FROM (VALUES " + ", ".join(
     f"({100 * p + i}, {sql_text(phrase)}, {sql_text(s)})"
     for p, (phrase, skills) in enumerate(fixed.ROLE_SKILLS.items(), 1) for i, s in enumerate(skills)
@@ -142,9 +142,9 @@ FROM (SELECT *, {range_years('line')} AS years FROM dated) GROUP BY resume_id"""
 part("experience", f"""
 SELECT p.resume_id, p.has_work,
        CAST({stated('lower(p.work_text)', fixed.WORK_SECTION_YEARS)} AS BIGINT) AS stated_work,
-       CAST(least({range_years('lower(p.work_text)')}, {fixed.MAX_YEARS}) AS BIGINT) AS ranges_work,
+       CAST(least({range_years('lower(p.work_text)')}, 25) AS BIGINT) AS ranges_work,
        CAST({stated('lower(p.raw_text)', fixed.FREE_TEXT_YEARS)} AS BIGINT) AS stated_free,
-       CAST(least(coalesce(d.years, 0), {fixed.MAX_YEARS}) AS BIGINT) AS ranges_free,
+       CAST(least(coalesce(d.years, 0), 25) AS BIGINT) AS ranges_free,
        CAST((CASE WHEN p.has_work
              THEN {found('lower(p.work_text)', fixed.WORK_KEYWORD)} OR {found('lower(p.work_text)', fixed.YEAR_RANGE)}
              ELSE coalesce(d.works, FALSE) OR {found('lower(p.raw_text)', fixed.FREE_TEXT_YEARS)}
@@ -326,26 +326,26 @@ cosine_part("project_cosines", "SELECT resume_id, n, project AS txt FROM project
 
 
 def match_score(cosine: str) -> str:
-    return (f"least(greatest(({cosine} - CAST({fixed.MATCH_OFFSET} AS DOUBLE)) * CAST({fixed.MATCH_GAIN} AS DOUBLE), "
+    return (f"least(greatest(({cosine} - CAST(0.1 AS DOUBLE)) * CAST(1.5 AS DOUBLE), "
             f"CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE))")
 
 
 part("certificate_scores", f"""
-SELECT resume_id, least(coalesce(sum(cosine) FILTER (cosine > {fixed.CERTIFICATE_COSINE_SCORING}), 0),
+SELECT resume_id, least(coalesce(sum(cosine) FILTER (cosine > 0.1), 0),
        CAST(1 AS DOUBLE)) AS certificate_relevance FROM certificate_cosines GROUP BY resume_id""")
 
 
-def project_score(cosine: str, limit: float = fixed.PROJECT_COSINE) -> str:
+def project_score(cosine: str, limit: float = 0.3) -> str:
     kept = f"FILTER ({cosine} > {limit})"
-    boost = (f"least((count(*) {kept}) * CAST({fixed.PROJECT_BOOST} AS DOUBLE), "
-             f"CAST({fixed.PROJECT_BOOST_CAP} AS DOUBLE))")
+    boost = (f"least((count(*) {kept}) * CAST(0.05 AS DOUBLE), "
+             f"CAST(0.15 AS DOUBLE))")
     return (f"(CASE WHEN (count(*) {kept}) > 0 THEN least(avg({cosine}) {kept} + {boost}, CAST(1 AS DOUBLE)) "
             f"ELSE CAST(0 AS DOUBLE) END)")
 
 
 part("project_scores", f"""
 SELECT resume_id, {project_score('cosine')} AS project_relevance,
-       count(*) FILTER (cosine > {fixed.PROJECT_COSINE}) AS relevant_projects_count
+       count(*) FILTER (cosine > 0.3) AS relevant_projects_count
 FROM project_cosines GROUP BY resume_id""")
 
 # --- scores -----------------------------------------------------------------------------------------------------------------
@@ -363,11 +363,16 @@ JOIN education_scores e USING (resume_id)
 LEFT JOIN certificate_scores ce USING (resume_id) LEFT JOIN project_scores p USING (resume_id)""")
 
 
+# The twins state weights, thresholds and sizes as numbers of their own, so that a wrong constant shows.
+STATED_WEIGHTS = {"jd_skill_overlap": 0.22, "skills_match": 0.15, "experience": 0.13, "certificates": 0.10,
+                  "contact_info": 0.05, "skills_count": 0.10, "project_relevance": 0.15, "education_quality": 0.10}
+
+
 def weighted(terms: list[tuple[str, str]]) -> str:
-    return " + ".join(f"{value} * CAST({fixed.WEIGHTS[name]} AS DOUBLE)" for name, value in terms)
+    return " + ".join(f"{value} * CAST({STATED_WEIGHTS[name]} AS DOUBLE)" for name, value in terms)
 
 
-_norm = f"least(experience_years / CAST({fixed.EXPERIENCE_NORM_CAP} AS DOUBLE), CAST(1 AS DOUBLE))"
+_norm = f"least(experience_years / CAST(15 AS DOUBLE), CAST(1 AS DOUBLE))"
 part("quality_rows", f"""
 SELECT *, {weighted([
     ("jd_skill_overlap", "jd_overlap"), ("skills_match", "skills_match_score"), ("experience", "exp_norm"),
@@ -375,11 +380,10 @@ SELECT *, {weighted([
     ("skills_count", "least(skills_count / CAST(15 AS DOUBLE), CAST(1 AS DOUBLE))"),
     ("project_relevance", "project_relevance"), ("education_quality", "education_quality")])} AS quality_score
 FROM (SELECT *, (CASE WHEN experience_years = 0 AND (skills_count >= 5 OR project_relevance > 0.3)
-                 THEN CAST({fixed.EXPERIENCE_FLOOR} AS DOUBLE) ELSE {_norm} END) AS exp_norm FROM feature_rows)""")
+                 THEN CAST(0.1 AS DOUBLE) ELSE {_norm} END) AS exp_norm FROM feature_rows)""")
 _blend = "((quality_score * CAST(0.8 AS DOUBLE) + CAST(0.5 AS DOUBLE) * CAST(0.2 AS DOUBLE)) * 100)"
 part("blended", f"SELECT *, {python_round(_blend, 1)} AS score FROM quality_rows")
-_keyword = (f"((CASE WHEN wanted > 0 THEN jd_overlap ELSE skills_count / CAST({len(fixed.SOFTWARE_SKILLS)} AS DOUBLE) "
-            f"END) * 100)")
+_keyword = ("((CASE WHEN wanted > 0 THEN jd_overlap ELSE skills_count / CAST(302 AS DOUBLE) END) * 100)")
 part("keyword_rows", f"""
 SELECT r.batch_id, r.resume_id, r.ordinal, r.filename, n.name, length(r.raw_text) AS text_length,
        s.skills_count, s.matched_skills, s.jd_matched_skills, s.jd_overlap, {python_round(_keyword, 1)} AS score,

@@ -189,7 +189,7 @@ def sim5(spark, folder):
 
 @query("sim5_embeddings", f"""
 SELECT label, round({P.project_score('cosine')}, 6) AS project_relevance,
-       count(*) FILTER (cosine > {fixed.PROJECT_COSINE}) AS relevant
+       count(*) FILTER (cosine > 0.3) AS relevant
 FROM (SELECT CAST(label AS BIGINT) AS label,
              list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(centre AS DOUBLE[])) AS cosine
       FROM embeddings, {CENTRE}) GROUP BY label""")
@@ -328,7 +328,7 @@ def dsh4(spark, folder):
 
 
 @query("dsh5_bands", f"""
-SELECT (CASE WHEN score >= {fixed.HIGH_BAND} THEN 'high' WHEN score >= {fixed.MEDIUM_BAND} THEN 'medium'
+SELECT (CASE WHEN score >= 50 THEN 'high' WHEN score >= 30 THEN 'medium'
         ELSE 'low' END) AS band, count(*) AS n FROM blended GROUP BY 1""")
 def dsh5(spark, folder):
     return dashboard.score_bands(plans.blended_scores(resumes(spark, folder), jobs(spark, folder), SETTINGS))

@@ -35,7 +35,7 @@ _OWN = {
     "jobs": "SELECT CAST(row_id AS VARCHAR) AS batch_id, job_description FROM training_rows",
     "job_terms": PARTS["job_terms"].replace(f"'{fixed.DEFAULT_JOB}'", f"'{fixed.DEFAULT_TRAINING_JOB}'"),
     "certificate_scores": PARTS["certificate_scores"].replace(
-        f"> {fixed.CERTIFICATE_COSINE_SCORING}", f"> {fixed.CERTIFICATE_COSINE_TRAINING}"),
+        f"> 0.1", f"> 0.3"),
 }
 
 
@@ -55,7 +55,7 @@ f AS (SELECT o.row_id, r.skills_match_score, o.skills_count, r.has_experience, r
       FROM feature_rows r JOIN own o ON o.row_id = r.resume_id),
 q AS (SELECT *, {P.weighted([
     ("skills_match", "skills_match_score"),
-    ("experience", f"least(experience_years / CAST({fixed.EXPERIENCE_NORM_CAP} AS DOUBLE), CAST(1 AS DOUBLE))"),
+    ("experience", f"least(experience_years / CAST(15 AS DOUBLE), CAST(1 AS DOUBLE))"),
     ("certificates", "certificate_relevance"), ("contact_info", "has_contact"),
     ("skills_count", "least(skills_count / CAST(15 AS DOUBLE), CAST(1 AS DOUBLE))"),
     ("project_relevance", "project_relevance"), ("education_quality", "education_quality")])} AS quality_score FROM f)
@@ -126,8 +126,8 @@ def trn6(spark, folder):
 
 
 @query("trn7_labels", _FEATURES + f"""
-, c AS (SELECT count(*) FILTER (quality_score >= {fixed.STRONG_THRESHOLD}) AS strong, count(*) AS n FROM q),
-th AS (SELECT (CASE WHEN least(strong, n - strong) >= 5 THEN CAST({fixed.STRONG_THRESHOLD} AS DOUBLE)
+, c AS (SELECT count(*) FILTER (quality_score >= 0.5) AS strong, count(*) AS n FROM q),
+th AS (SELECT (CASE WHEN least(strong, n - strong) >= 5 THEN CAST(0.5 AS DOUBLE)
                ELSE (SELECT quantile_cont(quality_score, 0.75) FROM q) END) AS threshold FROM c)
 SELECT row_id, round(threshold, 6) AS threshold, CAST(quality_score >= threshold AS BIGINT) AS shortlisted
 FROM q, th""", _OWN)
@@ -230,8 +230,8 @@ def trn14(spark, folder):
 # --- forest: what any good fit determines ----------------------------------------------------------------------------------
 
 _LABELLED = _FEATURES + f"""
-, c AS (SELECT count(*) FILTER (quality_score >= {fixed.STRONG_THRESHOLD}) AS strong, count(*) AS n FROM q),
-th AS (SELECT (CASE WHEN least(strong, n - strong) >= 5 THEN CAST({fixed.STRONG_THRESHOLD} AS DOUBLE)
+, c AS (SELECT count(*) FILTER (quality_score >= 0.5) AS strong, count(*) AS n FROM q),
+th AS (SELECT (CASE WHEN least(strong, n - strong) >= 5 THEN CAST(0.5 AS DOUBLE)
                ELSE (SELECT quantile_cont(quality_score, 0.75) FROM q) END) AS threshold FROM c),
 l AS (SELECT row_id, CAST(quality_score >= threshold AS BIGINT) AS shortlisted FROM q, th),
 placed AS (SELECT *, row_number() OVER (PARTITION BY shortlisted ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS place,
