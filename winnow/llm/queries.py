@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontamination, language, packing, separators, sharding, simhash, suffixes, topk, toxicity, warc
+from winnow.llm import decontamination, language, packing, separators, sharding, simhash, suffixes, topk, toxicity, vector_codes, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -65,8 +65,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3).drop("component_print")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_suffixes, op5_packing, op6_separator_scan, op7_sharding,
-                                   op8_topk, op9_language, op10_simhash)}
+                                   op8_topk, op9_language, op10_simhash, op13_vector_codes)}
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -109,4 +114,35 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         WHERE rank <= 20""",
+    "op13_vector_codes": r"""
+        WITH k AS (SELECT vec_id, label, row_number() OVER () AS r,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT r, part, list_slice(e, part * len(e) // 16 + 1, (part + 1) * len(e) // 16) AS v
+              FROM k, (SELECT unnest(range(16)) AS part)),
+        f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k QUALIFY entry < 64),
+        c0 AS (SELECT part, entry, v AS c FROM f JOIN p USING (r)),
+        a0 AS (SELECT r, part, v, min({'d': d, 'entry': entry}) AS best FROM (
+            SELECT r, part, v, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN c0 USING (part)) GROUP BY r, part, v),
+        m0 AS (SELECT part, entry, list(m ORDER BY pos) AS c FROM (
+            SELECT part, best.entry AS entry, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+            FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a0) GROUP BY ALL) GROUP BY ALL),
+        c1 AS (SELECT part, entry, coalesce(m0.c, c0.c) AS c FROM c0 LEFT JOIN m0 USING (part, entry)),
+        a1 AS (SELECT r, part, v, min({'d': d, 'entry': entry}) AS best FROM (
+            SELECT r, part, v, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN c1 USING (part)) GROUP BY r, part, v),
+        m1 AS (SELECT part, entry, list(m ORDER BY pos) AS c FROM (
+            SELECT part, best.entry AS entry, pos, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+            FROM (SELECT part, best, unnest(v) AS x, unnest(range(len(v))) AS pos FROM a1) GROUP BY ALL) GROUP BY ALL),
+        c2 AS (SELECT part, entry, coalesce(m1.c, c1.c) AS c FROM c1 LEFT JOIN m1 USING (part, entry)),
+        a2 AS (SELECT r, part, v, min({'d': d, 'entry': entry}) AS best FROM (
+            SELECT r, part, v, entry, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM p JOIN c2 USING (part)) GROUP BY r, part, v),
+        t AS (SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+              FROM a2 GROUP BY r),
+        l AS (SELECT label, sum(error)::BIGINT AS label_error FROM k JOIN t USING (r) GROUP BY label)
+        SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM (
+            SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM c2)) AS codebooks_sha256
+        FROM k JOIN t USING (r) JOIN l ON k.label IS NOT DISTINCT FROM l.label""",
 }
