@@ -98,7 +98,7 @@ def test_odd_vectors_equal_brute_force(llm):
 
 
 def test_few_rows_and_none(llm):
-    rows = odd_rows(3, 4)[:3]
+    rows = odd_rows(8, 4)[:3]
     table = llm.createDataFrame([(*r, "x", 1, 2, "e") for r in rows], SCHEMA)
     assert rows_of(vc.compress(table)[0]) == brute(rows, 16, 64, 2, 256)
     assert vc.compress(table.limit(0))[0].collect() == []

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontamination, language, packing, separators, sharding, simhash, suffixes, topk, toxicity, vector_codes, warc
+from winnow.llm import decontamination, language, licenses, packing, separators, sharding, simhash, suffixes, topk, toxicity, vector_codes, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -65,13 +65,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3).drop("component_print")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, _ = vector_codes.compress(read_table(spark, sf_dir, "embeddings"))
     return codes.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_suffixes, op5_packing, op6_separator_scan, op7_sharding,
-                                   op8_topk, op9_language, op10_simhash, op13_vector_codes)}
+                                   op8_topk, op9_language, op10_simhash, op12_licenses, op13_vector_codes)}
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

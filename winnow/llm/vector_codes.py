@@ -181,8 +181,8 @@ def with_label_error(coded: DataFrame, label: str, broadcast_labels: int = BROAD
     sums = written(coded.groupBy(F.col(label).alias("_label")).agg(F.expr("try_sum(error)").alias("label_error")))
     if sums.count() <= broadcast_labels:
         return coded.join(F.broadcast(sums), coded[label].eqNullSafe(sums["_label"])).drop("_label")
-    salted = coded.withColumn("_salt", F.pmod(F.xxhash64("vec_id", "code", F.monotonically_increasing_id()), F.lit(SALTS)))
-    spread = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    salted = coded.withColumn("_salt", F.pmod(F.xxhash64("vec_id", "code", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    spread = sums.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, (salted["_salt"] == spread["_salt"]) & salted[label].eqNullSafe(spread["_label"])).drop(
         "_label", "_salt")
 
