@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnow.llm import decontamination, language, licenses, packing, separators, sharding, simhash, suffixes, topk, toxicity, vector_codes, warc
+from winnow.llm import decontamination, language, licenses, packing, repair, separators, sharding, simhash, suffixes, topk, toxicity, vector_codes, warc
 from winnow.llm.common import read_table
 
 # Fixed value: the end-of-text id of the word vocabulary.
@@ -65,6 +65,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=3, limit=3).drop("component_print")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(read_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -75,7 +79,7 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_decontamination, op4_suffixes, op5_packing, op6_separator_scan, op7_sharding,
-                                   op8_topk, op9_language, op10_simhash, op12_licenses, op13_vector_codes)}
+                                   op8_topk, op9_language, op10_simhash, op11_repair, op12_licenses, op13_vector_codes)}
 ORACLES: dict[str, str] = {
     "op2_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -149,4 +153,51 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, code, error, label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, pos)) FROM (
             SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM c2)) AS codebooks_sha256
         FROM k JOIN t USING (r) JOIN l ON k.label IS NOT DISTINCT FROM l.label""",
+    "op11_repair": r"""
+        WITH RECURSIVE x AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        v AS (SELECT conv_id, row_number() OVER () AS k FROM (SELECT DISTINCT conv_id FROM conversations)),
+        d AS (SELECT k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_concat([4294967295],
+                list_transform(range(1, len(name) + 1), lambda p: ord(name[p])::BIGINT)),
+                lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind
+              FROM (SELECT *, coalesce(c.conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations c
+                    JOIN v ON c.conv_id IS NOT DISTINCT FROM v.conv_id), x),
+        e AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                     CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM d)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i,
+                     rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+        f AS (SELECT *, left(role, 1) AS r, CASE WHEN bare = '' THEN 'blank'
+                     WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                     lag(left(role, 1)) OVER (PARTITION BY k ORDER BY i) AS r0 FROM o),
+        w AS (SELECT k, 0::BIGINT AS i, 0 AS st, 0 AS cost, '' AS audit FROM (SELECT DISTINCT k FROM f)
+              UNION ALL
+              SELECT k, i, st, cost, audit FROM (
+                SELECT k, i, st, cost, audit, row_number() OVER (PARTITION BY k, st ORDER BY cost, audit) AS best FROM (
+                    SELECT k, i, CASE edit WHEN 'D' THEN st WHEN 'R' THEN CASE st WHEN 2 THEN 3 ELSE 2 END
+                                 ELSE CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS st,
+                           cost + CASE edit WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + (edit <> 'D' AND coalesce(fault, '') = 'truncated')::INTEGER AS cost,
+                           audit || edit AS audit
+                    FROM (SELECT f.*, CASE WHEN ins THEN CASE w.st WHEN 2 THEN 3 ELSE 2 END ELSE w.st END AS st, cost + 2 * ins::INTEGER AS cost,
+                                 audit || CASE WHEN ins THEN 'I' ELSE '' END AS audit, unnest(['D', 'K', 'R']) AS edit
+                          FROM w JOIN f ON f.k = w.k AND f.i = w.i + 1, (VALUES (FALSE), (TRUE)) AS t(ins))
+                    WHERE edit = 'D' OR (coalesce(fault, '') NOT IN ('blank', 'duplicate') AND (edit = 'R' OR (r = 's' AND st = 0)
+                          OR (r = 'u' AND st IN (0, 1, 3)) OR (r = 'a' AND st = 2))))) WHERE best = 1),
+        n AS (SELECT k, max(i) AS i, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (r0 || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY k),
+        z AS (SELECT k, min({'cost': cost + CASE st WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END,
+                     'audit': audit || CASE st WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS best FROM w JOIN n USING (k, i) GROUP BY k),
+        a AS (SELECT *, sum((edit <> 'I')::INTEGER) OVER (PARTITION BY k ORDER BY p) AS i,
+                     sum((edit <> 'D')::INTEGER) OVER (PARTITION BY k ORDER BY p) AS q
+              FROM (SELECT k, unnest(string_split(best.audit, '')) AS edit, unnest(range(len(best.audit))) AS p FROM z WHERE best.audit <> '')),
+        b AS (SELECT a.k, p, edit, q - (count(*) FILTER (edit = 'K' AND r = 's') OVER (PARTITION BY a.k)) AS q, role, text
+              FROM a LEFT JOIN f ON f.k = a.k AND f.i = a.i),
+        h AS (SELECT k, string_agg(CASE edit WHEN 'K' THEN role ELSE CASE WHEN q % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' ||
+                     CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired FROM b WHERE edit <> 'D' GROUP BY k)
+        SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+               coalesce(best.audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+        FROM v LEFT JOIN n USING (k) LEFT JOIN z USING (k) LEFT JOIN h USING (k)""",
 }
