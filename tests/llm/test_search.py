@@ -75,11 +75,12 @@ def test_proximity(llm):
 
 def best(rows, every, k):
     good = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows
-            if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in {i: v for i, v in sorted(good, reverse=True) if i % every == 0}.items():
-        scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q)[:k]
-        out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)}
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = Counter()
+    for own, (q, a) in enumerate(good):
+        if q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for at, (i, b) in enumerate(good) if at != own)[:k]
+            out.update((q, n + 1, i, -s) for n, (s, i) in enumerate(scored))
     return out
 
 
@@ -87,14 +88,17 @@ def test_top_k_of_odd_vectors(llm):
     r = random.Random(5)
     rows = [(i, [r.choice([-1.5, 0.0, 0.01, 0.9, 2.0]) for _ in range(8)]) for i in range(400)]
     rows += [(i, [1.0] * 8) for i in range(400, 600)]
-    rows += [(600, None), (601, [1.0, None]), (620, [float("nan")] * 8), (None, [1.0] * 8), (640, [float("inf")] * 8), (660, [])]
+    rows += [(600, None), (601, [1.0, None]), (620, [float("nan")] * 8), (None, [1.0] * 8), (640, [float("inf")] * 8), (660, []), (20, [0.9] * 8),
+             (20, [0.9] * 8), (40, []), (41, [2.0] * 3), (60, [-1.0] * 8)]
     table = llm.createDataFrame([(*x, 0, "x") for x in rows], "vec_id long, embedding array<float>, range int, data string")
-    got = {(x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(table).collect()}
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in topk.search(table).collect())
     assert got == best(rows, 20, 20)
     vectors = written(topk.whole_vectors(table))
     cells = topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, range_rows=70, chunk_rows=7, block=16).collect()
-    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in cells} == got
+    assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in cells) == got
     assert topk.search(table.limit(0)).collect() == []
+    pair = llm.createDataFrame([(20, [1.0, 2.0]), (20, [0.5, 0.5]), (1, [1.0, 1.0]), (3, [])], "vec_id long, embedding array<float>")
+    assert topk.search(pair).count() == 6
     few = topk.search(table.filter("vec_id < 3")).collect()
     assert [(x.query_id, x.rank) for x in few] == [(0, 1), (0, 2)]
 
@@ -102,7 +106,7 @@ def test_top_k_of_odd_vectors(llm):
 def test_blocks_are_pruned_and_large_values_exact():
     r = np.random.default_rng(1)
     vectors = np.sort(r.integers(-50, 50, (2000, 4)), axis=0)
-    who, top, scored = topk.best_of_blocks(np.array([-1]), np.array([[9, 9, 9, 9]]), np.arange(2000), vectors, 5, 100)
+    who, top, scored = topk.best_of_blocks(np.array([-1]), np.array([[9, 9, 9, 9]]), np.arange(2000), np.arange(2000), vectors, 5, 100)
     assert scored < 20 and top[0].tolist() == sorted((vectors * 9).sum(axis=1).tolist())[-5:][::-1]
     big = np.array([[2**30, 3], [2**30, 4]])
     assert topk._product(big, big).tolist() == [[2**60 + 9, 2**60 + 12], [2**60 + 12, 2**60 + 16]]

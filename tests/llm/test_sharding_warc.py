@@ -41,6 +41,15 @@ def test_hot_key_and_columns_kept(llm, slice_rows):
     assert sorted(r.v for r in placed) == list(range(600))
 
 
+@pytest.mark.parametrize("slice_rows", [5, 1000])
+def test_shards_do_not_depend_on_the_layout(llm, slice_rows):
+    rows = llm.createDataFrame([(i if i % 4 else i % 8, i % 300) for i in range(3000)], "k long, v int")
+    here, there = (sharding.shard_rows(part, "k", 7, 16, slice_rows) for part in (
+        rows.repartition(2), rows.orderBy(F.desc("v")).repartition(9)))
+    assert Counter(here.collect()) == Counter(there.collect())
+    assert Counter(sharding.shard_rows(rows, "k", 7, 16, 200_000).collect()) == Counter(here.collect())
+
+
 def sequential(loads, owners, capacity):
     """Fill own shards first, then carry what is over clockwise, one key at a time."""
     room, place = list(capacity), {}

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tests_llm_rows import ROWS
 from winnow.llm import packing, separators
+from winnow.llm.common import shared_folder
 from winnow.llm.tokens import WordIds
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -137,3 +138,27 @@ def test_separator_scan_without_a_last_end(llm, tmp_path):
 def test_documents_by_id_and_none(odd_docs, no_docs):
     assert separators.count_documents(odd_docs, PATH, 49407).count() == len(ROWS)
     assert separators.count_documents(no_docs, PATH, 49407).collect() == []
+
+
+def test_wide_vocabulary(llm, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {f"w{i}": i for i in range(100_000)}
+    plain = Tokenizer(models.WordLevel({**words, "[UNK]": 100_000}, unk_token="[UNK]"))
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    plain.save(str(tmp_path / "wide.json"))
+    assert separators.largest_id(str(tmp_path / "wide.json"), 5) == 100_000
+    assert separators.token_width(100_000) == 4 and separators.token_width(65_535) == 2
+    np.array([65_536 + 7, 7, 7, 70_000, 3, 7], "<u4").tofile(tmp_path / "flat.bin")  # would pass for an end in two bytes
+    files = llm.createDataFrame([(f"file://{tmp_path}/flat.bin", 24)], "path string, length long")
+    found = separators.count_tokens(files, 7, separators.token_width(100_000), block_tokens=2).orderBy("doc_no").collect()
+    assert [(r.n_tokens, r.ended) for r in found] == [(1, True), (0, True), (2, True)]
+
+
+def test_narrow_files_refuse_wide_ids(llm):
+    docs = llm.createDataFrame([(1, "plain words of text")], "doc_id long, text string")
+    folder = shared_folder(llm, "narrow")
+    with pytest.raises(Exception, match="does not fit"):
+        separators.write_flat(docs, PATH, 49407, 1, folder).collect()
+    files = separators.write_flat(docs.unionByName(docs).coalesce(1), PATH, 49407, 2, folder, file_docs=1).collect()
+    assert [len(f.doc_ids) for f in files] == [1, 1]

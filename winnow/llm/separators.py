@@ -8,6 +8,10 @@ in two levels, so a file that is a third of all data is not one task.
 
 Files without tokens give no rows. Ids after the last end form an unterminated document. Empty documents (two ends in
 a row) have no tokens and are counted.
+
+Null and empty texts are documents without tokens; null and repeated ids and repeated rows are documents of their own.
+A text of any length is one document, whose blocks are scanned apart. An empty table gives no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,19 +29,29 @@ from winnow.llm.tokens import word_ids
 
 BLOCK_TOKENS = 1 << 21
 GROUP_BLOCKS = 1 << 10
+FILE_DOCS = 200_000  # documents of a file, whose ids are one row
 
 
 def token_width(largest_id: int) -> int:
     return 2 if largest_id < 1 << 16 else 4
 
 
+def largest_id(tokenizer: str, end_id: int) -> int:
+    """The largest id that a vocabulary file or the end can give."""
+    from tokenizers import Tokenizer
+
+    return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+
+
 def write_flat(docs: DataFrame, tokenizer: str, end_id: int, width: int, folder: str,
-               file_tokens: int = 1 << 27) -> DataFrame:
+               file_tokens: int = 1 << 27, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write ``docs`` as flat token files into ``folder``. One row per file: ``path, doc_ids`` in file order.
 
     A file belongs to one task, has a name of its own and appears whole, so a task that runs again leaves at worst a
     file that no row names. Special tokens in texts are ordinary text: they cannot pass for an end.
     """
+    if end_id >> 8 * width:
+        raise ValueError(f"token id {end_id} does not fit {width} bytes")
     kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,8 +64,11 @@ def write_flat(docs: DataFrame, tokenizer: str, end_id: int, width: int, folder:
             def fill(stream):
                 nonlocal doc
                 size = 0
-                while doc is not None and size < file_tokens:
-                    tokens = np.frombuffer(words.of(doc[1]), "<u4").astype(kind)
+                while doc is not None and size < file_tokens and len(ids) < file_docs:
+                    tokens = np.frombuffer(words.of(doc[1]), "<u4")
+                    if len(tokens) and int(tokens.max()) >> 8 * width:
+                        raise ValueError(f"token id {tokens.max()} does not fit {width} bytes")
+                    tokens = tokens.astype(kind)
                     stream.write(tokens.tobytes() + end)
                     size += len(tokens) + 1
                     ids.append(doc[0])
@@ -134,11 +151,13 @@ def count_tokens(files: DataFrame, end_id: int, width: int, block_tokens: int =
     return ended.unionByName(open_end)
 
 
-def count_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
+def count_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int | None = None) -> DataFrame:
     """Write ``docs`` as flat files and count each document's tokens by the scan: ``doc_id, n_tokens`` and its place.
+    Ids have as many bytes as the vocabulary's largest needs, unless ``width`` says otherwise.
 
     The order in which ids were written names the documents; the counts come from the files alone.
     """
+    width = width or token_width(largest_id(tokenizer, end_id))
     folder = shared_folder(docs.sparkSession, "flat")
     order = written(write_flat(docs, tokenizer, end_id, width, folder))
     names = order.select("path", F.posexplode("doc_ids").alias("doc_no", "doc_id"))

@@ -4,9 +4,11 @@ A row's key is hashed to a place on a ring; the next virtual node clockwise name
 capacity: what overflows continues clockwise to the next shard with room. Capacities are the whole shares of the row
 count, so shard sizes differ by one at most and only the overflow ever leaves its ring position.
 
-The ring is cut into segments whose number depends on parameters only. Rows are counted per segment; from these counts
-the driver plans which ranks of which arc go to which shard (at most a few runs per virtual node). A row's rank in its
-arc is exact and computed in parts of bounded size, however many rows share a key.
+The ring is cut into segments whose number depends on parameters only. Rows are dealt by ranges of (segment, place, hash
+of the row's columns) into parts of bounded size and sorted there, so their order depends on the rows alone and not on
+how the input lies in files; a row number decides among rows that are wholly equal. Rows are counted per arc; from these
+counts the driver plans which ranks of which arc go to which shard (at most a few runs per virtual node). A row's rank is
+its place in its part after the sizes of the parts before, however many rows share a key.
 
 Nulls: a null ``doc_id`` is a key like any other; a null text has no bytes and checksum zero. Repeated rows are rows of
 their own. An empty table gives no rows. Other columns are ignored.
@@ -15,6 +17,7 @@ their own. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ from winnow.llm.common import written
 
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 CELL_BITS = 12
+PART_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
 
 def ring_nodes(spark: SparkSession, shards: int, nodes: int, seed: int = 0) -> list[tuple[int, int]]:
@@ -85,39 +89,40 @@ def shard_rows(rows: DataFrame, key: str, shards: int, nodes: int = 128, slice_r
     ring = ring_nodes(spark, shards, nodes, seed)
     segments = spark.createDataFrame(ring_segments(ring), "_segment int, _arc int, _cell bigint, _lo bigint, _hi bigint")
     place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
-    placed = written(  # row numbers must not change between the reads below
-        rows.withColumn("_place", place).withColumn("_row", F.monotonically_increasing_id())
+    placed = (
+        rows.withColumn("_place", place).withColumn("_tie", F.xxhash64(*rows.columns))
+        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_cell", F.shiftright("_place", 64 - CELL_BITS))
         .join(F.broadcast(segments), "_cell").filter(F.col("_place").between(F.col("_lo"), F.col("_hi")))
         .drop("_cell", "_lo", "_hi"))
-
-    loads = {r["_segment"]: (r["_arc"], r["n"]) for r in
-             placed.groupBy("_segment", "_arc").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the ring
-    total = sum(n for _, n in loads.values())
-    arcs, bases = [0] * len(ring), []
-    for segment in sorted(loads):
-        arc, n = loads[segment]
-        bases.append((segment, arcs[arc], -(-n // slice_rows)))
-        arcs[arc] += n
+    order = ["_segment", "_place", "_tie", "_row"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // slice_rows))
+    ordered = written(placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(
+        "_id", F.monotonically_increasing_id()).drop("_place", "_tie", "_row"))
+
+    part = F.shiftright("_id", PART_BITS)
+    loads = ordered.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()  # bounded by the ring
+    arcs = [0] * len(ring)
+    for r in loads:
+        arcs[r["_arc"]] = r["n"]
+    total = sum(arcs)
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     runs = spill_plan(arcs, [s for _, s in ring], capacity)
+    bases = [0, *accumulate(arcs)]  # arcs follow each other in the order of rows
     ends = dict.fromkeys(range(shards), 0)
     planned = []
     for arc, first, end, shard in runs:
-        planned.append((arc, first, end, shard, ends[shard] - first))
+        planned.append((arc, bases[arc] + first, bases[arc] + end, shard, ends[shard] - bases[arc] - first))
         ends[shard] += end - first
 
-    per_segment = spark.createDataFrame(bases, "_segment int, _base bigint, _parts int")
-    keyed = placed.join(F.broadcast(per_segment), "_segment").withColumn("_part", F.pmod("_row", "_parts"))
-    sizes = keyed.groupBy("_segment", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_segment").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sizes.select("_segment", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
-    order = Window.partitionBy("_segment", "_part").orderBy("_place", "_row")
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))  # one row per slice_rows rows
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     plan = spark.createDataFrame(planned, "_arc int, _first bigint, _end bigint, shard int, _shift bigint")
-    ranked = (keyed.withColumn("_at", F.row_number().over(order)).join(starts, ["_segment", "_part"])
-              .withColumn("_rank", F.col("_base") + F.col("_before") + F.col("_at") - 1))
+    rank = F.col("_before") + F.col("_id").bitwiseAND((1 << PART_BITS) - 1)
     return (
-        ranked.join(F.broadcast(plan), "_arc")
+        ordered.withColumn("_part", part).join(starts, "_part").withColumn("_rank", rank)
+        .join(F.broadcast(plan), "_arc")
         .filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
         .withColumn("slot", F.col("_rank") + F.col("_shift"))
         .select(*rows.columns, "shard", "slot")

@@ -1,13 +1,13 @@
 """Exact top-k inner products with block-at-a-time pruning.
 
-Vectors lie in ranges of ids, cut into blocks. A block knows each dimension's largest and smallest value; a query's
+Vectors are dealt over ranges, each sorted by id and cut into blocks. A block knows each dimension's largest and smallest value; a query's
 bound for the block sums what each dimension can give at most. A query takes blocks by falling bound, scores them
 through their stored vectors, and stops once the next bound is below its k-th score. Queries and vectors meet in cells
 of bounded size, a chunk of queries with a range of vectors; the k best of the cells are merged by a ranking window.
 
-Vectors that are null or hold a null or a non-finite component take no part, nor do rows without an id. Shorter vectors
-count as padded with zeros. Rows with one id are all candidates, of other ids' queries only; as a query an id stands
-once. Other columns are ignored.
+Vectors that are null or hold a null or a non-finite component take no part, nor do rows without an id. Shorter and empty
+vectors count as padded with zeros. Rows of one id are rows of their own: each is a query and a candidate of the others,
+and gets its own ranks. Equal scores of one id are in no set order. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,20 +27,22 @@ NONE = np.iinfo(np.int64).min
 
 
 def whole_vectors(rows: DataFrame, scale: int = 64) -> DataFrame:
-    """``vec_id, data``: floor(scale * x) of each component as 64-bit numbers; rows that take no part are left out."""
+    """``vec_id, data, row``: floor(scale * x) of each component as 64-bit numbers, and the row's own number; rows that
+    take no part are left out. Write the table down before it is read twice."""
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, data = [], []
             for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
                 values = np.array(vector.values.to_numpy(zero_copy_only=False), np.float64)
-                if len(values) and np.isfinite(values).all():
+                if np.isfinite(values).all():
                     ids.append(vec_id)
                     data.append(np.floor(scale * values).astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["vec_id", "data"])
 
     whole = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", F.isnull)
-    return rows.filter(whole).select("vec_id", "embedding").mapInArrow(scaled, "vec_id bigint, data binary")
+    return rows.filter(whole).select("vec_id", "embedding").mapInArrow(scaled, "vec_id bigint, data binary").withColumn(
+        "row", F.monotonically_increasing_id())
 
 
 def _matrix(data: list[bytes], width: int) -> np.ndarray:
@@ -58,11 +60,11 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best_of_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-                   block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
-    """Per query the ids and scores of its k best rows (score NONE: fewer), and how many blocks were scored."""
+def best_of_blocks(asking_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
+                   k: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, int]:
+    """Per query the ids and scores of its k best rows but its own (score NONE: fewer), and how many blocks were scored."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    rows, ids, vectors = rows[order], ids[order], vectors[order]
     edges = range(0, len(ids), block)
     high = np.array([vectors[a:a + block].max(axis=0) for a in edges]).reshape(-1, queries.shape[1])
     low = np.array([vectors[a:a + block].min(axis=0) for a in edges]).reshape(-1, queries.shape[1])
@@ -82,7 +84,7 @@ def best_of_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
             asking = alive[chosen == b]
             there = ids[b * block:(b + 1) * block]
             scores = _product(queries[asking], vectors[b * block:(b + 1) * block])
-            scores[query_ids[asking][:, None] == there[None, :]] = NONE
+            scores[asking_rows[asking][:, None] == rows[b * block:(b + 1) * block][None, :]] = NONE
             both = np.hstack([top[asking], scores])
             names = np.hstack([who[asking], np.broadcast_to(there, scores.shape)])
             names[both == NONE] = np.iinfo(np.int64).max
@@ -93,30 +95,30 @@ def best_of_blocks(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, range_rows: int = RANGE_ROWS, chunk_rows: int = CHUNK_ROWS,
           block: int = BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for ``queries`` and ``vectors`` (``vec_id, data``, written tables)."""
-    asked = queries.groupBy("vec_id").agg(F.min("data").alias("data"))
+    """``query_id, rank, vec_id, score`` for ``queries`` and ``vectors`` (``vec_id, data, row``, written tables)."""
     ranges = max(1, -(-vectors.count() // range_rows))
     chunks = max(1, -(-queries.count() // chunk_rows))
-    spread = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(ranges)).cast("int")
+    spread = F.pmod(F.xxhash64("row"), F.lit(ranges)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = vectors.withColumn("range", spread).select(F.lit(False).alias("asks"), "vec_id", "data", "range",
+    held = vectors.withColumn("range", spread).select(F.lit(False).alias("asks"), "vec_id", "row", "data", "range",
                                                       all_of(chunks).alias("chunk"))
-    asks = asked.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int")).select(
-        F.lit(True).alias("asks"), "vec_id", "data", all_of(ranges).alias("range"), "chunk")
+    asks = queries.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int")).select(
+        F.lit(True).alias("asks"), "vec_id", "row", "data", all_of(ranges).alias("range"), "chunk")
 
     def cell(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy().astype(bool)
-        ids = table.column("vec_id").to_numpy()
+        ids, rows = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
         data = table.column("data").to_pylist()
-        matrix = _matrix(data, max(len(d) for d in data) // 8)
-        who, top, _ = best_of_blocks(ids[asks], matrix[asks], ids[~asks], matrix[~asks], k, block)
+        matrix = _matrix(data, max(1, max(len(d) for d in data) // 8))
+        who, top, _ = best_of_blocks(rows[asks], matrix[asks], rows[~asks], ids[~asks], matrix[~asks], k, block)
         found = top != NONE
-        return pa.table({"query_id": pa.array(np.repeat(ids[asks], found.sum(axis=1)), pa.int64()),
+        return pa.table({"row": pa.array(np.repeat(rows[asks], found.sum(axis=1)), pa.int64()),
+                         "query_id": pa.array(np.repeat(ids[asks], found.sum(axis=1)), pa.int64()),
                          "vec_id": pa.array(who[found], pa.int64()), "score": pa.array(top[found], pa.int64())})
 
     best = held.unionByName(asks).groupBy("range", "chunk").applyInArrow(
-        cell, "query_id bigint, vec_id bigint, score bigint")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        cell, "row bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
