@@ -498,42 +498,55 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return spans.repartition(tasks, "id", "mark").sortWithinPartitions("id", "mark", "start").mapInArrow(lean(join), SPANS)
 
 
-def cut(texts: DataFrame, keep: bool) -> DataFrame:
-    """``id, mark, n_removed, n_spans, kept_sha256`` (and ``kept``) of ``id, mark, body, spans``."""
+def cut(rows: DataFrame, keep: bool) -> DataFrame:
+    """``rows`` with their ``_body`` and ``_spans`` (null: nothing is removed) replaced by ``n_removed, n_spans,
+    _kept_sha`` and ``kept``, the last two null where nothing is removed."""
+
+    def without(body: bytes, parts: list[dict]) -> tuple[bytes, int]:
+        kept, end, number, last = [], 0, 0, -1
+        for start, stop in sorted((p["start"], p["stop"]) for p in parts):
+            if start > end or last < 0:
+                number += 1
+                kept.append(body[end:start])
+            end, last = max(end, stop), 0
+        kept.append(body[end:])
+        return b"".join(kept), number
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for body, parts in zip(batch.column(2), batch.column(3).to_pylist()):
-                body, kept, end, number = body.as_py(), [], 0, 0
-                last = -1
-                for start, stop in sorted((p["start"], p["stop"]) for p in parts):
-                    if start > end or last < 0:
-                        number += 1
-                        kept.append(body[end:start])
-                    end, last = max(end, stop), 0
-                kept.append(body[end:])
-                rest = b"".join(kept)
-                out.append((len(body) - len(rest), number, hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore") if keep else None))
+            for body, parts in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                if not parts.is_valid:
+                    out.append((0, 0, None, None))
+                    continue
+                body = body.as_py()
+                rest, number = without(body, parts.as_py())
+                out.append((len(body) - len(rest), number, hashlib.sha256(rest).hexdigest(),
+                            rest.decode(errors="ignore") if keep else None))
             columns = list(zip(*out)) if out else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(columns, kinds))],
-                ["id", "mark", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [*batch.columns[:-2], *(pa.array(list(c), t) for c, t in zip(columns, kinds))],
+                [*batch.schema.names[:-2], "n_removed", "n_spans", "_kept_sha", "kept"])
 
-    return texts.select("id", "mark", "body", "spans").mapInArrow(
-        lean(each), "id bigint, mark bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    others = [f for f in rows.schema.fields if f.name not in ("_body", "_spans")]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
+    return rows.select(*(f.name for f in others), "_body", "_spans").mapInArrow(
+        lean(each), f"{fields}, n_removed bigint, n_spans bigint, _kept_sha string, kept string")
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep: bool = False,
                    crowd: int = CROWD) -> DataFrame:
     """The columns ``carry`` with ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept`` (the
-    text that is left, without the bytes of a character cut in two; null where nothing was removed)."""
+    text that is left, without the bytes of a character cut in two; null where nothing was removed).
+
+    Texts are shuffled twice, to meet their shared anchors and to meet their spans; the second time the columns
+    ``carry`` come along, so a caller need not join the result with ``docs`` again.
+    """
     body = text_bytes(F.col("text"))
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(body).alias("mark"), body.alias("body"))
-    facts = written(docs.select(
-        *carry, F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.xxhash64(body).alias("_mark"),
-        F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("_sha")))
+    key = [F.coalesce("doc_id", F.lit(LAST_ID)).alias("_id"), F.xxhash64(body).alias("_mark")]
+    rows = docs.select(key[0].alias("id"), key[1].alias("mark"), body.alias("body"))
+    facts = written(docs.select(*key, F.octet_length(body).cast("bigint").alias("n_bytes"), F.sha2(body, 256).alias("_sha")))
     firsts = written(facts.groupBy("_sha").agg(F.min("_id").alias("_first"), F.first("_mark").alias("_mark")))
     long_texts = rows.filter(F.octet_length("body") >= MATCH)
     shared = written(shared_anchors(long_texts))
@@ -550,15 +563,16 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep:
             crowded_spans(found.join(crowds, "part", "left_semi")))
     marked = written(marked)
     release(docs.sparkSession)
-    removed = marked.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    done = written(cut(long_texts.join(removed, ["id", "mark"]), keep).dropDuplicates(["id", "mark"])
-                   .withColumnsRenamed({"id": "_id", "mark": "_mark"}))
-    copy = (F.col("_id") > F.col("_first")) & (F.col("n_bytes") >= MATCH)
-    none = F.sha2(F.lit("").cast("binary"), 256)
-    joined = facts.join(firsts.drop("_mark"), "_sha").join(done, ["_id", "_mark"], "left")
-    return joined.select(
-        *carry, "n_bytes",
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(copy, none).otherwise(F.coalesce("kept_sha256", "_sha")).alias("kept_sha256"),
-        *([F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept")] if keep else []))
+    removed = marked.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    copies = facts.join(firsts.drop("_mark"), "_sha").filter((F.col("_id") > F.col("_first")) & (F.col("n_bytes") >= MATCH))
+    copies = copies.select("_id", "_mark", "n_bytes").distinct().select("_id", "_mark", F.array(F.struct(
+        F.lit(0).cast("bigint").alias("start"), F.col("n_bytes").alias("stop"))).alias("_spans"))
+    cuts = written(removed.unionByName(copies))
+    joined = docs.select(*carry, *key, body.alias("_text")).join(cuts, ["_id", "_mark"], "left")
+    changed = F.col("_spans").isNotNull()
+    done = cut(joined.select(
+        *carry, F.octet_length("_text").cast("bigint").alias("n_bytes"), F.when(~changed, F.sha2("_text", 256)).alias("_sha"),
+        F.when(changed, F.col("_text")).alias("_body"), "_spans"), keep)
+    return done.select(*carry, "n_bytes", "n_removed", "n_spans", F.coalesce("_kept_sha", "_sha").alias("kept_sha256"),
+                       *(["kept"] if keep else []))
