@@ -40,11 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has."""
     ship(spark)
-    marked = docs.select(*COLUMNS, F.xxhash64("text").alias("mark"), F.coalesce("doc_id", F.lit(suffixes.LAST_ID)).alias("id"))
-    cut = suffixes.remove_repeats(marked, carry=("id", "mark"), keep=True).filter("n_removed > 0")
-    changed = written(cut.select("id", "mark", "kept").dropDuplicates(["id", "mark"]))
-    text = F.coalesce("kept", "text")
-    return marked.join(changed, ["id", "mark"], "left").withColumn("text", text).withColumn(
+    cut = suffixes.remove_repeats(docs.select(COLUMNS), carry=tuple(COLUMNS), keep=True)
+    return cut.withColumn("text", F.coalesce("kept", "text")).withColumn(
         "n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
