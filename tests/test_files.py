@@ -98,6 +98,30 @@ def test_names_that_spark_passes_over(spark, tmp_path):
         "_jane.docx", "_a=b.docx", "plain.docx", "_deep/in.docx", "_deep/.er/_two.DOCX", "_scan.pdf", "_metadata.pdf")}
 
 
+def test_folder_listing(spark, tmp_path):
+    for name in ("a/x.pdf", "a/b/y.docx", "_c/.d/z.doc", "c[1]/w.pdf", "e/empty/none.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    (tmp_path / "link").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "linked.pdf").symlink_to(tmp_path / "a" / "x.pdf")
+
+    def names(folder):
+        return sorted(r["path"].removeprefix(f"file:{tmp_path}/") for r in files.list_folder(spark, folder).collect())
+
+    everything = ["_c/.d/z.doc", "a/b/y.docx", "a/x.pdf", "c[1]/w.pdf", "e/empty/none.txt", "linked.pdf"]
+    assert names(str(tmp_path)) == names(f"file://{tmp_path}/") == everything
+    assert names(f"{tmp_path}/a") == ["a/b/y.docx", "a/x.pdf"]
+    assert names(f"{tmp_path}/*/b") == ["a/b/y.docx"] and names(f"{tmp_path}/[ae]/*.pdf") == ["a/x.pdf"]
+    assert {r["path"]: r["length"] for r in files.list_folder(spark, f"{tmp_path}/a").collect()}[f"file:{tmp_path}/a/x.pdf"] == 7
+    read = files.read_files(files.list_folder(spark, f"{tmp_path}/a")).collect()
+    assert sorted(bytes(r["content"]).decode() for r in read) == ["a/b/y.docx", "a/x.pdf"]
+
+
+def test_an_empty_folder_has_no_files(spark, tmp_path):
+    assert files.scan_folder(spark, str(tmp_path)).collect() == []
+    assert files.parse_folder(spark, str(tmp_path)).collect() == []
+
+
 def test_bundles_with_equal_member_paths_keep_their_texts(spark, tmp_path):
     for name in ("one.zip", "two.zip"):
         with zipfile.ZipFile(tmp_path / name, "w") as z:

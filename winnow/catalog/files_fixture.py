@@ -55,6 +55,39 @@ def paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(F.expr(PATH).alias("path"))
 
 
+# Places of written files, some of which other scans pass over.
+WRITTEN = f"""(CASE {K} % 8
+  WHEN 0 THEN concat('a/.hidden_', CAST({K} AS VARCHAR(20)), '.docx')
+  WHEN 1 THEN concat('a/__meta_', CAST({K} AS VARCHAR(20)), '.docx')
+  WHEN 2 THEN concat('a/_own_', CAST({K} AS VARCHAR(20)), '.docx')
+  WHEN 3 THEN concat('_folder/deep/cv_', CAST({K} AS VARCHAR(20)), '.PDF')
+  WHEN 4 THEN concat('.folder/part=1/cv_', CAST({K} AS VARCHAR(20)), '.doc')
+  WHEN 5 THEN concat('b.docx/notes_', CAST({K} AS VARCHAR(20)), '.txt')
+  WHEN 6 THEN concat('b.docx/photo_', CAST({K} AS VARCHAR(20)), '=[1].JPG')
+  ELSE concat('resume_', CAST({K} AS VARCHAR(20)), '.docx') END)"""
+WRITTEN_TEXT = f"concat('text of ', CAST({K} AS VARCHAR(20)))"
+
+
+def written_folder(spark: SparkSession, folder: str, target: str) -> int:
+    """Write a small file per customer below ``target``, on executors. Returns their number."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                system.create_dir(f"{base}/{path}".rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as stream:
+                    stream.write(text.encode())
+            yield batch[["path"]]
+
+    root = target if "://" in target else "file:///" + target.removeprefix("file:").lstrip("/")
+    rows = spread(table(spark, folder, "customer").select(K)).select(
+        F.expr(WRITTEN).alias("path"), F.expr(WRITTEN_TEXT).alias("text"))
+    return rows.mapInPandas(write, "path string").count()
+
+
 def _docx_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         contents = []

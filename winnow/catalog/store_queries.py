@@ -48,6 +48,19 @@ def src1(spark, folder):
     return files.supported_files(ff.paths(spark, folder)).select("path", "filename", "file_type")
 
 
+@query("src1_folder", f"""
+SELECT path, regexp_extract(path, '[^/]*$') AS filename, file_type, text FROM (
+  SELECT {ff.WRITTEN} AS path, {ff.WRITTEN_TEXT} AS text,
+         (CASE {K} % 8 WHEN 3 THEN 'pdf' WHEN 4 THEN 'doc' WHEN 6 THEN 'image' ELSE 'docx' END) AS file_type
+  FROM customer WHERE {K} % 8 NOT IN (0, 1, 5))""")
+def src1_folder(spark, folder):
+    target = new_folder(spark)
+    ff.written_folder(spark, folder, target)
+    found = files.supported_files(files.scan_folder(spark, target))
+    inside = F.substring_index("path", target.rstrip("/").rsplit("/", 1)[1] + "/", -1)
+    return found.select(inside.alias("path"), "filename", "file_type", F.col("content").cast("string").alias("text"))
+
+
 @query("src2_zip_members", f"""
 SELECT concat('/in/', CAST({K} AS VARCHAR), '.zip') AS bundle, m AS path, '' AS error
 FROM (SELECT {K}, unnest([concat('cv/', CAST({K} AS VARCHAR), '.docx'), '__MACOSX/._x.docx', 'readme.txt']) AS m

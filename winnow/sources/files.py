@@ -1,24 +1,28 @@
 """Resume files: folder scan, ZIP bundles, DOCX text, dispatch by type.
 
-Only the two codecs (ZIP, DOCX) run in Python, each on the bytes of one file at a time.
+Listing and reading folders and the two codecs (ZIP, DOCX) run in Python on executors, one file at a time.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import io
+import os
+import re
 import sys
-import uuid
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow import fixed
-from winnow.operators.slices import materialize, scratch_folder
+from winnow.operators.slices import materialize
 
 SUPPORTED = [ext for group in fixed.FILE_TYPES.values() for ext in group]
 # Executors need not have this package: its codecs travel with the plan.
@@ -58,77 +62,123 @@ def supported_files(files: DataFrame) -> DataFrame:
     return typed.filter(F.col("file_type").isNotNull())
 
 
-def _glob(extensions) -> str:
-    """A file glob for extensions in any letter case, so that other files are never opened."""
-    def any_case(ext: str) -> str:
-        return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext)
+# Directory entries, and bytes of files or of members of archives, that a task sends on together.
+LISTED_ROWS, FLUSH_BYTES = 10_000, 16_000_000
+_ENTRY = "path string, length bigint, is_folder boolean, wanted string"
 
-    return "{" + ",".join("*" + any_case(ext) for ext in extensions) + "}"
 
+def _file_system(uri: str):
+    """The file system of ``uri`` (None: this machine's) and the path within it."""
+    from pyarrow import fs
 
-def scan_folder(spark: SparkSession, folder: str, extensions=None, content: bool = True) -> DataFrame:
-    """``path, content`` of the files below ``folder`` with the given extensions (default: all supported).
+    local = re.sub(r"^file:/*", "/", uri)
+    if "://" not in local:
+        return None, local
+    store, path = re.fullmatch(r"(\w[\w+.-]*://[^/]*)(.*)", uri, re.DOTALL).groups()
+    system, root = fs.FileSystem.from_uri(store + "/")  # names may hold what a URI may not
+    return system, root.rstrip("/") + path
+
+
+def _entries(folder: str) -> Iterator[tuple[str, int | None]]:
+    """Names in a folder and the sizes of files (None: a folder). Links to folders are passed over, so none is walked
+    twice."""
+    from pyarrow import fs
+
+    system, inner = _file_system(folder)
+    if system is None:
+        with os.scandir(inner) as found:
+            for entry in found:
+                if entry.is_dir(follow_symlinks=False):
+                    yield entry.name, None
+                elif entry.is_file():
+                    yield entry.name, entry.stat().st_size
+        return
+    for info in system.get_file_info(fs.FileSelector(inner, recursive=False)):
+        if info.type is not fs.FileType.NotFound:
+            yield info.base_name, None if info.type is fs.FileType.Directory else info.size
+
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the folders that come in. ``wanted`` holds the rest of a pattern that names must still match."""
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.string()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)],
+                                          ["path", "length", "is_folder", "wanted"])
+
+    rows = []
+    for batch in batches:
+        for folder, wanted in zip(*(batch.column(n).to_pylist() for n in ("path", "wanted"))):
+            here, _, rest = wanted.partition("/")
+            for name, length in _entries(folder):
+                if (here and not fnmatch.fnmatchcase(name, here)) or (rest and length is not None):
+                    continue
+                rows.append((f"{folder.rstrip('/')}/{name}", length, length is None, rest))
+                if len(rows) >= LISTED_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+    if rows:
+        yield batch_of(rows)
+
+
+def list_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length`` of all files below ``folder``, whose last parts may be patterns (``*``, ``?``, ``[...]``).
 
-    Spark's scan passes over names and folders that start with ``_`` or ``.``. Those that are not to be skipped are
-    listed apart and, if their ``content`` is asked for, copied to the shared folder under names that Spark reads.
+    Folders are listed on executors, one level of the tree after the other, whatever their names begin with. The driver
+    sees how many folders a level has and no path.
     """
-    seen = _scan(spark, folder, extensions or SUPPORTED)
-    passed_over = _passed_over(spark, folder, extensions or SUPPORTED)
-    if not content:
-        seen = seen.select("path")
-        return seen.unionByName(spark.createDataFrame([(p,) for p in passed_over], "path string")) if passed_over else seen
-    if not passed_over:
-        return seen
-    target = f"{scratch_folder(spark).rstrip('/')}/scan-{uuid.uuid4().hex}"
-    conf, util = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.FileUtil
-    names = []
-    for number, path in enumerate(passed_over):
-        names.append((f"{number}.{path.rsplit('.', 1)[1]}", path))
-        source, copy = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{target}/{names[-1][0]}"))
-        util.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
-    copies = _scan(spark, target, extensions or SUPPORTED).withColumn("_name", base_name(F.col("path"))).drop("path")
-    return seen.unionByName(copies.join(spark.createDataFrame(names, "_name string, path string"), "_name")
-                            .select("path", "content"))
-
-
-def _scan(spark: SparkSession, folder: str, extensions) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", _glob(extensions))
-        .load(folder)
-        .select("path", "content")
-    )
-
-
-def _passed_over(spark: SparkSession, folder: str, extensions) -> list[str]:
-    """Paths of wanted files below ``folder`` that Spark's scan does not see."""
-    conf, root = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system, hides = root.getFileSystem(conf), spark._jvm.org.apache.spark.util.HadoopFSUtils.shouldFilterOutPathName
-    known: dict[str, bool] = {}
-
-    def unseen(name: str) -> bool:
-        if name not in known:
-            known[name] = hides(name)
-        return known[name]
-
-    found = []
-    for top in system.globStatus(root) or []:
-        start, listed = top.getPath().toString(), system.listFiles(top.getPath(), True)
-        while listed.hasNext():
-            path = listed.next().getPath().toString()
-            *folders, name = path[len(start):].strip("/").split("/")
-            if not name.lower().endswith(tuple(extensions)) or name.startswith(tuple(fixed.HIDDEN_PREFIXES)):
-                continue
-            if any(map(unseen, folders)) or (name.startswith("_") and "=" not in name):
-                found.append(path)
-    return found
+    parts = re.sub(r"^file:/*", "/", folder.rstrip("/")).split("/")
+    plain = next((i for i, part in enumerate(parts) if re.search(r"[*?\[]", part)), len(parts))
+    root = "/".join(parts[:plain]) or "/"
+    level = spark.createDataFrame([(root if "://" in root else f"file:{root}", "/".join(parts[plain:]))],
+                                  "path string, wanted string")
+    most, folders, found = int(spark.conf.get("spark.sql.shuffle.partitions")), 1, []
+    while folders:
+        below = materialize(level.repartition(min(folders, most)).mapInArrow(_list, _ENTRY))
+        found.append(below.filter("not is_folder").select("path", "length"))
+        level = below.filter("is_folder").select("path", "wanted")
+        folders = level.count()
+    return reduce(DataFrame.unionByName, found)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary()))],
+                                          ["path", "content"])
 
+    rows, held = [], 0
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            system, inner = _file_system(path)
+            with open(inner, "rb") if system is None else system.open_input_stream(inner) as file:
+                rows.append((path, file.read()))
+            held += len(rows[-1][1])
+            if held > FLUSH_BYTES:
+                yield batch_of(rows)
+                rows, held = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
+def read_files(files: DataFrame) -> DataFrame:
+    """``path, content`` of listed files, dealt over tasks by path, so that a full folder is no single task's work."""
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path").repartition(tasks, "path").mapInArrow(_read, "path string, content binary")
 
-# --- ZIP bundles ---------------------------------------------------------------------------------------------------
 
-# Unpacked bytes that are sent on together.
-FLUSH_BYTES = 16_000_000
+def scan_folder(spark: SparkSession, folder: str, extensions=None, content: bool = True) -> DataFrame:
+    """``path, content`` (or ``path``) of the files below ``folder`` with the given extensions in any letter case
+    (default: all supported). Other files are never opened, names that begin with ``.`` or ``__`` not either; a folder
+    may have any name."""
+    named = list_folder(spark, folder).withColumn("_name", base_name(F.col("path")))
+    kept = F.lower(F.col("_name")).rlike("(?:" + "|".join(re.escape(e) for e in extensions or SUPPORTED) + r")\z")
+    for prefix in fixed.HIDDEN_PREFIXES:
+        kept = kept & ~F.col("_name").startswith(prefix)
+    files = named.filter(kept).select("path")
+    return read_files(files) if content else files
+
+
+# --- ZIP bundles ---------------------------------------------------------------------------------------------------
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
