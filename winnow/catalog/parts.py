@@ -291,7 +291,7 @@ SELECT r.batch_id, r.resume_id, count(m.skill) AS skills_count,
        (CASE WHEN any_value(z.wanted) > 0 THEN count(DISTINCT s.skill) / CAST(any_value(z.wanted) AS DOUBLE)
         ELSE CAST(0 AS DOUBLE) END) AS jd_overlap
 FROM resumes r JOIN job_sizes z USING (batch_id) LEFT JOIN matched m ON m.resume_id = r.resume_id
-LEFT JOIN job_skill_rows s ON s.batch_id = r.batch_id AND s.skill = m.skill
+LEFT JOIN (SELECT DISTINCT batch_id, skill FROM job_skill_rows) s ON s.batch_id = r.batch_id AND s.skill = m.skill
 GROUP BY r.batch_id, r.resume_id""")
 
 # --- similarity ----------------------------------------------------------------------------------------------------------

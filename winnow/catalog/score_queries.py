@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from winnow.catalog.registry import query, sql_text
 from winnow.catalog.text_queries import KEY, SETTINGS, big, documents, joined, r6
 from winnow.config import scoring
 from winnow.functions import extract, scores, skills, vectors
-from winnow.operators import dashboard, scoring as score_ops
-from winnow.operators.corpus import tfidf_cosine, term_rows, weighted_rows
+from winnow.operators import dashboard, embedded, scoring as score_ops
+from winnow.operators.corpus import hashed_corpus, tfidf_cosine, term_rows, weighted_rows
 from winnow.operators.features import features, with_skills
 from winnow.operators.slices import materialize
 from winnow.plans import screen as plans
@@ -84,7 +86,7 @@ def skl5(spark, folder):
 
 @query("skl6_job_first", """
 SELECT m.resume_id, string_agg(m.skill, '|' ORDER BY (CASE WHEN s.skill IS NULL THEN 1 ELSE 0 END), m.ord) AS skills
-FROM matched m LEFT JOIN job_skill_rows s ON s.batch_id = m.batch_id AND s.skill = m.skill GROUP BY m.resume_id""")
+FROM matched m LEFT JOIN (SELECT DISTINCT batch_id, skill FROM job_skill_rows) s ON s.batch_id = m.batch_id AND s.skill = m.skill GROUP BY m.resume_id""")
 def skl6(spark, folder):
     rows = with_overlap(spark, folder).filter(F.size("matched_skills") > 0)
     ordered = skills.job_first(F.col("matched_skills"), F.col("jd_matched_skills"))
@@ -208,6 +210,112 @@ def sim6(spark, folder):
     return jobs(spark, folder).select("batch_id", job.alias("job"))
 
 
+# --- supplied vectors and corpus weights in the plan -------------------------------------------------------------------------
+
+# Which vector of ``embeddings`` plays the embedding of a text: by kind, number and key.
+_COUNT = "(SELECT count(*) FROM embeddings)"
+TEXT_VECTOR, CERTIFICATE_VECTOR, PROJECT_VECTOR, JOB_VECTOR = "k % c", "(k * 5 + j) % c", "(k * 3 + j * 7) % c", "b * 7 % c"
+
+
+def embedded_texts(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Resumes and jobs with vectors bound to their texts, in place of an embedding model's."""
+    vectors_of = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    c = F.lit(vectors_of.count())
+    k, j, b = F.col("resume_id"), F.col("n"), F.col("batch_no")
+    people, batches = resumes(spark, folder), jobs(spark, folder)
+    which = F.when(F.col("kind") == embedded.TEXT, k % c).when(
+        F.col("kind") == embedded.CERTIFICATE, (k * 5 + j) % c).otherwise((k * 3 + j * 7) % c)
+    texts = embedded.texts_to_embed(people, SETTINGS).withColumn("vec_id", which).join(vectors_of, "vec_id")
+    described = embedded.job_texts_to_embed(batches, SETTINGS).join(batches.select("batch_id", "batch_no"), "batch_id")
+    wanted = described.withColumn("vec_id", b * 7 % c).join(vectors_of, "vec_id")
+    return embedded.bind_vectors(people, texts), embedded.bind_job_vectors(batches, wanted)
+
+
+def _given(kind: str, rows: str, vec: str) -> str:
+    """Cosines of the vectors that stand for the texts of ``rows`` (``resume_id, n``) with the batch's."""
+    return f"""
+SELECT resume_id, n, coalesce(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(w.embedding AS DOUBLE[])), 0) AS cosine
+FROM (SELECT resume_id, n, {vec.replace('k', 'resume_id')} AS vec_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY n) - 1 AS j, {_COUNT} AS c FROM ({rows}))) x
+JOIN embeddings e USING (vec_id) JOIN resumes r USING (resume_id) JOIN given_jobs w USING (batch_id)"""
+
+
+GIVEN = {
+    "given_jobs": f"SELECT batch_id, embedding FROM (SELECT batch_id, {JOB_VECTOR.replace('b', 'batch_no', 1)} AS vec_id "
+                  f"FROM (SELECT *, {_COUNT} AS c FROM jobs)) JOIN embeddings USING (vec_id)",
+    "resume_cosines": _given("text", "SELECT resume_id, 0 AS n FROM resumes", TEXT_VECTOR),
+    "certificate_cosines": _given("certificate", "SELECT resume_id, n FROM certificate_rows", CERTIFICATE_VECTOR),
+    "project_cosines": _given("project", "SELECT resume_id, n FROM project_rows", PROJECT_VECTOR),
+}
+_RELEVANCE = ("SELECT resume_id, round(skills_match_score, 6) AS skills_match_score, round(certificate_relevance, 6) AS "
+              "certificate_relevance, round(project_relevance, 6) AS project_relevance, relevant_projects_count FROM feature_rows")
+
+
+def relevance(rows: DataFrame) -> DataFrame:
+    return rows.select(KEY, r6("skills_match_score").alias("skills_match_score"),
+                       r6("certificate_relevance").alias("certificate_relevance"),
+                       r6("project_relevance").alias("project_relevance"),
+                       big("relevant_projects_count").alias("relevant_projects_count"))
+
+
+@query("sim2_supplied", _RELEVANCE, GIVEN)
+def sim2_supplied(spark, folder):
+    people, batches = embedded_texts(spark, folder)
+    return relevance(plans.compared(people, batches, SETTINGS, embedded.TextVectors()))
+
+
+@query("sco4_supplied", "SELECT batch_id, resume_id, score, rank FROM blended_ranked", GIVEN)
+def sco4_supplied(spark, folder):
+    """The whole screening from supplied vectors."""
+    people, batches = embedded_texts(spark, folder)
+    rows = plans.screen(people, batches, SETTINGS, vectors=embedded.TextVectors())
+    return rows.select("batch_id", KEY, "score", "rank")
+
+
+def _cells(rows: str) -> str:
+    """``resume_id, n, cell, tf`` of the texts of ``rows`` (``resume_id, n, txt``)."""
+    return (f"SELECT resume_id, n, CAST('0x' || substr(md5(term), 1, 5) AS INTEGER) >> 2 AS cell, CAST(count(*) AS DOUBLE) AS tf "
+            f"FROM (SELECT resume_id, n, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS term FROM ({rows})) GROUP BY ALL")
+
+
+def _hashed(rows: str) -> str:
+    return f"""
+SELECT t.resume_id, t.n, coalesce(dot / (norm * job_norm), 0) AS cosine FROM ({rows}) t LEFT JOIN (
+  SELECT x.resume_id, x.n, sqrt(sum(x.w * x.w)) AS norm, sum(x.w * j.w) AS dot, any_value(g.norm) AS job_norm
+  FROM (SELECT resume_id, n, cell, tf * coalesce(idf, (SELECT idf FROM no_cell)) AS w FROM ({_cells(rows)}) LEFT JOIN cell_idf USING (cell)) x
+  JOIN resumes r USING (resume_id) JOIN hashed_norms g USING (batch_id)
+  LEFT JOIN hashed_jobs j ON j.batch_id = r.batch_id AND j.cell = x.cell GROUP BY x.resume_id, x.n) s USING (resume_id, n)"""
+
+
+HASHED = {
+    "no_cell": "SELECT ln(count(*) + 1.0) + 1.0 AS idf FROM resumes",
+    "cell_idf": "SELECT cell, ln(((SELECT count(*) FROM resumes) + 1.0) / (count(DISTINCT resume_id) + 1.0)) + 1.0 AS idf FROM ("
+                + _cells("SELECT resume_id, 0 AS n, raw_text AS txt FROM resumes") + ") GROUP BY cell",
+    "hashed_jobs": "SELECT batch_id, cell, tf * coalesce(idf, (SELECT idf FROM no_cell)) AS w FROM ("
+                   "SELECT batch_id, CAST('0x' || substr(md5(term), 1, 5) AS INTEGER) >> 2 AS cell, sum(tf) AS tf "
+                   "FROM job_terms GROUP BY ALL) LEFT JOIN cell_idf USING (cell)",
+    "hashed_norms": "SELECT batch_id, sqrt(sum(w * w)) AS norm FROM hashed_jobs GROUP BY batch_id",
+    "resume_cosines": _hashed("SELECT resume_id, 0 AS n, raw_text AS txt FROM resumes"),
+    "certificate_cosines": _hashed("SELECT resume_id, n, mention AS txt FROM certificate_rows"),
+    "project_cosines": _hashed("SELECT resume_id, n, project AS txt FROM project_rows"),
+}
+
+
+@query("sim1_hashed", "SELECT CAST(cell AS BIGINT) AS cell, round(idf, 6) AS idf FROM cell_idf", HASHED)
+def sim1_hashed(spark, folder):
+    """The corpus's weights as rows; cells that no text has are left out."""
+    people = resumes(spark, folder)
+    corpus = hashed_corpus(people)
+    rows = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(corpus.idf)), "idf": corpus.idf.round(6)}))
+    return rows.filter(F.col("idf") < float((np.log(people.count() + 1.0) + 1.0).round(6)))
+
+
+@query("sim2_hashed", _RELEVANCE, HASHED)
+def sim2_hashed(spark, folder):
+    people = resumes(spark, folder)
+    return relevance(plans.compared(people, jobs(spark, folder), SETTINGS, corpus=hashed_corpus(people)))
+
+
 # --- scores ----------------------------------------------------------------------------------------------------------------
 
 @query("sco1_experience_norm", "SELECT resume_id, round(exp_norm, 6) AS exp_norm FROM quality_rows")

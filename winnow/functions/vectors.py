@@ -62,6 +62,12 @@ def dense_cosine(a: Column, b: Column) -> Column:
         size > 0, dot(a, b) / size).otherwise(F.lit(0.0)))
 
 
+def dense_cosines(given: Column, b: Column) -> Column:
+    """Cosines of an array of vectors with one vector; no vectors give no cosines, a null vector gives 0."""
+    none = F.array().cast("array<double>")
+    return F.coalesce(F.transform(given, lambda a: dense_cosine(a, b)), none)
+
+
 def similarity_job(job: Column, default: str) -> Column:
     """The description to compare with: a blank one is replaced by a default role."""
     return F.when(job.isNull() | is_blank(job), F.lit(default)).otherwise(job)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,3 +74,89 @@ def tfidf_cosine(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> Dat
     return ids.join(sums, "id", "left").select(
         F.col("id").alias("resume_id"),
         F.coalesce(F.col("dot") / (F.col("norm") * F.col("job_norm")), F.lit(0.0)).alias("cosine"))
+
+
+# --- hashed terms ----------------------------------------------------------------------------------------------------
+
+CELL_BITS = 18
+
+
+def cell_of(term: Column, bits: int = CELL_BITS) -> Column:
+    """The cell of a term: the leading bits of its MD5."""
+    digits = -(-bits // 4)
+    return F.shiftright(F.conv(F.substring(F.md5(term), 1, digits), 16, 10).cast("int"), 4 * digits - bits)
+
+
+def cell_counts(text: Column, bits: int = CELL_BITS) -> Column:
+    """ARRAY of ``(cell, tf)`` of a text; terms of one cell are apart and add up where they are used."""
+    return F.transform(F.map_entries(vectors.term_vector(text)), lambda e: F.struct(
+        cell_of(e["key"], bits).alias("cell"), e["value"].alias("tf")))
+
+
+@dataclass(frozen=True)
+class HashedCorpus:
+    """Inverse document frequencies of hashed terms, an array of ``2 ** bits`` numbers whatever the corpus's size."""
+
+    idf: np.ndarray
+    bits: int
+
+    def cosines(self, settings: Settings) -> Callable[[DataFrame], DataFrame]:
+        """``term_cosines`` with these weights: map-only, the array is broadcast (2 MB at 18 bits). Texts go no further
+        than this step, which passes cells to Python in Arrow batches."""
+        def compared(df: DataFrame) -> DataFrame:
+            job = cell_counts(vectors.similarity_job(F.col("job_description"), settings.default_job), self.bits)
+            texts = F.concat(F.array("raw_text"), "certificates", "projects")
+            staged = [c for c in df.columns if c != "raw_text"]
+            rows = df.select(*staged, F.transform(texts, lambda t: cell_counts(t, self.bits)).alias("_texts"), job.alias("_job"))
+            fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+            step = _comparison(df.sparkSession.sparkContext.broadcast(self.idf))
+            n, m = F.size("certificates"), F.size("projects")
+            return rows.mapInArrow(step, f"{fields}, _all array<double>").select(
+                *staged, F.get("_all", F.lit(0)).alias("_cosine"), F.slice("_all", F.lit(2), n).alias("_certificates"),
+                F.slice("_all", n + 2, m).alias("_projects"))
+        return compared
+
+
+def _comparison(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step that replaces the last two columns, texts and job, by the texts' cosines under the weights ``shared``."""
+
+    def weighted(entries: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct cells and their weights."""
+        cells = entries.field("cell").to_numpy(zero_copy_only=False)
+        distinct, where = np.unique(cells, return_inverse=True)
+        return distinct, np.bincount(where, entries.field("tf").to_numpy(zero_copy_only=False), len(distinct)) * shared.value[distinct]
+
+    def cosine(text: pa.StructArray, wanted: np.ndarray, job: np.ndarray) -> float:
+        cells, values = weighted(text)
+        size = np.sqrt((values ** 2).sum() * (job ** 2).sum())
+        if not size > 0:
+            return 0.0
+        at = np.minimum(np.searchsorted(wanted, cells), len(wanted) - 1)
+        same = wanted[at] == cells
+        return float((values[same] * job[at[same]]).sum() / size)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for texts, job in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                job = weighted(job.values)
+                out.append([cosine(text.values, *job) for text in texts])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.list_(pa.float64()))],
+                                             [*batch.schema.names[:-2], "_all"])
+
+    return step
+
+
+def hashed_corpus(resumes: DataFrame, bits: int = CELL_BITS) -> HashedCorpus:
+    """Weights ``ln((1 + N) / (1 + df)) + 1`` of hashed terms, ``df`` the texts of ``resumes`` that have the cell.
+
+    One pass over the texts. Cells are counted in each task before they leave it, so at most ``2 ** bits`` rows a task
+    are shuffled and as many collected; no term does.
+    """
+    cells = F.array_distinct(F.transform(F.map_keys(vectors.term_vector(F.coalesce("raw_text", F.lit("")))),
+                                         lambda t: cell_of(t, bits)))
+    counted = resumes.select(F.explode(F.concat(cells, F.array(F.lit(-1)))).alias("cell")).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n")).toPandas()
+    df = np.zeros((1 << bits) + 1)
+    df[counted["cell"].to_numpy()] = counted["n"].to_numpy()  # cell -1, the last, is on every text
+    return HashedCorpus(np.log((df[-1] + 1.0) / (df[:-1] + 1.0)) + 1.0, bits)

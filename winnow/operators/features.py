@@ -6,6 +6,7 @@ Columns are added in steps so that Spark computes each shared piece (lines, head
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,8 +115,8 @@ def with_skills(df: DataFrame, settings: Settings, text: str = "raw_text") -> Da
     return matched.withColumn("skills_count", skills.skill_count(F.col("matched_skills")))
 
 
-def features(resumes: DataFrame, settings: Settings) -> DataFrame:
-    """Everything a score needs from the resume alone. The text itself goes no further.
+def features(resumes: DataFrame, settings: Settings, keep: Sequence[str] = ()) -> DataFrame:
+    """Everything a score needs from the resume alone, and the columns ``keep``. The text itself goes no further.
 
     Columns a plan does not use are pruned with the work behind them. ``resumes`` has ``batch_id, resume_id,
     ordinal, filename, raw_text``; ordinals are unique within a batch. A missing text is an empty one, and rows
@@ -137,17 +138,17 @@ def features(resumes: DataFrame, settings: Settings) -> DataFrame:
         "matched_skills", "skills_count",
         extract.has_contact(F.col("raw_text")).alias("has_contact"),
         "has_experience", "experience_years", "certificates", "projects", "degree_score", "education_words",
-        vectors.term_vector(F.col("raw_text")).alias("term_vector"),
+        vectors.term_vector(F.col("raw_text")).alias("term_vector"), *keep,
     ))
 
 
-def job_facts(jobs: DataFrame, settings: Settings) -> DataFrame:
-    """Everything a score needs from a job, once per batch. ``jobs`` has ``batch_id, job_description``."""
+def job_facts(jobs: DataFrame, settings: Settings, keep: Sequence[str] = ()) -> DataFrame:
+    """Everything a score needs from a job, once per batch. ``jobs`` has ``batch_id, job_description`` and ``keep``."""
     job = F.col("job_description")
     facts = jobs.select(
         "batch_id", "job_description",
         skills.job_skills(job, settings.vocabulary, settings.role_skills).alias("job_skills"),
         extract.field_words(F.coalesce(job, F.lit(""))).alias("job_words"),
-        vectors.term_vector(vectors.similarity_job(job, settings.default_job)).alias("job_vector"),
+        vectors.term_vector(vectors.similarity_job(job, settings.default_job)).alias("job_vector"), *keep,
     )
     return facts.withColumn("job_norm", vectors.norm(F.col("job_vector")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +12,14 @@ from winnow.config import Settings
 from winnow.functions import extract, scores, skills, vectors
 from winnow.functions.common import exact_round
 from winnow.operators.features import job_facts
+from winnow.operators.embedded import TextVectors
 from winnow.operators.slices import SLICE, Part, join_batch_facts, ordered_rank, slice_of
 
 
-def with_job(features: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:
-    """Attach the batch's job facts; a batch without a job behaves like one with a blank description."""
-    facts = job_facts(jobs, settings)
+def with_job(features: DataFrame, jobs: DataFrame, settings: Settings, keep: Sequence[str] = ()) -> DataFrame:
+    """Attach the batch's job facts and its columns ``keep``; a batch without a job behaves like one with a blank
+    description."""
+    facts = job_facts(jobs, settings, keep)
     joined = join_batch_facts(features, facts, settings, text="job_description")
     none = F.array().cast("array<string>")
     default = vectors.term_vector(F.lit(settings.default_job))
@@ -36,21 +40,38 @@ def with_overlap(df: DataFrame) -> DataFrame:
     )
 
 
-def with_similarity(df: DataFrame, settings: Settings) -> DataFrame:
-    """Adds the relevance scores and education quality to features joined with their job."""
+def term_cosines(df: DataFrame) -> DataFrame:
+    """Adds ``_cosine``, ``_certificates`` and ``_projects``: similarity with the job by term counts."""
 
     def against_job(texts: str):
         return F.transform(F.col(texts), lambda t: vectors.text_cosine(t, F.col("job_vector"), F.col("job_norm")))
 
-    staged = df.select(
+    return df.select(
         "*",
         vectors.cosine(F.col("term_vector"), F.col("job_vector"), F.col("job_norm")).alias("_cosine"),
         against_job("certificates").alias("_certificates"),
         against_job("projects").alias("_projects"),
     )
+
+
+def supplied_cosines(given: TextVectors) -> Callable[[DataFrame], DataFrame]:
+    """What ``term_cosines`` adds, from vectors that come with the rows. The texts are not looked at."""
+    job = F.col(given.job)
+    return lambda df: df.select(
+        "*",
+        vectors.dense_cosine(F.col(given.text), job).alias("_cosine"),
+        vectors.dense_cosines(F.col(given.certificates), job).alias("_certificates"),
+        vectors.dense_cosines(F.col(given.projects), job).alias("_projects"),
+    )
+
+
+def with_similarity(df: DataFrame, settings: Settings,
+                    cosines: Callable[[DataFrame], DataFrame] = term_cosines) -> DataFrame:
+    """Adds the relevance scores and education quality to features joined with their job."""
+    staged = cosines(df)
     bonus = extract.field_bonus(F.col("education_words"), F.col("job_words"))
     return staged.select(
-        *df.columns,
+        *(c for c in df.columns if c in staged.columns),
         vectors.skills_match(F.col("_cosine")).alias("skills_match_score"),
         vectors.certificate_relevance(F.col("_certificates"), settings.certificate_cosine)
         .alias("certificate_relevance"),

@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from winnow.config import Settings
 from winnow.functions import scores
 from winnow.operators import scoring
+from winnow.operators.corpus import HashedCorpus
+from winnow.operators.embedded import TextVectors
 from winnow.operators.features import boundary, features
 from winnow.operators.slices import materialize
 
 
-def compared(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:
-    """Features of every resume compared with its batch's job."""
-    df = scoring.with_job(features(resumes, settings), jobs, settings)
-    return boundary(scoring.with_similarity(scoring.with_overlap(df), settings))
+def compared(resumes: DataFrame, jobs: DataFrame, settings: Settings, vectors: TextVectors | None = None,
+             corpus: HashedCorpus | None = None) -> DataFrame:
+    """Features of every resume compared with its batch's job: by term counts, by the given ``vectors``, or by term
+    counts weighted by a ``corpus``."""
+    if vectors is None:
+        df = scoring.with_job(features(resumes, settings, keep=["raw_text"] if corpus else []), jobs, settings)
+        cosines = corpus.cosines(settings) if corpus else scoring.term_cosines
+    else:
+        df = scoring.with_job(features(resumes, settings, keep=vectors.of_resume), jobs, settings, keep=[vectors.job])
+        cosines = scoring.supplied_cosines(vectors)
+    return boundary(scoring.with_similarity(scoring.with_overlap(df), settings, cosines))
 
 
 def keyword_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> DataFrame:
@@ -30,9 +39,10 @@ def keyword_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings) -> D
     return scoring.project_scored(df)
 
 
-def blended_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings, model=None) -> DataFrame:
+def blended_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings, model=None,
+                   vectors: TextVectors | None = None, corpus: HashedCorpus | None = None) -> DataFrame:
     """The full score. ``model`` maps features to ``probability_strong``; without one the signal is neutral."""
-    df = scoring.with_quality(compared(resumes, jobs, settings), settings)
+    df = scoring.with_quality(compared(resumes, jobs, settings, vectors, corpus), settings)
     signal = None
     if model is not None:
         df, signal = model(df), F.col("probability_strong")
@@ -40,12 +50,17 @@ def blended_scores(resumes: DataFrame, jobs: DataFrame, settings: Settings, mode
 
 
 def screen(resumes: DataFrame, jobs: DataFrame, settings: Settings, model=None,
-           keywords_only: bool = False) -> DataFrame:
+           keywords_only: bool = False, vectors: TextVectors | None = None,
+           corpus: HashedCorpus | None = None) -> DataFrame:
     """Score, rank and flag all batches.
 
+    Texts are compared with the job by their term counts. ``vectors`` names columns of ``resumes`` and ``jobs`` that hold
+    vectors of an embedding model to compare instead (see ``operators.embedded``); ``corpus`` weights terms by their
+    rarity (see ``operators.corpus.hashed_corpus``).
+
     Text is read once and never shuffled; the narrow scored rows are written to the shared folder because ranks
     and limits need them twice.
     """
     scored = (keyword_scores(resumes, jobs, settings) if keywords_only
-              else blended_scores(resumes, jobs, settings, model))
+              else blended_scores(resumes, jobs, settings, model, vectors, corpus))
     return scoring.rank_and_flag(materialize(scored), settings)
