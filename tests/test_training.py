@@ -149,3 +149,70 @@ def test_cross_validation(spark, trained):
     assert folds.count() == 3 and folds.agg(F.sum("n")).head()[0] == rows.count()
     s = t.accuracy_summary(folds).head()
     assert 0 <= s["mean_accuracy"] <= 1 and s["std_accuracy"] >= 0
+
+
+def walk(nodes):
+    """Rows of inner nodes and of leaves, from a tree's node table."""
+    by_id = {n["id"]: n for n in nodes}
+    assert sorted(by_id) == list(range(len(nodes)))
+    inner, leaves, stack = [], [], [0]
+    while stack:
+        node = by_id.pop(stack.pop())
+        if node["leftChild"] < 0:
+            assert node["rightChild"] < 0 and node["split"]["featureIndex"] == -1
+            leaves.append(node)
+        else:
+            inner.append(node)
+            stack += [node["leftChild"], node["rightChild"]]
+    assert not by_id  # every node is reached
+    return inner, leaves
+
+
+def trees_at(spark, path):
+    found = {}
+    for row in t.forest_nodes(path, spark).collect():
+        found.setdefault(row["treeID"], []).append(row["nodeData"].asDict(True))
+    return found
+
+
+def test_no_node_of_few_rows_is_split(spark, trained, tmp_path):
+    rows, _ = trained
+    labelled = materialize(t.pseudo_labels(rows).withColumn("shortlisted", F.when(
+        F.col("row_id") % 7 == 0, 1 - F.col("shortlisted")).otherwise(F.col("shortlisted"))))  # noise makes deep trees
+    free, pruned = (t.fit_forest(labelled, trees=6, min_split=m) for m in (1, 5))
+    free.stages[1].save(str(tmp_path / "free"))
+    t.save_model(pruned, str(tmp_path / "pruned"))
+    again = t.load_model(spark, str(tmp_path / "pruned"))
+    again.stages[1].save(str(tmp_path / "again"))
+    before, after = trees_at(spark, str(tmp_path / "free")), trees_at(spark, str(tmp_path / "again"))
+    assert before.keys() == after.keys() and len(after) == 6
+    smallest = min(n["rawCount"] for nodes in before.values() for n in walk(nodes)[0])
+    assert smallest < 5  # there was something to collapse
+    for tree in after:
+        inner, leaves = walk(after[tree])
+        assert all(n["rawCount"] >= 5 for n in inner)
+        assert [n["rawCount"] for n in after[tree]].count(after[tree][0]["rawCount"]) >= 1
+        assert sum(n["rawCount"] for n in leaves) == after[tree][0]["rawCount"] == before[tree][0]["rawCount"]
+        for leaf in leaves:
+            assert leaf["prediction"] == float(np.argmax(leaf["impurityStats"]))
+    same = t.predict(pruned, rows).select("row_id", "probability_strong").exceptAll(
+        t.predict(again, rows).select("row_id", "probability_strong"))
+    assert same.count() == 0
+
+
+def test_other_labels_stop_the_query(spark):
+    for wrong in (None, 2, -1):
+        rows = spark.createDataFrame([(1, 0), (2, 1), (3, wrong)], "id long, y int")
+        for step in (lambda r: t.stratified_split(r, "y", "id"), lambda r: t.stratified_folds(r, "y", "id"),
+                     lambda r: t.balance_weights(r, "y")):
+            with pytest.raises(Exception, match="must be 0 or 1"):
+                step(rows).collect()
+
+
+def test_quantiles_by_a_coarse_sketch(spark, monkeypatch):
+    values = list(np.random.default_rng(2).integers(0, 400, 3000) / 7.0)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(6).cache()
+    for size in (10, 40, 400):
+        monkeypatch.setattr(t, "SKETCH", size)
+        for q in (0.0, 0.1, 0.5, 0.9901, 1.0):
+            assert math.isclose(t.exact_quantile(df, "v", q), float(np.quantile(values, q)), rel_tol=1e-12, abs_tol=1e-15)

@@ -52,14 +52,14 @@ def text_cosine(text: Column, vector: Column, norm_vector: Column) -> Column:
 
 
 def dense_cosine(a: Column, b: Column) -> Column:
-    """Cosine of two ARRAY vectors of equal length; 0 if either has no length."""
+    """Cosine of two ARRAY vectors; 0 if either is null or has no length, or if they do not have equally many numbers."""
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")),
                            F.lit(0.0), lambda acc, v: acc + v)
 
     return let(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), lambda size: F.when(
-        size > 0, dot(a, b) / size).otherwise(F.lit(0.0)))
+        size > 0, F.coalesce(dot(a, b) / size, F.lit(0.0))).otherwise(F.lit(0.0)))
 
 
 def dense_cosines(given: Column, b: Column) -> Column:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -16,14 +20,17 @@ from winnow.config import Settings
 from winnow.functions import skills
 from winnow.functions.common import is_blank
 from winnow.operators.dashboard import first_uploads
-from winnow.operators.slices import Part, materialize, ordered_rank
+from winnow.operators.slices import Part, materialize, ordered_rank, scratch_folder
 
 # The forest and its evaluation.
 TREES, DEPTH, SEED = 200, 10, 42
+MIN_SPLIT = 5  # rows a node needs to be split
 TEST_SHARE, FOLDS = 0.2, 5
 MIN_CLASS_ROWS, RELABEL_QUANTILE = 5, 0.75
 # Histogram cells per pass of an exact quantile, and leading hash digits that split a class into parts.
 CELLS, HASH_DIGITS = 1000, 4
+# Ranks that the sketch of a quantile tells apart.
+SKETCH = 100_000
 
 
 # --- rows ------------------------------------------------------------------------------------------------------------
@@ -68,20 +75,19 @@ def years_by_source(from_sheet: Column, sheet_years: Column, extracted: Column)
 
 # --- labels ------------------------------------------------------------------------------------------------------------
 
-def kth_smallest(rows: DataFrame, name: str, k: int) -> float:
-    """The value at 0-based place ``k`` of a numeric column, exactly.
+def kth_smallest(counted: DataFrame, k: int) -> float:
+    """The value at 0-based place ``k`` of ``counted`` values (``v, n``), exactly.
 
     Each pass counts the values into at most ``CELLS`` cells (combined on the map side) and goes on with the one
-    cell that holds the place, so no task ever holds the column. Ties end it at once: a cell of equal values is
-    the answer.
+    cell that holds the place, so no task ever holds the column.
     """
-    value = F.col(name)
-    low, high = rows.agg(F.min(name), F.max(name)).head()
+    value = F.col("v")
+    low, high = counted.agg(F.min("v"), F.max("v")).head()
     while low < high:
-        inside = rows.filter((value >= low) & (value <= high))
+        inside = counted.filter((value >= low) & (value <= high))
         cell = F.floor((value - low) / (high - low) * CELLS)
         cells = inside.groupBy(cell.alias("cell")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high"))
+            F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
         for entry in cells.orderBy("cell").collect():  # at most CELLS + 1 rows
             if k < entry["n"]:
                 low, high = entry["low"], entry["high"]
@@ -91,15 +97,31 @@ def kth_smallest(rows: DataFrame, name: str, k: int) -> float:
 
 
 def exact_quantile(rows: DataFrame, name: str, q: float) -> float:
-    """Quantile with linear interpolation between neighbours."""
-    known = rows.filter(F.col(name).isNotNull()).count()
+    """Quantile with linear interpolation between neighbours, exact, in two passes over ``rows``.
+
+    A mergeable sketch, off by at most one rank in ``SKETCH``, brackets the place. A second pass counts what lies below
+    the bracket and each value inside it; the few counted values are written down and settle the place. Should the sketch
+    have missed it, as it may for few rows, the pass is taken again without a bracket.
+    """
+    value, off = F.col(name), 4 / SKETCH
+    sketch = F.percentile_approx(name, F.array(F.lit(max(q - off, 0.0)), F.lit(min(q + off, 1.0))), SKETCH)
+    known, ends = rows.agg(F.count(name), sketch).head()
     if not known:
         raise ValueError(f"no rows with {name}: a quantile needs at least one")
     place = q * (known - 1)
-    below, above = math.floor(place), math.ceil(place)
-    low = kth_smallest(rows, name, below)
-    high = low if above == below else kth_smallest(rows, name, above)
-    return low + (high - low) * (place - below)
+    first, last = math.floor(place), math.ceil(place)
+    for low, high in (ends, (None, None)):
+        inside = F.lit(True) if low is None else value >= low
+        upto = value.isNotNull() if high is None else value <= high
+        counted = materialize(rows.filter(upto).groupBy(F.when(inside, value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+        below = counted.filter("v is null").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+        near = counted.filter("v is not null")
+        within = near.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+        if below <= first and last < below + within:
+            break
+    lower = kth_smallest(near, first - below)
+    upper = lower if first == last else kth_smallest(near, last - below)
+    return lower + (upper - lower) * (place - first)
 
 
 def label_threshold(rows: DataFrame, name: str = "quality_score") -> float:
@@ -143,13 +165,21 @@ def shuffled_rank(rows: DataFrame, label: str, key: str, name: str) -> DataFrame
                         [F.col("_hash"), F.col(key)], name).drop("_hash")
 
 
+def _checked(rows: DataFrame, label: str) -> DataFrame:
+    """``rows``; a label that is null or neither 0 nor 1 stops the query instead of losing the row."""
+    wrong = F.raise_error(F.concat(F.lit(f"{label} must be 0 or 1, not "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+    return rows.withColumn(label, F.when(F.coalesce(F.col(label).isin(0, 1), F.lit(False)), F.col(label)).otherwise(
+        wrong.cast(rows.schema[label].dataType)))
+
+
 def _class_sizes(rows: DataFrame, label: str) -> DataFrame:
     """Rows per class: labels are 0 and 1, so at most two rows, which are safe to broadcast."""
-    return rows.filter(F.col(label).isin(0, 1)).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, share: float = TEST_SHARE) -> DataFrame:
     """Adds ``is_test``: the first ``share`` of each class in shuffled order, rounded up."""
+    rows = _checked(rows, label)
     ranked = shuffled_rank(rows, label, key, "_place").join(
         F.broadcast(_class_sizes(rows, label)), label)
     return ranked.withColumn("is_test", F.col("_place") <= F.ceil(F.col("_size") * share)).drop("_place", "_size")
@@ -157,12 +187,13 @@ def stratified_split(rows: DataFrame, label: str, key: str, share: float = TEST_
 
 def stratified_folds(rows: DataFrame, label: str, key: str, folds: int = FOLDS) -> DataFrame:
     """Adds ``fold``, dealing each class out in shuffled order."""
-    ranked = shuffled_rank(rows, label, key, "_place")
+    ranked = shuffled_rank(_checked(rows, label), label, key, "_place")
     return ranked.withColumn("fold", ((F.col("_place") - 1) % folds).cast("int")).drop("_place")
 
 
 def balance_weights(rows: DataFrame, label: str) -> DataFrame:
     """Adds ``weight`` = n / (classes * class size)."""
+    rows = _checked(rows, label)
     both = Window.partitionBy(F.lit(0))  # over the class sizes: at most two rows
     factors = _class_sizes(rows, label).select(
         label, (F.sum("_size").over(both) / (F.count(F.lit(1)).over(both) * F.col("_size"))).alias("weight"))
@@ -176,13 +207,59 @@ def _prepared(rows: DataFrame) -> DataFrame:
 
 
 def fit_forest(rows: DataFrame, label: str = "shortlisted", trees: int = TREES, depth: int = DEPTH,
-               seed: int = SEED) -> PipelineModel:
-    """A class-balanced random forest over the model features, nulls as 0."""
+               seed: int = SEED, min_split: int = MIN_SPLIT) -> PipelineModel:
+    """A class-balanced random forest over the model features, nulls as 0. Nodes of fewer than ``min_split`` rows are
+    leaves."""
     weighted = balance_weights(_prepared(rows), label).withColumn(label, F.col(label).cast("double"))
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
     assembler = VectorAssembler(inputCols=list(fixed.MODEL_FEATURES), outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(weighted.select(label, "weight", *fixed.MODEL_FEATURES))
+    fitted = Pipeline(stages=[assembler, forest]).fit(weighted.select(label, "weight", *fixed.MODEL_FEATURES))
+    return PipelineModel([fitted.stages[0], with_min_split(fitted.stages[1], rows.sparkSession, min_split)])
+
+
+def forest_nodes(path: str, spark) -> DataFrame:
+    """The node table of a forest saved at ``path``: ``treeID, nodeData``."""
+    return spark.read.parquet(f"{path}/data")
+
+
+def small_splits_collapsed(nodes: DataFrame, min_split: int) -> DataFrame:
+    """``nodes`` of a forest without the descendants of nodes with fewer than ``min_split`` rows, which become leaves.
+
+    A node's statistics hold its prediction, so a leaf needs nothing new. A child has no more rows than its parent, so a
+    node stays exactly if its parent is still split. Nodes are numbered anew, in order, from 0 in each tree; a tree has at
+    most ``2 ** (depth + 1)`` of them.
+    """
+    node = F.col("nodeData")
+    split = (node["leftChild"] >= 0) & (node["rawCount"] >= min_split)
+    marked = nodes.select("treeID", "nodeData", split.alias("split"), node["id"].alias("id"))
+    children = marked.filter("split").select("treeID", F.explode(F.array("nodeData.leftChild", "nodeData.rightChild")).alias("id"))
+    kept = marked.join(children, ["treeID", "id"], "left_semi").unionByName(marked.filter("id = 0"))
+    number = F.row_number().over(Window.partitionBy("treeID").orderBy("id")) - 1
+    kept = kept.withColumn("new", number)
+    names = kept.select("treeID", F.col("id").alias("old"), F.col("new").alias("name"))
+    left, right = names.withColumnsRenamed({"old": "leftChild", "name": "newLeft"}), names.withColumnsRenamed({"old": "rightChild", "name": "newRight"})
+    joined = kept.select("*", "nodeData.leftChild", "nodeData.rightChild").join(
+        left, ["treeID", "leftChild"], "left").join(right, ["treeID", "rightChild"], "left")
+    fields = nodes.schema["nodeData"].dataType
+    none = {"leftChild": F.lit(-1), "rightChild": F.lit(-1), "gain": F.lit(-1.0),
+            "split": F.struct(F.lit(-1).alias("featureIndex"), F.array().cast("array<double>").alias("leftCategoriesOrThreshold"),
+                              F.lit(-1).alias("numCategories"))}
+    split_values = {"leftChild": F.col("newLeft"), "rightChild": F.col("newRight")}
+    values = {f.name: node[f.name] for f in fields} | {"id": F.col("new")}
+    for name, leaf in none.items():
+        values[name] = F.when(F.col("split"), split_values.get(name, node[name])).otherwise(leaf.cast(fields[name].dataType))
+    return joined.select("treeID", F.struct(*[v.cast(fields[k].dataType).alias(k) for k, v in values.items()]).alias("nodeData"))
+
+
+def with_min_split(forest: RandomForestClassificationModel, spark, min_split: int) -> RandomForestClassificationModel:
+    """``forest`` with small splits collapsed, by way of its saved form in the shared folder."""
+    saved, edited = (f"{scratch_folder(spark)}/forest-{uuid.uuid4().hex}" for _ in range(2))
+    forest.save(saved)
+    small_splits_collapsed(forest_nodes(saved, spark), min_split).coalesce(1).write.parquet(f"{edited}/data")
+    spark.read.parquet(f"{saved}/treesMetadata").coalesce(1).write.parquet(f"{edited}/treesMetadata")
+    spark.read.text(f"{saved}/metadata").coalesce(1).write.text(f"{edited}/metadata")
+    return RandomForestClassificationModel.load(edited)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -197,17 +274,20 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 
 def cross_validate(rows: DataFrame, label: str, key: str, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
-    """One row per fold with its held-out accuracy. Pass materialized ``rows``."""
+    """One row per fold with its held-out accuracy. Pass materialized ``rows``. Folds are fitted side by side, so that
+    the short jobs of one fill the gaps of another."""
     dealt = materialize(stratified_folds(rows, label, key, folds))
-    results = None
-    for fold in range(folds):
+
+    @inheritable_thread_target(rows.sparkSession)
+    def score(fold: int) -> DataFrame:
         model = fit_forest(dealt.filter(F.col("fold") != fold), label, trees)
         held_out = predict(model, dealt.filter(F.col("fold") == fold))
-        score = held_out.groupBy("fold").agg(
+        return held_out.groupBy("fold").agg(
             F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"),
             F.count(F.lit(1)).alias("n"))
-        results = score if results is None else results.unionByName(score)
-    return results
+
+    with ThreadPoolExecutor(folds) as pool:
+        return reduce(DataFrame.unionByName, pool.map(score, range(folds)))
 
 
 def accuracy_summary(folds: DataFrame) -> DataFrame:
