@@ -56,5 +56,9 @@ def test_sliced_join_reads_keys_only_for_the_job_side(spark, resumes):
 def test_store_readers_open_one_batch(spark, tmp_path):
     path = str(tmp_path / "store")
     store.append(spark.createDataFrame([("a", "x"), ("b", "y")], "batch_id string, name string"), path)
-    text = plan(store.read_store(spark, path).filter("batch_id = 'a'").select("name"))
-    assert re.search(r"PartitionFilters: \[.*batch_id.* = a.*\]", text)
+    store.append(spark.createDataFrame([("c", "z")], "batch_id string, name string"), path)
+    text = plan(store.read_batch(spark, path, "a").select("name"))
+    assert re.search(r"PartitionFilters: \[.*epoch.* = 00000001-.*\]", text)
+    assert re.search(r"PushedFilters: \[.*EqualTo\(batch_id,a\)", text)
+    totals = plan(store.store_totals(spark, path))
+    assert len(re.findall("FileScan", totals)) == 1 and "ReadSchema: struct<batch_id:string,uploaded_at:string,candidate_count" in totals

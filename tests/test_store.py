@@ -61,6 +61,62 @@ def test_append_keeps_earlier_batches(spark, tmp_path):
         ("a", 3.0), ("b", 2.0)]
 
 
+def test_manifest_and_epochs(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.store_totals(spark, path).head()[:] == (None, 0, 0) and store.newest_batch(spark, path).count() == 0
+
+    def batch(name, at, n):
+        return spark.range(n).select(F.lit(name).alias("batch_id"), F.lit(at).alias("uploaded_at"), F.col("id").alias("rank"),
+                                     F.lit(None).cast("string").alias("job_description"), F.lit(f"{name}{at}").alias("name"))
+
+    store.append(batch("a", "2024-01-01", 3), path)
+    store.append(batch("b", "2024-01-03", 4).unionByName(batch(None, "2024-01-02", 1)), path)
+    store.append(batch("a", "2024-01-02", 2), path)  # a batch that grows
+    assert store.store_totals(spark, path).head()[:] == ("2024-01-03", 3, 10)
+    assert [r["name"] for r in store.newest_batch(spark, path).collect()] == ["b2024-01-03"] * 4
+    assert store.read_batch(spark, path, "a").count() == 5 and store.read_batch(spark, path, "none").count() == 0
+    store.replace_batches(batch("a", "2024-01-04", 1), path)
+    store.append(batch("a", "2024-01-05", 1), path)
+    assert {(r["batch_id"], r["candidate_count"]) for r in store.batch_headers(spark, path).collect()} == {("a", 2), ("b", 4), ("", 1)}
+    before = sorted((r["batch_id"], r["name"]) for r in store.read_store(spark, path).collect())
+    store.compact(spark, path)
+    assert sorted((r["batch_id"], r["name"]) for r in store.read_store(spark, path).collect()) == before and len(before) == 7
+    assert store.manifest(spark, path).select("epoch").distinct().count() == 1
+    # rows of a write that never reached the manifest do not count
+    store.with_defaults(batch("b", "2025", 9)).write.parquet(f"{path}/rows/epoch=00000099-x")
+    assert store.read_store(spark, path).count() == 7 and store.read_batch(spark, path, "b").count() == 4
+
+
+def test_many_batches_give_few_files(spark, tmp_path):
+    path = str(tmp_path / "store")
+    store.append(spark.range(20_000).select(F.concat(F.lit("b"), F.col("id")).alias("batch_id"), F.lit("n").alias("name")), path)
+    assert len(list((tmp_path / "store" / "rows").rglob("*.parquet"))) <= 8
+    assert store.read_batch(spark, path, "b777").count() == 1 and store.store_totals(spark, path).head()[1] == 20_000
+
+
+def test_documents_read_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHUNK_ROWS", 4)
+    rows = store.with_defaults(spark.range(10).select(
+        F.when(F.col("id") < 7, "x").otherwise("y").alias("batch_id"), F.lit("2024").alias("uploaded_at"),
+        F.lit('quote " and é').alias("job_description"), F.col("id").alias("ordinal"), F.col("id").alias("rank"),
+        F.concat(F.lit("n"), F.col("id")).alias("name"), F.array(F.lit("c++")).alias("matched_skills")))
+    nested = store.nest(rows).cache()
+    store.write_document(nested, str(tmp_path / "one"))
+    text = next((tmp_path / "one").glob("part-*")).read_text()
+    document = json.loads(text)
+    assert list(document) == ["last_updated", "total_batches", "total_resumes", "batches"]
+    assert [(b["batch_id"], b["candidate_count"], [c["rank"] for c in b["candidates"]]) for b in document["batches"]] == [
+        ("x", 7, list(range(7))), ("y", 3, [7, 8, 9])]
+    assert document["total_batches"] == 2 and document["total_resumes"] == 10 and list(document["batches"][0]["candidates"][0]) == store.FIELDS
+    store.write_documents(nested, str(tmp_path / "lines"))
+    for batches in (store.read_document(spark, str(tmp_path / "one")), store.read_document(spark, str(tmp_path / "lines"), lines=True)):
+        back = store.flatten(batches)
+        assert sorted(back.select("batch_id", *store.FIELDS).collect(), key=str) == sorted(
+            rows.select("batch_id", *store.FIELDS).collect(), key=str)
+    with pytest.raises(ValueError, match="one document"):
+        store.write_document(nested, str(tmp_path / "no"), most=9)
+
+
 def test_batch_ids_stay_text(spark, tmp_path):
     path = str(tmp_path / "store")
     ids = ["007", "7", "2024-01-01", "1e5"]

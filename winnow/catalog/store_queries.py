@@ -146,6 +146,52 @@ def snk1(spark, folder):
         big(F.length("raw_text")).alias("text_length"), "uploaded_at")
 
 
+_WRITTEN = ("batch_id, uploaded_at, coalesce(job_description, '(null)') AS job_description, rank, name, score, "
+            "CAST(experience_years AS BIGINT) AS experience_years, filename, is_anomaly, raw_text, concat(name, '|talk') AS "
+            "matched_skills, FALSE AS corrupt")
+
+
+def _read_back(documents: DataFrame) -> DataFrame:
+    rows = store.flatten(documents.filter("_corrupt is null"), "(null)")
+    return rows.select("batch_id", "uploaded_at", "job_description", "rank", "name", "score",
+                       big("experience_years").alias("experience_years"), "filename", "is_anomaly", "raw_text",
+                       joined("matched_skills").alias("matched_skills"), F.lit(False).alias("corrupt"))
+
+
+@query("snk1_documents", f"SELECT {_WRITTEN} FROM convs")
+def snk1_documents(spark, folder):
+    """The store as JSON documents, a chunk of a batch each, written and read back."""
+    path = new_folder(spark)
+    store.write_documents(batches(spark, folder), path)
+    return _read_back(store.read_document(spark, path, lines=True))
+
+
+def filled_store(spark, folder: str) -> str:
+    """A store of the conversations, written in three appends, then one batch in seven replaced by itself."""
+    path, rows = new_folder(spark), ff.conversations(spark, folder)
+    number = F.substring("batch_id", 2, 20).cast("bigint")
+    for k in range(3):
+        store.append(rows.filter(F.pmod(number, F.lit(3)) == k), path)
+    store.replace_batches(rows.filter(F.pmod(number, F.lit(7)) == 0), path)
+    return path
+
+
+@query("snk2_manifest", """
+SELECT max(uploaded_at) AS last_updated, count(*) AS total_batches, CAST(sum(candidate_count) AS BIGINT) AS total_resumes
+FROM conv_batches""")
+def snk2_manifest(spark, folder):
+    return store.store_totals(spark, filled_store(spark, folder))
+
+
+@query("sto2_newest", """
+SELECT batch_id, rank, name, score, coalesce(job_description, '') AS job_description FROM convs
+WHERE batch_id = (SELECT batch_id FROM convs ORDER BY uploaded_at DESC, batch_id DESC LIMIT 1)""")
+def sto2_newest(spark, folder):
+    """The newest batch by way of the manifest, opening its own epochs only."""
+    rows = store.newest_batch(spark, filled_store(spark, folder))
+    return rows.select("batch_id", "rank", "name", "score", F.coalesce("job_description", F.lit("")).alias("job_description"))
+
+
 @query("snk2_totals", """
 SELECT max(uploaded_at) AS last_updated, count(*) AS total_batches, CAST(sum(candidate_count) AS BIGINT) AS total_resumes
 FROM conv_batches""")
@@ -164,13 +210,18 @@ def snk3(spark, folder):
 
 
 @query("snk3_csv_written", """
-SELECT CAST(rank AS BIGINT) AS "Rank", name AS "Name", CAST(score AS DOUBLE) AS "Score", filename AS "Filename"
-FROM ranked""")
+SELECT CAST(rank AS BIGINT) AS "Rank", name AS "Name", CAST(score AS DOUBLE) AS "Score",
+       experience_years AS "Experience (Yrs)", 'No' AS "Relevant Cert", CAST(0 AS BIGINT) AS "Relevant Projects",
+       replace(matched_skills, '|', ', ') AS "Matched Skills", replace(jd_matched_skills, '|', ', ') AS "JD Matched Skills",
+       (CASE WHEN is_anomaly THEN 'Flagged' ELSE 'Clean' END) AS "Anomaly Status", filename AS "Filename" FROM ranked""")
 def snk3_written(spark, folder):
     path = new_folder(spark)
     store.write_csv(ranked_rows(spark, folder), path)
     back = spark.read.option("header", "true").option("quote", '"').option("escape", '"').csv(path)
-    return back.select(big("Rank").alias("Rank"), "Name", F.col("Score").cast("double").alias("Score"), "Filename")
+    texts = ("Matched Skills", "JD Matched Skills")  # an empty text reads back as null
+    return back.withColumns({
+        **{c: big(F.col(f"`{c}`")) for c in ("Rank", "Experience (Yrs)", "Relevant Projects")},
+        "Score": F.col("Score").cast("double"), **{c: F.coalesce(f"`{c}`", F.lit("")) for c in texts}})
 
 
 @query("sto1_flatten", "SELECT batch_id, uploaded_at, coalesce(job_description, '') AS job_description, rank, name, "

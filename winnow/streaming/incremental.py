@@ -48,9 +48,9 @@ def candidates(spark: SparkSession, out: str, settings: Settings, batches: list[
 
     Before anything has arrived this is an empty store.
     """
-    scored = store.read_store(spark, f"{out}/scores")
-    if "epoch" not in scored.columns:
-        return scored
+    scored = store.read_rows(spark, f"{out}/scores")
+    if scored is None:
+        return store.read_store(spark, out)
     if batches is not None:
         scored = scored.filter(F.col("batch_id").isin(batches))
     return store.with_defaults(scoring.rank_and_flag(scored.drop("epoch"), settings))
