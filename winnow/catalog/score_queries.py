@@ -13,11 +13,13 @@ from winnow.catalog.fixture import AS_OF_YEAR, jobs, resumes, table
 from winnow.catalog.registry import query, sql_text
 from winnow.catalog.text_queries import KEY, SETTINGS, big, documents, joined, r6
 from winnow.config import scoring
+from winnow.functions.common import let
 from winnow.functions import extract, scores, skills, vectors
 from winnow.operators import dashboard, embedded, scoring as score_ops
 from winnow.operators.corpus import hashed_corpus, tfidf_cosine, term_rows, weighted_rows
 from winnow.operators.features import features, with_skills
 from winnow.operators.slices import materialize
+from winnow.operators.terms import match_terms
 from winnow.plans import screen as plans
 
 TERMS = SETTINGS.vocabulary
@@ -62,6 +64,32 @@ def skl1_nested(spark, folder):
     return rows.filter(F.col("n") > 0)
 
 
+# Runs of word characters and runs of others, as lists; a term is a row of whole runs between word boundaries.
+RUNS_SQL = r"regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+')"
+
+
+@query("skl1_table", f"""
+WITH item AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+listed AS (SELECT skill, min(item_id) AS ord FROM (
+    SELECT item_id, w[i] || ' ' || w[i + 1] AS skill
+    FROM (SELECT item_id, w, unnest(range(1, len(w))) AS i FROM item)) GROUP BY skill),
+text_runs AS (SELECT doc_id, {RUNS_SQL.format('lower(text)')} AS r FROM documents),
+spans AS (SELECT DISTINCT doc_id, r[i] || r[i + 1] || r[i + 2] AS skill
+    FROM (SELECT doc_id, r, unnest(range(1, len(r) - 1)) AS i FROM text_runs))
+SELECT d.doc_id, count(l.skill) AS n, coalesce(string_agg(l.skill, '|' ORDER BY l.ord, l.skill), '') AS matched
+FROM documents d LEFT JOIN spans s USING (doc_id) LEFT JOIN listed l ON l.skill = s.skill GROUP BY d.doc_id""")
+def skl1_table(spark, folder):
+    """A vocabulary that is a table: all pairs of neighbouring words of the benchmark items."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    pairs = let(words, lambda w: F.transform(
+        F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
+        lambda word, at: F.concat(word, F.lit(" "), F.get(w, at + 1))))
+    listed = table(spark, folder, "benchmark").select("item_id", F.explode(pairs).alias("skill")).groupBy("skill").agg(
+        F.min("item_id").alias("ord"))
+    found = match_terms(table(spark, folder, "documents"), listed, SETTINGS, ["doc_id"], "text")
+    return found.select("doc_id", big("skills_count").alias("n"), joined("matched_skills").alias("matched"))
+
+
 @query("skl2_count", "SELECT resume_id, skills_count FROM skill_stats")
 def skl2(spark, folder):
     return with_skills(resumes(spark, folder), SETTINGS).select(KEY, big("skills_count").alias("skills_count"))
