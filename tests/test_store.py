@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from winnow import config
 from winnow.catalog import fixture
 from winnow.operators import dashboard
+from winnow.operators.scoring import length_limits
 from winnow.plans.screen import screen
 from winnow.sources import store
 from winnow.streaming import incremental
@@ -178,5 +180,44 @@ def test_stream_equals_batch_and_replays(spark, tmp_path, at_once):
     assert sorted((r["rank"], r["filename"]) for r in few.collect()) == [(r[1], r[2]) for r in at_once if r[0] == "b0"]
 
 
+def test_compacted_stream(spark, tmp_path, at_once):
+    """Three arrivals with compactions between: ranks, first candidates and limits stay those of the whole; a replay of a
+    compacted micro-batch, a compaction without its commit and scores without parts change nothing."""
+    arrived, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows, jobs = fixture.resumes(spark, FOLDER), fixture.jobs(spark, FOLDER)
+
+    def read(**chosen):
+        found = incremental.candidates(spark, out, SETTINGS, **chosen)
+        return sorted((r["batch_id"], r["rank"], r["filename"], r["score"], r["is_anomaly"]) for r in found.collect())
+
+    for third in range(3):
+        rows.filter(F.col("resume_id") % 3 == third).coalesce(1).write.mode("append").parquet(arrived)
+        incremental.screen_arrivals(incremental.read_arrivals(spark, arrived), jobs, out, SETTINGS)
+        if third < 2:
+            incremental.compact(spark, out)
+    assert read() == at_once
+    assert read(first=2) == [r for r in at_once if r[1] <= 2]
+    old = spark.read.parquet(f"{out}/scores/epoch=0")
+    again = str(tmp_path / "again")
+    old.write.parquet(again)
+    spark.read.parquet(again).write.mode("append").parquet(f"{out}/scores/epoch=0")  # replay, twice the rows
+    spark.read.parquet(again).write.parquet(f"{out}/scores/epoch=9")  # no parts yet
+    assert read() == at_once
+    spark.read.parquet(again).write.parquet(f"{out}/compacted/broken/scores")
+    incremental.compact(spark, out)
+    incremental.compact(spark, out)  # nothing new
+    assert spark.read.parquet(f"{out}/compactions").count() == 3
+    assert read() == at_once and read(batches=["b0"]) == [r for r in at_once if r[0] == "b0"]
+    found = incremental.limits(spark, out, ["b0", "b1"])
+    files = found.inputFiles()
+    assert files and not any("/scores/" in f for f in files)
+    plain = length_limits(rows.withColumn("text_length", F.length("raw_text"))).filter("batch_id in ('b0', 'b1')")
+    assert sorted(map(tuple, found.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    with pytest.raises(ValueError, match="slice_rows"):
+        incremental.candidates(spark, out, replace(SETTINGS, slice_rows=7))
+
+
 def test_stream_before_anything_arrived(spark, tmp_path):
     assert incremental.candidates(spark, str(tmp_path / "none"), SETTINGS).collect() == []
+    assert incremental.limits(spark, str(tmp_path / "none")) is None
+    incremental.compact(spark, str(tmp_path / "none"))

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import csv
 import math
+import random
 
 import numpy as np
 import pytest
@@ -60,6 +62,29 @@ def test_report_without_one_class(spark):
     assert cells == {(0, 0): 2, (0, 1): 1, (1, 0): 0, (1, 1): 0}
 
 
+@pytest.mark.parametrize("split", ["100", "100000"])
+def test_sheet_cells_with_line_breaks(spark, tmp_path, split):
+    """Any split of the files gives the records of a plain CSV reader."""
+    random.seed(3)
+    cells = ["", "a", "b,c", 'say "x"', "two\nlines", "\n", "end\n\n", '"', "\n,\n", "long " * 30]
+    expected = []
+    for name in ("a.csv", "b.csv"):
+        rows = [[f"{name}{i}", random.choice(cells), random.choice(cells)] for i in range(60)]
+        with open(tmp_path / name, "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\n")
+            out.writerow(["Skills", "Other", "JobRole"])
+            out.writerows(rows)
+        expected += [(r[0], r[2] or None) for r in rows]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        found = sheet.read_sheet(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda r: (r[0], r[1] or "")
+    assert sorted(((r["Skills"], r["JobRole"]) for r in found), key=key) == sorted(expected, key=key)
+
+
 def test_sheet_columns_may_be_missing(spark, tmp_path):
     path = tmp_path / "sheet.csv"
     path.write_text('Skills,Experience_Years,JobRole\n"python, sql",5,analyst\n,,\n')

@@ -148,6 +148,21 @@ def sheet_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("row_id", F.concat_ws(",", *quoted).alias("line"))
 
 
+# Notes of a sheet with line breaks, doubled quotes and blank lines inside cells.
+BROKEN_LINES = {
+    "Skills": f"concat('key ', CAST({K} AS VARCHAR(20)), CASE WHEN {K} % 3 = 0 THEN concat(chr(10), 'python, sql', chr(10), chr(10), 'git') ELSE '' END)",
+    "Education": f"(CASE {K} % 4 WHEN 1 THEN concat('said \"B.S.\"', chr(10), 'in, 2010') WHEN 2 THEN 'M.Sc' WHEN 3 THEN chr(10) END)",
+    "JobRole": f"concat('role ', CAST({K} % 7 AS VARCHAR(20)))",
+}
+
+
+def broken_sheet(spark: SparkSession, folder: str, path: str) -> None:
+    """Writes the sheet of ``BROKEN_LINES`` as CSV files with a header."""
+    rows = table(spark, folder, "customer").select(*[F.expr(text).alias(n) for n, text in BROKEN_LINES.items()])
+    rows.repartition(2).write.options(header="true", quote='"', escape='"', ignoreLeadingWhiteSpace="false",
+                                      ignoreTrailingWhiteSpace="false").csv(path)
+
+
 STORED_SQL = f"""
 SELECT 2 * {K} + 1 AS row_id, {raw_text_sql()} AS raw_text, {job_sql(batch_sql())} AS job_description
 FROM customer"""

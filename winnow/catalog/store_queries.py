@@ -13,7 +13,7 @@ from winnow.catalog import parts as P
 from winnow.catalog.fixture import K, jobs, resumes
 from winnow.catalog.registry import part, query, sql_list
 from winnow.catalog.score_queries import ranked_rows
-from winnow.catalog.text_queries import KEY, SETTINGS, big, joined
+from winnow.catalog.text_queries import KEY, SETTINGS, big, joined, r6
 from winnow.operators.slices import scratch_folder
 from winnow.sources import files, sheet, store
 from winnow.streaming import incremental
@@ -95,6 +95,15 @@ def src5(spark, folder):
     return rows.select("row_id", *[F.coalesce(c, F.lit("(null)")).alias(c) for c in ff.SHEET])
 
 
+@query("src5_line_breaks", "SELECT " + ", ".join(f"coalesce({text}, '(null)') AS {n}" for n, text in ff.BROKEN_LINES.items())
+       + " FROM customer")
+def src5_line_breaks(spark, folder):
+    """A sheet written as CSV files and read back."""
+    path = new_folder(spark)
+    ff.broken_sheet(spark, folder, path)
+    return sheet.read_sheet(spark, path).select(*[F.coalesce(n, F.lit("(null)")).alias(n) for n in ff.BROKEN_LINES])
+
+
 part("synthesized", f"""
 SELECT row_id, concat(coalesce(Skills, ''), ' ', coalesce(Certifications, ''), ' ', coalesce(Experience_Years, 'nan'),
        ' years experience ', coalesce(Email, ''), ' ', coalesce(Phone, 'nan'), ' ', coalesce(Education, '')) AS raw_text,
@@ -273,3 +282,34 @@ def str1(spark, folder):
     incremental.screen_arrivals(arrivals, jobs(spark, folder), out, SETTINGS, keywords_only=True)
     return incremental.candidates(spark, out, SETTINGS).select(
         "batch_id", "rank", "name", "score", "is_anomaly", "filename")
+
+
+def _in_two_arrivals(spark, folder: str) -> str:
+    """The resumes in two arrivals with a compaction after each but the last."""
+    arrived, out = new_folder(spark), new_folder(spark)
+    for half in (0, 1):
+        resumes(spark, folder).filter(F.col(KEY) % 2 == half).write.mode("append").parquet(arrived)
+        arrivals = incremental.read_arrivals(spark, arrived)
+        incremental.screen_arrivals(arrivals, jobs(spark, folder), out, SETTINGS, keywords_only=True)
+        if half == 0:
+            incremental.compact(spark, out)
+    return out
+
+
+@query("str1_compacted_first", "SELECT batch_id, rank, name, score, is_anomaly, filename FROM ranked WHERE rank <= 10")
+def str1_first(spark, folder):
+    """The first ten of every batch, from a compacted folder and what came later."""
+    found = incremental.candidates(spark, _in_two_arrivals(spark, folder), SETTINGS, first=10)
+    return found.select("batch_id", "rank", "name", "score", "is_anomaly", "filename")
+
+
+@query("str1_limits", """
+SELECT batch_id, n, round(s1 / CAST(n AS DOUBLE), 6) AS mean_length,
+       round(CASE WHEN n > 1 THEN sqrt(CAST(n * s2 - s1 * s1 AS DOUBLE) / CAST(n * (n - 1) AS DOUBLE)) ELSE 0 END, 6)
+           AS length_deviation
+FROM (SELECT batch_id, count(*) AS n, sum(CAST(length(raw_text) AS HUGEINT)) AS s1,
+             sum(CAST(length(raw_text) AS HUGEINT) * length(raw_text)) AS s2 FROM resumes GROUP BY batch_id)""")
+def str1_limits(spark, folder):
+    """Length limits of the batches so far, without reading scores."""
+    return incremental.limits(spark, _in_two_arrivals(spark, folder)).select(
+        "batch_id", "n", r6("mean_length").alias("mean_length"), r6("length_deviation").alias("length_deviation"))

@@ -168,11 +168,34 @@ def flag_outliers(rows: DataFrame, settings: Settings) -> DataFrame:
     return with_flag(joined).drop(SLICE, "n", "mean_length", "length_deviation", "length_limit")
 
 
-def rank_and_flag(scored: DataFrame, settings: Settings) -> DataFrame:
-    """``rank`` and ``flag_outliers`` in one pass: the part sizes that give ranks also carry the length sums."""
+def score_parts(scored: DataFrame, settings: Settings) -> DataFrame:
+    """Number of rows and sums of lengths per batch, score and slice: all that ranks and limits need to know of other
+    rows. Scores have one decimal, so a batch has at most 1,001 of them times its slices."""
+    rows = scored.withColumn(SLICE, slice_of(F.col("ordinal"), settings))
+    return rows.groupBy("batch_id", "score", SLICE).agg(*_length_sums())
+
+
+def merged_parts(parts: DataFrame, *keys: str) -> DataFrame:
+    """``score_parts`` of several tables added up per ``keys``."""
+    return parts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").cast("decimal(38,0)").alias("s2"))
+
+
+def limits_of_parts(parts: DataFrame) -> DataFrame:
+    """``length_limits`` from ``score_parts``, without the rows."""
+    return _length_limits(merged_parts(parts, "batch_id")).drop("s1", "s2")
+
+
+def rank_and_flag(scored: DataFrame, settings: Settings, parts: DataFrame | None = None,
+                  first: int | None = None) -> DataFrame:
+    """``rank`` and ``flag_outliers`` in one pass: the part sizes that give ranks also carry the length sums.
+
+    ``parts`` are the ``score_parts`` of all rows where they are kept; ``scored`` is then read once. ``first`` keeps that
+    many candidates of every batch; only rows of parts that reach so far are sorted.
+    """
     keys = ["batch_id", "score", SLICE]
     rows = scored.withColumn(SLICE, slice_of(F.col("ordinal"), settings))
-    parts = rows.groupBy(*keys).agg(*_length_sums())
+    parts = score_parts(scored, settings) if parts is None else merged_parts(parts, *keys)
     batch = Window.partitionBy("batch_id")
     before = batch.orderBy(F.col("score").desc(), SLICE).rowsBetween(Window.unboundedPreceding, -1)
     totals = parts.select(
@@ -183,6 +206,10 @@ def rank_and_flag(scored: DataFrame, settings: Settings) -> DataFrame:
         F.sum("s2").over(batch).cast("decimal(38,0)").alias("s2"),
     )
     limits = _length_limits(totals).drop("n", "s1", "s2", "mean_length")
+    if first is not None:
+        limits = limits.filter(F.col("_before") < first)
     within = Window.partitionBy(*keys).orderBy("ordinal")
     ranked = with_flag(rows.join(limits, keys)).withColumn("rank", F.col("_before") + F.row_number().over(within))
+    if first is not None:
+        ranked = ranked.filter(F.col("rank") <= first)
     return ranked.select(*scored.columns, "rank", "is_anomaly", "anomaly_reason")
