@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,10 +18,10 @@ from winnow.catalog.text_queries import KEY, SETTINGS, big, documents, joined, r
 from winnow.config import scoring
 from winnow.functions.common import let
 from winnow.functions import extract, scores, skills, vectors
-from winnow.operators import dashboard, embedded, scoring as score_ops
+from winnow.operators import dashboard, embedded, scoring as score_ops, search_index
 from winnow.operators.corpus import hashed_corpus, tfidf_cosine, term_rows, weighted_rows
 from winnow.operators.features import features, with_skills
-from winnow.operators.slices import materialize
+from winnow.operators.slices import materialize, scratch_folder
 from winnow.operators.terms import match_terms
 from winnow.plans import screen as plans
 
@@ -442,6 +445,23 @@ def dsh1_skill(spark, folder):
     return dashboard.search(ranked_rows(spark, folder), "SCRIPT").select("batch_id", KEY, "rank", "name")
 
 
+# A skill's part, two names' parts, one across a blank, one below three letters, one that nobody has.
+SEARCHED = ("SCRIPT", "smith", "date 1", "e c", "py", "qqq")
+
+
+@query("dsh1_indexed", """
+SELECT w.wanted, r.batch_id, r.resume_id, r.rank, r.name FROM ranked r, (VALUES """ + ", ".join(
+    f"({sql_text(t)})" for t in SEARCHED) + """) AS w(wanted)
+WHERE contains(lower(r.name), lower(w.wanted))
+   OR len(list_filter(string_split(r.matched_skills, '|'), lambda s: contains(s, lower(w.wanted)))) > 0""")
+def dsh1_indexed(spark, folder):
+    """Several searches through one index."""
+    rows, path = materialize(ranked_rows(spark, folder)), f"{scratch_folder(spark)}/winnow-{uuid.uuid4().hex}"
+    search_index.write(rows, path)
+    found = [search_index.search(rows, path, text).withColumn("wanted", F.lit(text)) for text in SEARCHED]
+    return reduce(DataFrame.unionByName, found).select("wanted", "batch_id", KEY, "rank", "name")
+
+
 @query("dsh2_flagged", "SELECT batch_id, resume_id, rank FROM ranked WHERE is_anomaly")
 def dsh2(spark, folder):
     return dashboard.flagged(ranked_rows(spark, folder)).select("batch_id", KEY, "rank")
