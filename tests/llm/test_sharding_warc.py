@@ -111,6 +111,25 @@ def test_archives_give_every_page_back(llm):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == expected
 
 
+def test_revisits_name_records_that_exist(llm):
+    pages = llm.createDataFrame(PAGES, "page_id long, url string, html string")
+
+    def heads():
+        found = []
+        for row in warc.archive_pages(pages).collect():
+            with open(row.path.removeprefix("file:"), "rb") as stream:
+                found += [warc.parse(data)[0] for data in warc.frames(stream)]
+        return found
+
+    first = heads()
+    responses = {h["warc-record-id"]: h.get("page-id") for h in first if h["warc-type"] == "response"}
+    revisits = [h for h in first if h["warc-type"] == "revisit"]
+    assert len(revisits) == 5
+    assert all(responses[h["warc-refers-to"]] == h["refers-to-page-id"] for h in revisits)
+    named = [sorted(h["warc-record-id"] for h in found if "page-id" in h) for found in (first, heads())]
+    assert named[0] == named[1] and len(set(named[0])) == len(named[0]) - 1  # one row is repeated
+
+
 def test_no_pages(llm):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(llm, pages).collect() == []

@@ -59,6 +59,13 @@ def dictionary_frame(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed
 
 
+def record_id(page_id: int | None, digest: str) -> str:
+    """The id of a page's record, which a revisit can name without having seen it and a repeated task gives again. Repeated
+    rows share it; rows without a page id, which nothing refers to, get random ones."""
+    own = uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_OID, f"page {page_id} sha256:{digest}")
+    return f"<urn:uuid:{own}>"
+
+
 def record(row: dict) -> bytes:
     """One WARC record, uncompressed."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n"
@@ -66,7 +73,7 @@ def record(row: dict) -> bytes:
     block = http.encode() if revisit else http.encode() + row["payload"]
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
+        "WARC-Record-ID": record_id(row["page_id"], row["digest"]),
         "WARC-Date": DATE,
         "WARC-Target-URI": _one_line(row["url"]),
         "WARC-Payload-Digest": f"sha256:{row['digest']}",
@@ -75,7 +82,8 @@ def record(row: dict) -> bytes:
         "Page-ID": row["page_id"],
     }
     if revisit:
-        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:page:{row['refers_to']}>"}
+        head |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": record_id(row["refers_to"], row["digest"]),
+                 "Refers-To-Page-ID": row["refers_to"]}
     lines = "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None)
     return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -186,7 +194,9 @@ def _entry(fields: dict[str, str], block: bytes, archive: str) -> tuple:
     if response and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload differs from its digest in {archive}")
     page = fields.get("page-id")
-    refers = None if response else int(fields["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">"))
+    refers = None if response else int(fields["refers-to-page-id"])
+    if not response and fields["warc-refers-to"] != record_id(refers, digest):
+        raise ValueError(f"a revisit in {archive} refers to another record than its page's")
     return None if page is None else int(page), size, digest, fields["warc-type"], refers, archive
 
 
