@@ -21,8 +21,9 @@ def boundary(df: DataFrame) -> DataFrame:
     """Keep filters on computed columns above this point.
 
     Spark pushes a filter below the projections it reads from by repeating their expressions in it, which for
-    staged array work means doing that work again per reference. Observing the rows (a running count) stops that;
-    unused columns are still pruned.
+    staged array work means doing that work again per reference. An explode brings such a filter too (the array is not
+    empty), and below a repartitioning it runs in the few tasks that read the table. Observing the rows (a running
+    count) stops that; unused columns are still pruned.
     """
     return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
 
@@ -33,17 +34,18 @@ def with_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def explode_lines(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """One row per line with its 0-based position."""
-    return df.select("*", F.posexplode(text_lines(F.col(text))).alias("pos", "line")).drop(text)
+    lined = boundary(df.withColumn("_lines", text_lines(F.col(text))))
+    return lined.select(*df.columns, F.posexplode("_lines").alias("pos", "line")).drop(text)
 
 
 def with_segments(df: DataFrame, text: str = "raw_text") -> DataFrame:
     """Adds ``lines``, ``headings``, ``segments`` and ``sections_found``."""
     lined = with_lines(df, text).withColumn("headings", sections.headings(F.col("lines")))
-    return lined.select(
+    return boundary(lined.select(
         "*",
         sections.segments(F.col("lines"), F.col("headings")).alias("segments"),
         (F.size("headings") > 0).alias("sections_found"),
-    )
+    ))
 
 
 def section_texts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -111,7 +113,7 @@ def with_education(df: DataFrame, text: str = "raw_text") -> DataFrame:
 
 def with_skills(df: DataFrame, settings: Settings, text: str = "raw_text") -> DataFrame:
     """Adds ``matched_skills`` and ``skills_count``."""
-    matched = df.withColumn("matched_skills", skills.matched_skills(F.col(text), settings.vocabulary))
+    matched = boundary(df.withColumn("matched_skills", skills.matched_skills(F.col(text), settings.vocabulary)))
     return matched.withColumn("skills_count", skills.skill_count(F.col("matched_skills")))
 
 
