@@ -116,3 +116,8 @@ def test_chunks_keep_every_line(spark):
         for chunk in r["c"][:-1]:
             sizes = [len(line) for line in chunk.split("\n")]
             assert sum(sizes) > 300 >= sum(sizes[:-1])
+
+
+def test_places_inside_words_are_told_before_the_boundary():
+    assert vocabulary.patterns(("sql", "c++"))[0].startswith("(?<![A-Za-z0-9_])")
+    assert vocabulary.patterns((".net", "sql"))[0].startswith(r"\b")  # may begin behind a letter

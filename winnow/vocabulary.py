@@ -39,7 +39,8 @@ def patterns(terms) -> list[str]:
     """Patterns whose first group is the longest term starting at a word boundary, one match per start.
 
     The group sits in a look-ahead, so a term inside or overlapping another is found as well. Alternatives are
-    nested by first character to keep the work per word small.
+    nested by first character to keep the work per word small. Where all terms begin with a letter or digit, a place
+    after one is no such start, which a look-behind tells sooner than the boundary.
     """
     distinct = list(dict.fromkeys(terms))
     result = []
@@ -51,7 +52,8 @@ def patterns(terms) -> list[str]:
         for first, group in by_first.items():
             tails = [_literal(term[1:]) for term in sorted(group, key=len, reverse=True)]
             branches.append(_literal(first) + "(?:" + "|".join(tails) + ")")
-        result.append(r"\b(?=((?:" + "|".join(branches) + r"))\b)")
+        inner = "(?<![A-Za-z0-9_])" if all(c.isascii() and c.isalnum() for c in by_first) else ""
+        result.append(inner + r"\b(?=((?:" + "|".join(branches) + r"))\b)")
     return result
 
 
