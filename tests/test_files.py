@@ -158,3 +158,15 @@ def test_codecs_load_where_the_package_is_missing(tmp_path):
         done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(codec), cwd=tmp_path,
                               capture_output=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
         assert done.stdout.decode().strip() == codec.__name__, done.stderr.decode()
+
+
+def test_few_file_contents_reach_python_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, expected in (("10000", str(files.BATCH_FILES)), ("0", str(files.BATCH_FILES)), ("64", "64")):
+            spark.conf.set(name, given)
+            files.small_batches(spark.range(1))
+            assert spark.conf.get(name) == expected
+    finally:
+        spark.conf.set(name, before)

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from winnow.catalog.fixture import K, batch_sql, job_sql, raw_text_sql, resumes, skill_list_sql, table
 from winnow.functions.skills import matched_skills
+from winnow.operators.features import boundary
 from winnow.operators.slices import spread
+from winnow.sources.files import small_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _SPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -101,7 +103,7 @@ def docx_files(spark: SparkSession, folder: str) -> DataFrame:
     """``path, content``: every derived resume as a DOCX file, one in fifty cut off."""
     rows = resumes(spark, folder).withColumn(K, F.col("resume_id"))
     rows = rows.select("resume_id", "raw_text", F.expr(PATH).alias("path"), F.expr(BROKEN_DOCX).alias("broken"))
-    return rows.mapInPandas(_docx_files, "path string, content binary")
+    return small_batches(rows).mapInPandas(_docx_files, "path string, content binary")
 
 
 def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +177,7 @@ def stored(spark: SparkSession, folder: str, terms) -> DataFrame:
         F.expr(job_sql(batch_sql())).alias("job_description"), F.expr(batch_sql()).alias("batch_id"),
         F.col(K).alias("ordinal"), F.lit("2024-01-01T00:00:00").alias("uploaded_at"),
         F.concat(F.lit("candidate_"), K, F.lit("_resume.docx")).alias("filename"))
-    return rows.withColumn("matched_skills", matched_skills(F.col("raw_text"), terms))
+    return boundary(rows).withColumn("matched_skills", matched_skills(F.col("raw_text"), terms))
 
 
 # --- conversations as a store --------------------------------------------------------------------------------------

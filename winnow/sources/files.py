@@ -27,9 +27,20 @@ from winnow.operators.slices import materialize
 SUPPORTED = [ext for group in fixed.FILE_TYPES.values() for ext in group]
 # Executors need not have this package: its codecs travel with the plan.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+# Files whose contents travel to a codec at once.
+BATCH_FILES = 256
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def small_batches(files: DataFrame) -> DataFrame:
+    """``files``, of whose contents at most ``BATCH_FILES`` reach Python at once: by default it would be 10,000, in each
+    worker several times over. A smaller number set by the session stays."""
+    conf = files.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_FILES:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_FILES))
+    return files
+
+
 # --- names and types ---------------------------------------------------------------------------------------------
 
 def base_name(path: Column) -> Column:
@@ -204,7 +215,7 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def expand_zips(bundles: DataFrame) -> DataFrame:
     """One row per archive member: ``bundle, path, content, error``. A broken archive yields one error row."""
-    return bundles.select("path", "content").mapInPandas(
+    return small_batches(bundles).select("path", "content").mapInPandas(
         _members, "bundle string, path string, content binary, error string")
 
 
@@ -268,7 +279,7 @@ def _docx_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_docx(files: DataFrame) -> DataFrame:
     """``bundle, path, filename, raw_text, error`` of DOCX files given as ``bundle, path, filename, content``."""
-    return files.select("bundle", "path", "filename", "content").mapInPandas(
+    return small_batches(files).select("bundle", "path", "filename", "content").mapInPandas(
         _docx_texts, "bundle string, path string, filename string, raw_text string, error string")
 
 
