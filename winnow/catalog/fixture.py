@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnow.catalog.registry import sql_text
+from winnow.operators.features import boundary
 from winnow.operators.slices import spread
 
 K = "c_custkey"
@@ -185,13 +186,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def resumes(spark: SparkSession, folder: str) -> DataFrame:
     """``batch_id, resume_id, ordinal, filename, raw_text`` and the batch number."""
-    return spread(table(spark, folder, "customer").select(K)).select(
+    return boundary(spread(table(spark, folder, "customer").select(K)).select(
         F.expr(f"concat('b', CAST({batch_sql()} AS VARCHAR(20)))").alias("batch_id"),
         F.col(K).alias("resume_id"),
         F.col(K).alias("ordinal"),
         F.expr(filename_sql()).alias("filename"),
         F.expr(raw_text_sql()).alias("raw_text"),
-    )
+    ))
 
 
 def jobs(spark: SparkSession, folder: str) -> DataFrame:
