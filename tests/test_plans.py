@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from winnow import config
-from winnow.catalog import fixture
-from winnow.operators.features import features
-from winnow.operators.slices import materialize
+from winnow.catalog import files_fixture, fixture
+from winnow.operators.features import explode_lines, features, with_segments, with_skills
+from winnow.operators.slices import materialize, spread
 from winnow.plans.screen import keyword_scores
 from winnow.sources import store
 
@@ -62,3 +62,35 @@ def test_store_readers_open_one_batch(spark, tmp_path):
     assert re.search(r"PushedFilters: \[.*EqualTo\(batch_id,a\)", text)
     totals = plan(store.store_totals(spark, path))
     assert len(re.findall("FileScan", totals)) == 1 and "ReadSchema: struct<batch_id:string,uploaded_at:string,candidate_count" in totals
+
+
+def filtered_below(df) -> list[str]:
+    """Filters of ``df`` that look into arrays or texts."""
+    return [line for line in plan(df).split("\n") if re.search(r"^[ :+\-*()0-9]*Filter", line)
+            and re.search(r"transform|split|regexp|RLIKE", line)]
+
+
+def test_explodes_bring_no_filter_below_the_work(spark, resumes):
+    some = resumes.select("resume_id", "raw_text").repartition(2)
+    assert not filtered_below(with_segments(some).select("resume_id", F.explode("segments")))
+    assert not filtered_below(with_skills(some, SETTINGS).select("resume_id", F.posexplode("matched_skills")))
+    assert not filtered_below(explode_lines(some))
+
+
+def test_derived_texts_are_filtered_above_the_repartitioning(spark):
+    for rows in (fixture.resumes(spark, FOLDER), files_fixture.stored(spark, FOLDER, ("sql",))):
+        text = plan(rows.filter(F.length("raw_text") > 5))
+        assert text.index("Filter") < text.index("CollectMetrics") < text.index("Exchange")
+
+
+def test_tables_of_one_split_per_core_are_spread(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(cores).write.parquet(path)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 27))
+    try:
+        rows = spark.read.parquet(path)
+        assert cores <= rows.rdd.getNumPartitions() < 2 * cores
+        assert "Exchange" in plan(spread(rows))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

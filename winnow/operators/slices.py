@@ -52,12 +52,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of rows that are read in fewer splits than there are cores.
+    """Give every core a share of rows that are read in fewer than two splits per core.
 
-    A large table has many splits and passes unchanged, without a shuffle.
+    Spark cuts a table into about one split per core until splits have their full size, however few row groups its files
+    have, and a row group is read by one task. So only a table of more splits passes unchanged, without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
 
 def fits_broadcast(small: DataFrame, settings: Settings, text: str | None = None) -> bool:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from winnow.config import Settings
 from winnow.operators import scoring
-from winnow.operators.slices import SLICE
+from winnow.operators.slices import SLICE, spread
 from winnow.plans.screen import blended_scores, keyword_scores
 from winnow.sources import store
 
@@ -36,9 +36,11 @@ def screen_arrivals(arrivals: DataFrame, jobs: DataFrame, out: str, settings: Se
                     keywords_only: bool = False, progress: str = "progress"):
     """Score everything that has arrived, then stop. Returns the finished query.
 
-    Rows are sorted by batch within their files, so a read of a few batches skips most row groups.
+    Rows are sorted by batch within their files, so a read of a few batches skips most row groups. A micro-batch of few
+    files is spread over all cores before it is scored.
     """
     def screen_epoch(rows: DataFrame, epoch: int) -> None:
+        rows = spread(rows)
         scored = (keyword_scores(rows, jobs, settings) if keywords_only
                   else blended_scores(rows, jobs, settings, model))
         named = scored.withColumn("batch_id", F.coalesce("batch_id", F.lit("")))
