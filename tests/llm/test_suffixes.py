@@ -121,3 +121,15 @@ def test_repeats_are_maximal_and_have_all_occurrences():
     for g, m, a, b in zip(repeat.tolist(), member.tolist(), left.tolist(), length.tolist()):
         by[g].add((m, a, b))
     assert sorted(map(sorted, by.values())) == [[(0, 4, 50), (1, 4, 50), (2, 4, 50)], [(0, 26, 72), (1, 26, 72)]]
+
+
+def test_anchors_settled_in_small_ranges(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) for _ in range(30)]
+    rows = [(i, texts[i % 30] + texts[(i * 7 + 1) % 30][:150] + str(i)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, suffixes.remove_repeats(docs).collect()))
+    monkeypatch.setattr(suffixes, "RANGE_ROWS", 20)
+    monkeypatch.setattr(suffixes, "SETTLED_ROWS", 50)
+    assert sum(row[2] for row in whole) > 0
+    assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == whole

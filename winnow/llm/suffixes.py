@@ -31,6 +31,8 @@ LEFT = MATCH - GRAM  # how far before its anchor a match may begin
 NEAR = LEFT + 1  # groups among which an anchor has the smallest hash
 CHUNK = 1 << 19  # bytes hashed at once
 SETTLE_BYTES = 4 << 20  # of texts whose anchors a task settles together
+RANGE_ROWS = 1 << 17  # anchors of a part settled together
+SETTLED_ROWS = 1 << 19  # settled anchors a task holds before it sends them on
 SEARCH_ROWS = 40_000  # suffixes sorted together, whole anchors
 CHECK = 4  # bytes of a second hash that stand for a group's bytes where suffixes travel
 HIDDEN = GRAM - CHECK
@@ -171,18 +173,26 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
              *(pa.array(rows[c], pa.binary()) for c in ("marks", "which", "low", "high", "times"))], list(rows))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sure, open_, again = [], {}, []
+        sure, open_, again, held = [], {}, [], 0
         for batch in batches:
-            for part, settled, marks, which, low, high, times in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):
+                part, settled, marks, which, low, high, times = (c[row].as_py() for c in batch.columns)
                 marks = np.frombuffer(marks, "<i8")
                 index = np.frombuffer(which, "<u2" if len(marks) <= 1 << 16 else "<u4")
-                h = np.frombuffer(low, "<u4").astype(np.uint64) | np.frombuffer(high, "<u2").astype(np.uint64) << np.uint64(32)
+                packed = marks, index, np.frombuffer(low, "<u4"), np.frombuffer(high, "<u2")
                 if times is not None:
-                    again.append((marks[index], h, np.frombuffer(times, "<u4")))
-                    continue
-                (sure if settled else open_.setdefault(part, [])).append((marks[index], h))
+                    again.append((*unpacked(*packed), np.frombuffer(times, "<u4")))
+                elif settled:
+                    sure.append(unpacked(*packed))
+                    held += len(index)
+                else:
+                    open_.setdefault(part, []).append(packed)  # as sent: unpacked, a part takes many times as much
+                if held >= SETTLED_ROWS:
+                    yield from by_text(sure)
+                    sure, held = [], 0
         if again:
             mark, h, times = (np.concatenate(x) for x in zip(*again))
+            again.clear()
             order = np.lexsort((mark, h))
             mark, h, times = mark[order], h[order], times[order].astype("<i8")
             times[1:][(mark[1:] == mark[:-1]) & (h[1:] == h[:-1])] = 0  # copies of a text are searched once
@@ -190,18 +200,38 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None], pa.int64()), pa.array([h[begin].astype("<u8").tobytes()], pa.binary()),
                  pa.array([np.add.reduceat(times, begin).tobytes()], pa.binary())], ["mark", "hashes", "times"])
-        for parts in open_.values():
-            mark, h = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((mark, h))
-            mark, h = mark[order], h[order]
-            same = h[1:] == h[:-1]
-            begin = np.flatnonzero(np.concatenate([[True], ~same]))
-            size = np.diff(np.append(begin, len(h)))
-            several = np.repeat(mark[begin] != mark[begin + size - 1], size)
-            sure.append((mark[several], h[several]))
-        if not sure:
+        for rows in open_.values():
+            for mark, h in ranges(rows):
+                order = np.lexsort((mark, h))
+                mark, h = mark[order], h[order]
+                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                size = np.diff(np.append(begin, len(h)))
+                several = np.repeat(mark[begin] != mark[begin + size - 1], size)
+                sure.append((mark[several], h[several]))
+                held += len(sure[-1][0])
+                if held >= SETTLED_ROWS:
+                    yield from by_text(sure)
+                    sure, held = [], 0
+        yield from by_text(sure)
+
+    def unpacked(marks, index, low, high) -> tuple[np.ndarray, np.ndarray]:
+        return marks[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+    def ranges(rows: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``mark, hash`` of a part's rows, about ``RANGE_ROWS`` at a time, equal hashes together. Every row is sorted."""
+        pieces = -(-sum(len(r[1]) for r in rows) // RANGE_ROWS)
+        edges = np.array([HASH // pieces * k for k in range(1, pieces)], np.uint64)
+        cuts = [[0, *np.searchsorted(unpacked(*r)[1], edges).tolist(), len(r[1])] for r in rows]
+        for k in range(pieces):
+            some = [unpacked(marks, *(x[c[k]:c[k + 1]] for x in packed)) for (marks, *packed), c in zip(rows, cuts)]
+            mark, h = (np.concatenate(x) for x in zip(*some))
+            if len(h):
+                yield mark, h
+
+    def by_text(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not found:
             return
-        mark, h = (np.concatenate(x) for x in zip(*sure))
+        mark, h = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(mark, kind="stable")
         mark, h = mark[order], h[order].astype("<u8")
         begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.empty(0, int)
