@@ -133,3 +133,22 @@ def test_anchors_settled_in_small_ranges(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SETTLED_ROWS", 50)
     assert sum(row[2] for row in whole) > 0
     assert sorted(map(tuple, suffixes.remove_repeats(docs).collect())) == whole
+
+
+def test_a_text_is_one_row_however_many_tasks_settle_its_anchors(llm, monkeypatch):
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=3000))
+    docs = [(i, str(i) + passage) for i in range(40)]
+    texts = llm.createDataFrame(docs, "id long, body string").repartition(4).selectExpr(
+        "id", "xxhash64(body) as mark", "cast(body as binary) as body")
+    monkeypatch.setattr(suffixes, "SETTLED_ROWS", 500)
+    kept = llm.conf.get("spark.sql.shuffle.partitions")
+    try:
+        llm.conf.set("spark.sql.shuffle.partitions", "24")
+        rows = suffixes.shared_anchors(texts).filter("times is null").collect()
+    finally:
+        llm.conf.set("spark.sql.shuffle.partitions", kept)
+    _, hashes = suffixes.anchors(np.frombuffer(passage.encode(), np.uint8))
+    inside = set((hashes & np.uint64(suffixes.HASH)).tolist())
+    assert len(rows) == len({r.mark for r in rows}) == 40
+    assert all(inside <= set(np.frombuffer(r.hashes, "<u8").tolist()) for r in rows)

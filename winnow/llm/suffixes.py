@@ -38,6 +38,7 @@ CHECK = 4  # bytes of a second hash that stand for a group's bytes where suffixe
 HIDDEN = GRAM - CHECK
 WIDTH = LEFT + CHECK + MATCH - GRAM
 HASH = (1 << 48) - 1  # of a group's hash, what travels
+SETTLED = ["part", "marks", "sizes", "hashes", "times"]
 ROWS = 1 << 16  # suffixes whose surroundings are taken at once
 CROWD = 100_000  # suffixes of one anchor that one task may sort, those within a text included
 LAST_ID = (1 << 63) - 1
@@ -108,7 +109,8 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
     Rows with ``times`` have no mark: they tell how often anchors, shared or not, come again within texts.
 
     A task settles what repeats among its own texts and sends one text on for each anchor, so an anchor that a third
-    of all texts have arrives once per batch.
+    of all texts have arrives once per batch. What is settled travels in one row per receiving task and is put together
+    there, so a text is one row however many tasks settled its anchors.
     """
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -188,7 +190,7 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
                 else:
                     open_.setdefault(part, []).append(packed)  # as sent: unpacked, a part takes many times as much
                 if held >= SETTLED_ROWS:
-                    yield from by_text(sure)
+                    yield from by_receiver(sure)
                     sure, held = [], 0
         if again:
             mark, h, times = (np.concatenate(x) for x in zip(*again))
@@ -198,8 +200,8 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             times[1:][(mark[1:] == mark[:-1]) & (h[1:] == h[:-1])] = 0  # copies of a text are searched once
             begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([h[begin].astype("<u8").tobytes()], pa.binary()),
-                 pa.array([np.add.reduceat(times, begin).tobytes()], pa.binary())], ["mark", "hashes", "times"])
+                [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (
+                    None, None, h[begin].astype("<u8").tobytes(), np.add.reduceat(times, begin).tobytes()))], SETTLED)
         for rows in open_.values():
             for mark, h in ranges(rows):
                 order = np.lexsort((mark, h))
@@ -210,9 +212,9 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
                 sure.append((mark[several], h[several]))
                 held += len(sure[-1][0])
                 if held >= SETTLED_ROWS:
-                    yield from by_text(sure)
+                    yield from by_receiver(sure)
                     sure, held = [], 0
-        yield from by_text(sure)
+        yield from by_receiver(sure)
 
     def unpacked(marks, index, low, high) -> tuple[np.ndarray, np.ndarray]:
         return marks[index], low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
@@ -228,24 +230,56 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
             if len(h):
                 yield mark, h
 
-    def by_text(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def by_receiver(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Settled anchors, one row per task that puts texts together: the texts, how many each has, the anchors."""
         if not found:
             return
         mark, h = (np.concatenate(x) for x in zip(*found))
+        to = (mark % tasks).astype(np.int32)
+        order = np.lexsort((mark, to))
+        mark, h, to = mark[order], h[order].astype("<u8"), to[order]
+        begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.empty(0, int)
+        size = np.diff(np.append(begin, len(mark))).astype("<u4")
+        cuts = np.searchsorted(to, np.arange(tasks + 1))
+        texts_at = np.searchsorted(begin, cuts)
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        kinds = (mark[begin].astype("<i8"), texts_at), (size, texts_at), (h, cuts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()),
+             *(pa.array([x[at[k]:at[k + 1]].tobytes() for k in used], pa.binary()) for x, at in kinds),
+             pa.nulls(len(used), pa.binary())], SETTLED)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, held = ["mark", "hashes", "times"], []
+        for batch in batches:
+            for marks, sizes, hashes, times in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                if times is None:
+                    held.append((np.frombuffer(marks, "<i8"), np.frombuffer(sizes, "<u4"), np.frombuffer(hashes, "<u8")))
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([None], pa.int64()), *(pa.array([x], pa.binary()) for x in (hashes, times))], names)
+        if not held:
+            return
+        marks, sizes, h = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        mark = np.repeat(marks, sizes)
         order = np.argsort(mark, kind="stable")
-        mark, h = mark[order], h[order].astype("<u8")
+        mark, h = mark[order], h[order]
         begin = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])) if len(mark) else np.empty(0, int)
         for at in range(0, len(begin), 5000):
             some = begin[at:at + 5000]
             ends = np.append(begin[at + 1:at + 5001], len(mark))[:len(some)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(mark[some]), pa.array([h[a:z].tobytes() for a, z in zip(some, ends)], pa.binary()),
-                 pa.nulls(len(some), pa.binary())], ["mark", "hashes", "times"])
+                 pa.nulls(len(some), pa.binary())], names)
 
     sent = texts.select("mark", "body").mapInArrow(
         lean(send), "part int, settled boolean, marks binary, which binary, low binary, high binary, "
         "times binary")
-    return sent.repartitionById(tasks, F.col("part")).mapInArrow(lean(settle), "mark bigint, hashes binary, times binary")
+    settled = sent.repartitionById(tasks, F.col("part")).mapInArrow(
+        lean(settle), "part int, marks binary, sizes binary, hashes binary, times binary")
+    return settled.repartitionById(tasks, F.col("part")).mapInArrow(
+        lean(together), "mark bigint, hashes binary, times binary")
 
 
 # --- enhanced suffix arrays ------------------------------------------------------------------------------------------
@@ -474,17 +508,26 @@ def crowded_anchors(shared: DataFrame, crowd: int) -> DataFrame:
     """``part``: anchors with more than ``crowd`` places in all texts, from what ``shared_anchors`` found."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            kinds = [[], []]
             for hashes, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kinds[times is not None].append((hashes, times))
-            h, n = np.unique(np.frombuffer(b"".join(x for x, _ in kinds[0]), "<u8"), return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.astype(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["part", "n", "again"])
-            for hashes, times in kinds[1]:
+                if times is None:
+                    held.append(hashes)
+                    size += len(hashes) // 8
+                    if size >= SETTLED_ROWS:
+                        yield counted(held)
+                        held, size = [], 0
+                    continue
                 h, again = np.frombuffer(hashes, "<u8").astype(np.int64), np.frombuffer(times, "<i8")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(np.zeros(len(h), np.int64)), pa.array(again)], ["part", "n", "again"])
+        if held:
+            yield counted(held)
+
+    def counted(held: list[bytes]) -> pa.RecordBatch:
+        h, n = np.unique(np.frombuffer(b"".join(held), "<u8"), return_counts=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(h.astype(np.int64)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], ["part", "n", "again"])
 
     return shared.select("hashes", "times").mapInArrow(
         lean(count), "part bigint, n bigint, again bigint").groupBy("part").agg(
@@ -582,7 +625,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), keep:
     shared = written(shared_anchors(long_texts))
     release(docs.sparkSession)
     one_text = firsts.select(F.col("_mark").alias("mark"), F.col("_first").alias("id"))
-    wanted = shared.filter("times is null").groupBy("mark").agg(F.collect_list("hashes").alias("hashes")).join(one_text, "mark")
+    wanted = shared.filter("times is null").select("mark", F.array("hashes").alias("hashes")).join(one_text, "mark")
     crowds = written(crowded_anchors(shared, crowd))
     found = suffixes(long_texts.join(wanted, ["id", "mark"]))
     if crowds.isEmpty():
