@@ -84,3 +84,12 @@ def test_long_text_and_large_vocabulary(spark):
         return len(re.sub(r"\d+", "", plan))
 
     assert size(200_000) == size(10)
+
+
+def test_runs_of_a_text_are_found_once(spark):
+    rows = spark.createDataFrame([(1, "data a b"), (2, None), (3, " + ")], "resume_id bigint, raw_text string")
+    found = match_terms(rows, vocabulary.as_table(spark, ("data a", "b")), LARGE, ["resume_id"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    searches = re.findall(r"regexp_extract_all\((?:lower\(|coalesce\(|_ahead|array_join)", plan)
+    assert len(searches) == 1
+    assert {r["resume_id"]: r["matched_skills"] for r in found.collect()} == {1: ["data a", "b"], 2: [], 3: []}

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnow.config import Settings
-from winnow.functions.common import empty_texts, found, let, pattern
+from winnow.functions.common import empty_texts, found, pattern
 from winnow.operators.slices import fits_broadcast
 
 # Shares of the rows of one first run or term where its table is too large to be broadcast.
@@ -23,15 +23,21 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern(r"\w+|\W+")), F.lit(0))
 
 
-def _inner_runs(text: Column) -> Column:
-    """Runs without other characters at either end: no word boundary lies beyond those."""
+def _places(rows: DataFrame, names: list[Column], text: str, longest: int) -> DataFrame:
+    """``_at, _first, _ahead`` of each run of the lower-cased text: its place, itself, and the runs from it on, at most
+    ``longest``. Runs of other characters at either end are left out: no word boundary lies beyond those.
 
-    def cut(runs: Column) -> Column:
-        first = F.coalesce(found(F.get(runs, F.lit(0)), r"^\W"), F.lit(False)).cast("int")
-        last = F.coalesce(found(F.get(runs, F.size(runs) - 1), r"^\W"), F.lit(False)).cast("int")
-        return F.slice(runs, first + 1, F.greatest(F.size(runs) - first - last, F.lit(0)))
-
-    return let(_runs(F.coalesce(text, F.lit(""))), cut)
+    The steps are plain columns, not lambdas, so that Spark compiles them together with the joins that follow and slices
+    only where a term begins. An inner explode would bring a filter that finds all runs again; the null ``_first`` of a
+    text without runs joins nothing.
+    """
+    runs = rows.select(*names, _runs(F.coalesce(F.lower(text), F.lit(""))).alias("_runs"))
+    outer = [F.coalesce(found(F.get("_runs", at), r"^\W"), F.lit(False)).cast("int") for at in (F.lit(0), F.size("_runs") - 1)]
+    ends = runs.select(*names, "_runs", outer[0].alias("_skip"), outer[1].alias("_over"))
+    inner = ends.select(*names, F.slice("_runs", F.col("_skip") + 1, F.greatest(
+        F.size("_runs") - F.col("_skip") - F.col("_over"), F.lit(0))).alias("_inner"))
+    each = inner.select(*names, "_inner", F.posexplode_outer("_inner").alias("_at", "_first"))
+    return each.select(*names, "_at", "_first", F.slice("_inner", F.col("_at") + 1, F.lit(longest)).alias("_ahead"))
 
 
 def _lookup(rows: DataFrame, small: DataFrame, key: str, share: Column, settings: Settings) -> DataFrame:
@@ -52,21 +58,15 @@ def match_terms(rows: DataFrame, vocabulary: DataFrame, settings: Settings, keys
     and an empty vocabulary give an empty list; rows of equal keys share one list; null and empty terms never match.
     """
     listed = vocabulary.select("ord", F.col("skill").alias("_term"), _runs(F.col("skill")).alias("_parts"))
-    listed = listed.filter(F.size("_parts") > 0)
+    listed = listed.filter(F.length("_term") > 0)
     longest = listed.agg(F.max(F.size("_parts"))).head()[0] or 1  # one number
     firsts = listed.groupBy(F.get("_parts", F.lit(0)).alias("_first")).agg(
         F.collect_set(F.size("_parts")).alias("_sizes"))
 
-    def starts(runs: Column) -> Column:
-        return F.transform(runs, lambda run, at: F.struct(
-            run.alias("_first"), at.alias("_at"),
-            F.array_join(F.slice(runs, at + 1, longest), "").alias("_ahead")))
-
     names = [F.col(k) for k in keys]
     share = F.xxhash64(*names, F.col("_at"))
-    places = rows.select(*names, F.explode(let(_inner_runs(F.lower(text)), starts)).alias("_p")).select(*names, "_p.*")
-    begun = _lookup(places, firsts, "_first", share, settings)
-    sized = begun.select(*names, "_at", _runs(F.col("_ahead")).alias("_ahead"), F.explode("_sizes").alias("_size"))
+    begun = _lookup(_places(rows, names, text, longest), firsts, "_first", share, settings)
+    sized = begun.select(*names, "_at", "_ahead", F.explode("_sizes").alias("_size"))
     spans = sized.filter(F.size("_ahead") >= F.col("_size")).select(
         *names, "_at", F.array_join(F.slice("_ahead", F.lit(1), F.col("_size")), "").alias("_term"))
     hits = _lookup(spans, listed.select("ord", "_term"), "_term", share, settings)
