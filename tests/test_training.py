@@ -3,6 +3,8 @@ from __future__ import annotations
 import csv
 import math
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -176,6 +178,51 @@ def test_cross_validation(spark, trained):
     assert 0 <= s["mean_accuracy"] <= 1 and s["std_accuracy"] >= 0
 
 
+def test_a_fit_uses_all_cores_whatever_the_files(spark, monkeypatch):
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    class Fit:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            seen.append([len(part) for part in rows.rdd.glom().collect()])
+            raise Stop
+
+    monkeypatch.setattr(t, "Pipeline", Fit)
+    rows = materialize(spark.range(800).coalesce(1).select((F.col("id") % 2).cast("int").alias("shortlisted"), *[
+        (F.col("id") % 9).alias(c) for c in fixed.MODEL_FEATURES]))
+    assert rows.rdd.getNumPartitions() == 1
+    with pytest.raises(Stop):
+        t.fit_forest(rows)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(seen[0]) == cores and sum(seen[0]) == 800 and max(seen[0]) <= 2 * 800 // cores
+
+
+@pytest.mark.parametrize("bound, most", [(1, 1), (10**9, 3)])
+def test_fits_side_by_side_are_bounded(spark, monkeypatch, bound, most):
+    active, peaks, lock = [], [], threading.Lock()
+
+    def fit(rows, label, trees):
+        with lock:
+            active.append(1)
+            peaks.append(len(active))
+        time.sleep(1)
+        with lock:
+            active.pop()
+
+    monkeypatch.setattr(t, "FIT_COUNTS", bound, raising=False)
+    monkeypatch.setattr(t, "fit_forest", fit)
+    monkeypatch.setattr(t, "predict", lambda model, rows: rows.withColumn("predicted", F.col("y")))
+    rows = materialize(spark.range(31).select("id", (F.col("id") % 2).cast("int").alias("y")))
+    found = t.cross_validate(rows, "y", "id", trees=2, folds=3).orderBy("fold").collect()
+    assert [(r["fold"], r["accuracy"]) for r in found] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+    assert sum(r["n"] for r in found) == 31 and max(peaks) == most
+
+
 def walk(nodes):
     """Rows of inner nodes and of leaves, from a tree's node table."""
     by_id = {n["id"]: n for n in nodes}

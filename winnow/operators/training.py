@@ -20,7 +20,7 @@ from winnow.config import Settings
 from winnow.functions import skills
 from winnow.functions.common import is_blank
 from winnow.operators.dashboard import first_uploads
-from winnow.operators.slices import Part, materialize, ordered_rank, scratch_folder
+from winnow.operators.slices import Part, materialize, ordered_rank, scratch_folder, spread
 
 # The forest and its evaluation.
 TREES, DEPTH, SEED = 200, 10, 42
@@ -29,6 +29,8 @@ TEST_SHARE, FOLDS = 0.2, 5
 MIN_CLASS_ROWS, RELABEL_QUANTILE = 5, 0.75
 # Histogram cells per pass of an exact quantile, and leading hash digits that split a class into parts.
 CELLS, HASH_DIGITS = 1000, 4
+# Counts that fits side by side may keep in all: MLlib holds one of 4 bytes per row and tree for as long as a fit lasts.
+FIT_COUNTS = 400_000_000
 # Ranks that the sketch of a quantile tells apart.
 SKETCH = 100_000
 
@@ -209,8 +211,13 @@ def _prepared(rows: DataFrame) -> DataFrame:
 def fit_forest(rows: DataFrame, label: str = "shortlisted", trees: int = TREES, depth: int = DEPTH,
                seed: int = SEED, min_split: int = MIN_SPLIT) -> PipelineModel:
     """A class-balanced random forest over the model features, nulls as 0. Nodes of fewer than ``min_split`` rows are
-    leaves."""
-    weighted = balance_weights(_prepared(rows), label).withColumn(label, F.col(label).cast("double"))
+    leaves. Pass materialized ``rows``.
+
+    Every level of the trees is a pass over the rows, and a row costs all trees, so a table of few bytes is a lot of work:
+    the rows are dealt to all cores, however few files or splits hold them.
+    """
+    dealt = spread(_prepared(rows).select(label, *fixed.MODEL_FEATURES))
+    weighted = balance_weights(dealt, label).withColumn(label, F.col(label).cast("double"))
     forest = RandomForestClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed)
     assembler = VectorAssembler(inputCols=list(fixed.MODEL_FEATURES), outputCol="features")
@@ -275,18 +282,19 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def cross_validate(rows: DataFrame, label: str, key: str, trees: int = TREES, folds: int = FOLDS) -> DataFrame:
     """One row per fold with its held-out accuracy. Pass materialized ``rows``. Folds are fitted side by side, so that
-    the short jobs of one fill the gaps of another."""
+    the short jobs of one fill the gaps of another, as far as ``FIT_COUNTS`` allows; of many rows one after the other."""
     dealt = materialize(stratified_folds(rows, label, key, folds))
+    at_once = max(1, min(folds, FIT_COUNTS // (trees * max(1, dealt.count()))))
 
     @inheritable_thread_target(rows.sparkSession)
     def score(fold: int) -> DataFrame:
         model = fit_forest(dealt.filter(F.col("fold") != fold), label, trees)
-        held_out = predict(model, dealt.filter(F.col("fold") == fold))
+        held_out = predict(model, spread(dealt.filter(F.col("fold") == fold)))
         return held_out.groupBy("fold").agg(
             F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy"),
             F.count(F.lit(1)).alias("n"))
 
-    with ThreadPoolExecutor(folds) as pool:
+    with ThreadPoolExecutor(at_once) as pool:
         return reduce(DataFrame.unionByName, pool.map(score, range(folds)))
 
 

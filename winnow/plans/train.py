@@ -9,7 +9,7 @@ from winnow.config import Settings
 from winnow.functions import extract, vectors
 from winnow.operators import features as feats
 from winnow.operators import scoring, training
-from winnow.operators.slices import materialize
+from winnow.operators.slices import materialize, spread
 from winnow.sources import sheet as sheets
 
 
@@ -64,7 +64,7 @@ def train(features: DataFrame, trees: int = training.TREES):
     # The fit takes several passes before it keeps rows of its own: written once, they are not ranked anew in each.
     split = materialize(training.stratified_split(labelled, "shortlisted", "row_id"))
     model = training.fit_forest(split.filter(~F.col("is_test")), trees=trees)
-    held_out = training.predict(model, split.filter("is_test"))
+    held_out = training.predict(model, spread(split.filter("is_test")))
     return (model, training.class_report(held_out, "shortlisted", "predicted"),
             training.confusion(held_out, "shortlisted", "predicted"))
 
