@@ -30,7 +30,7 @@ MIN_CLASS_ROWS, RELABEL_QUANTILE = 5, 0.75
 # Histogram cells per pass of an exact quantile, and leading hash digits that split a class into parts.
 CELLS, HASH_DIGITS = 1000, 4
 # Counts that fits side by side may keep in all: MLlib holds one of 4 bytes per row and tree for as long as a fit lasts.
-FIT_COUNTS = 400_000_000
+FIT_COUNTS = 1_000_000_000
 # Ranks that the sketch of a quantile tells apart.
 SKETCH = 100_000
 
